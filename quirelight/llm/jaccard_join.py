@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import Forest, components
@@ -55,15 +55,15 @@ def prefix_length(n: int) -> int:
     return n - -(-3 * n // 4) + 1
 
 
-def _batch(kind: list, a: list, b: list, n: list, blob: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64()), pa.array(blob, pa.binary())], names=["kind", "a", "b", "n", "blob"])
+def _batch(kind: list, a: list, b: list, n: list, t: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), *(pa.array(x, pa.int64()) for x in (a, b, n, t))], names=["kind", "a", "b", "n", "t"])
 
 
-_ROWS = "kind int, a long, b long, n long, blob binary"
+_ROWS = "kind int, a long, b long, n long, t long"
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: (doc_id, class, size); kind 1: (token, sets in a block), if over 1."""
+    """kind 0: (doc_id, class, size, text hash); kind 1: (token, sets in a block), if over 1."""
     block: list[np.ndarray] = []
     seen: set[int] = set()
     held = 0
@@ -83,7 +83,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.add(key)
                 block.append(tokens)
                 held += len(tokens)
-        yield _batch([0] * len(keys), batch.column(0).to_pylist(), keys, sizes, [None] * len(keys))
+        yield _batch([0] * len(keys), batch.column(0).to_pylist(), keys, sizes, batch.column(2).to_pylist())
         if held > BLOCK_TOKENS:
             yield tally()
             block, held = [], 0
@@ -245,12 +245,12 @@ def _links(texts: DataFrame, groups: DataFrame) -> DataFrame:
     return kept(rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(_joined, "a long, b long"))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, cls, n, t of every row; cls, root of linked classes)."""
     spark = docs.sparkSession
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    survey = kept(rows.mapInArrow(_survey, _ROWS).drop("blob"))
-    table = survey.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("cls"), "n")
+    survey = kept(rows.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(_survey, _ROWS))
+    table = survey.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("cls"), "n", "t")
     often = survey.where("kind = 1").groupBy("a").agg(F.sum("n").alias("c")).where("c > 3").orderBy(F.desc("c"), "a").limit(HOT_TOKENS).toPandas()
     tokens = often["a"].to_numpy(np.int64).view(U)
     by_token = np.argsort(tokens)
@@ -270,8 +270,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     large = kept(member.where("chunks > 1"))
     if not large.isEmpty():
         links = _across(texts, large, links)
-    found = components(links).withColumnRenamed("node", "cls")
-    return _answer(table, found)
+    return table, components(links).select(F.col("node").alias("cls"), F.col("component").alias("root"))
 
 
 _ONE = "cast(null as int) as side"
@@ -319,12 +318,32 @@ def _across(texts: DataFrame, large: DataFrame, links: DataFrame) -> DataFrame:
     return kept(links.unionAll(_links(texts, against)).unionAll(_links(texts, among)))
 
 
-def _answer(table: DataFrame, found: DataFrame) -> DataFrame:
-    """The least doc_id of each component, beside every document."""
-    classes = kept(table.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep")))
-    joined = classes.join(found.withColumnRenamed("cls", "c"), F.col("cls") == F.col("c"), "left").select("cls", "rep", F.coalesce("component", "cls").alias("root"))
-    joined = kept(joined)
-    least = kept(joined.groupBy(F.col("root").alias("r")).agg(F.min("rep").alias("component_id")))
-    named = kept(joined.join(least, F.col("root") == F.col("r")).select(F.col("cls").alias("k"), "component_id"))
+def _first(table: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cls, root of every class; r and its best row: least doc_id, then text hash)."""
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
+    classes = table.where("n > 0").groupBy("cls").agg(F.min(place).alias("first"))
+    found = found.select(F.col("cls").alias("c"), "root")
+    classes = kept(classes.join(found, F.col("cls") == F.col("c"), "left").select("cls", "first", F.coalesce("root", "cls").alias("root")))
+    return classes, kept(classes.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("best")))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id of every document."""
+    table, found = _classes(docs, id_col, text_col)
+    classes, first = _first(table, found)
+    named = kept(classes.join(first, F.col("root") == F.col("r")).select(F.col("cls").alias("k"), F.col("best.doc_id").alias("component_id")))
     done = table.join(named, (F.col("cls") == F.col("k")) & (F.col("n") > 0), "left")
     return done.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without words, and the first row of each component."""
+    _, first = _first(*_classes(docs, id_col, text_col))
+    first = kept(first.select(F.col("best.doc_id").alias("__id"), F.col("best.t").alias("__t")))
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    worded = text.rlike(r"[^\x20\x09-\x0D]")
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    full = docs.where(worded).select(docs[id_col].cast("long").alias("__doc"), F.xxhash64(text).alias("__text"), row)
+    same = full.join(first, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__t")), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("__doc", "__text").orderBy(F.lit(0)))
+    return same.withColumn("__nth", nth).where("__nth = 1").select("row.*").unionAll(docs.where(~worded))

@@ -11,7 +11,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _folder(spark: SparkSession) -> None:
+def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -20,11 +20,12 @@ def _folder(spark: SparkSession) -> None:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             named = tempfile.mkdtemp(prefix="quirelight-")
         context.setCheckpointDir(named)
+    return context.getCheckpointDir()
 
 
 def kept(df: DataFrame) -> DataFrame:
     """``df`` computed once and stored in the shared checkpoint folder."""
-    _folder(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
