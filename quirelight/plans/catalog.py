@@ -1,6 +1,512 @@
-"""The registered queries and their SQL."""
+"""The registered queries of the document operators, and their SQL.
+
+Each query runs over its whole tables.  Counts and indexes are longs on both
+sides; scores are rounded to six digits before they are ranked.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import ids, text, vectors
+from ..operators import catalog as records
+from ..operators import chunking, downloads, ingest, metrics, retrieval, tracking
+from ..sources.readers import literal_list
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+# fixed values: the query vectors and the query text of the search examples
+QUERY_VECTORS, QUERY_ITEM = (0, 1, 2), 0
+FIXED = chunking.Limits(500, 50, 50, 2000)
+SMALL = chunking.Limits(100, 20, 20, 200)
+_STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _long(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).cast("long").alias(c) if kind in ("int", "smallint", "tinyint") else F.col(c) for c, kind in df.dtypes])
+
+
+def query(name: str, sql: str | None = None):
+    """Register a function of (read(table)) under ``name``, with its SQL."""
+
+    def add(f: Callable[[Callable[[str], DataFrame]], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: _long(f(lambda table: _table(spark, sf_dir, table)))
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+# ---- text and identifiers
+
+
+@query("F1_normalize_text", r"SELECT doc_id, " + _STRIP.format(r"regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')") + " AS normalized FROM documents")
+def _(read):
+    return read("documents").select("doc_id", text.normalize_text(F.col("text")).alias("normalized"))
+
+
+_CLEAN = _STRIP.format(r"regexp_replace(regexp_replace(regexp_replace(text, '(?m)^--- Page \d+ ---\s*$', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '[ \t]+', ' ', 'g')".replace("{{", "{").replace("}}", "}"))
+
+
+@query("F11_clean_text", f"SELECT doc_id, {_CLEAN} AS cleaned FROM documents")
+def _(read):
+    return read("documents").select("doc_id", text.clean_text(F.col("text")).alias("cleaned"))
+
+
+@query(
+    "F12_sentences",
+    r"""WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?;]+\s+)', '\1' || chr(1), 'g'), chr(1)), lambda x: length("""
+    + _STRIP.format("x")
+    + r""") > 0) AS parts FROM documents)
+SELECT doc_id, CAST(i - 1 AS BIGINT) AS nth, parts[i] AS sentence FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM s)""",
+)
+def _(read):
+    return read("documents").select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("nth", "sentence"))
+
+
+@query("F2_site_id", r"SELECT page_id, 'gl_url_' || substr(sha256(regexp_replace(split_part(split_part(regexp_replace(lower(url), '^.*://', 'x/publications/'), '?', 1), '#', 1)[16:], '/+$', '')), 1, 16) AS id FROM pages")
+def _(read):
+    url = F.regexp_replace(F.lower("url"), r"^.*://", "x/publications/")
+    none = F.lit(None)
+    return read("pages").select("page_id", ids.site_id(none.cast("string"), url, none.cast("string"), none.cast("array<string>"), none.cast("int")).alias("id"))
+
+
+@query("F2_metadata_id", r"SELECT p_partkey, 'gl_' || p_size || '_' || substr(sha256('t:' || " + _STRIP.format(r"regexp_replace(regexp_replace(lower(p_name), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')") + r" || '_a:' || " + _STRIP.format(r"regexp_replace(regexp_replace(lower(p_brand), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')") + r" || '_y:' || p_size), 1, 16) AS id FROM part")
+def _(read):
+    none = F.lit(None).cast("string")
+    return read("part").select("p_partkey", ids.site_id(none, none, F.col("p_name"), F.array("p_brand"), F.col("p_size")).alias("id"))
+
+
+@query("F3_api_id", "SELECT o_orderkey, 'oa_doi_' || substr(sha256('10.1/' || o_orderkey), 1, 16) AS id FROM orders")
+def _(read):
+    none = F.lit(None).cast("string")
+    doi = F.concat(F.lit("https://doi.org/10.1/"), F.col("o_orderkey").cast("string"), F.lit("/?x#y"))
+    return read("orders").select("o_orderkey", ids.api_id(none, F.array(doi), none, none, F.array(none), F.lit(None).cast("int")).alias("id"))
+
+
+@query("F4_content_hash", "SELECT p_partkey, sha256(p_name || '_[''' || p_brand || ''', ''' || p_type || ''']_' || p_size || '_None_' || 'u' || p_partkey || '_f1') AS hash FROM part")
+def _(read):
+    none = F.lit(None).cast("string")
+    url = F.concat(F.lit("u"), F.col("p_partkey").cast("string"))
+    return read("part").select("p_partkey", ids.content_hash(F.col("p_name"), F.array("p_brand", "p_type"), F.col("p_size"), none, url, F.array(F.lit("f1"))).alias("hash"))
+
+
+_UUID = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST(('0x' || substr(h, 17, 1)) AS INT) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)"
+
+
+@query("F5_uuid5", f"SELECT doc_id, {_UUID} AS point_id FROM (SELECT doc_id, sha1(unhex('a1b2c3d4e5f67890abcdef1234567890') || encode(doc_id || '_chunk_0000')) AS h FROM documents)")
+def _(read):
+    return read("documents").select("doc_id", ids.uuid5(ids.chunk_id(F.col("doc_id"), F.lit(0))).alias("point_id"))
+
+
+_SEGMENT = r"regexp_extract(split_part(split_part(url, '?', 1), '#', 1), '([^/]*)$', 1)"
+_EXT = f"CASE WHEN length(e) > 1 AND length(e) <= 10 THEN e ELSE '(no extension)' END AS extension FROM (SELECT *, lower(regexp_extract({_SEGMENT}, '(\\.[^.]*)$', 1)) AS e FROM pages)"
+
+
+@query("F8_url_parts", f"SELECT page_id, {_SEGMENT} AS segment, {_EXT}")
+def _(read):
+    return read("pages").select("page_id", text.last_segment(F.col("url")).alias("segment"), text.extension(F.col("url")).alias("extension"))
+
+
+@query("F6_split_authors", "SELECT s_suppkey, 'Last, F.|' || s_name || ', G.' AS authors, CAST(2 AS BIGINT) AS n FROM supplier")
+def _(read):
+    rows = read("supplier").select("s_suppkey", text.split_authors(F.concat(F.lit("Last, F. & "), F.col("s_name"), F.lit(", G. "))).alias("a"))
+    return rows.select("s_suppkey", F.array_join("a", "|").alias("authors"), F.size("a").alias("n"))
+
+
+@query("F7_lecture_slug", "SELECT o_orderkey, CASE WHEN o_orderkey < 10 THEN '0' || o_orderkey ELSE '' || o_orderkey END AS slug, '0' || o_orderkey || '_x_y' AS padded, CAST(o_orderkey AS BIGINT) AS number FROM orders")
+def _(read):
+    key = F.col("o_orderkey").cast("string")
+    return read("orders").select("o_orderkey", text.lecture_slug(F.concat(key, F.lit("_intro"))).alias("slug"), text.lecture_slug(F.concat(F.lit("0"), key, F.lit("_x!!y_"))).alias("padded"), text.lecture_number(F.concat(key, F.lit("_a"))).alias("number"))
+
+
+@query("DT1_year", r"SELECT event_id, CAST(regexp_extract(strftime(ts, 'at %d.%m, %Y'), '\b(\d{4})\b', 1) AS BIGINT) AS year FROM events")
+def _(read):
+    return read("events").select("event_id", text.year_in(F.date_format("ts", "'at' dd.MM, yyyy")).alias("year"))
+
+
+@query("M7_json_lists", "SELECT c_custkey, c_name || '|' || c_mktsegment AS parsed, '[\"' || c_name || '\",\"' || c_mktsegment || '\"]' AS stored FROM customer")
+def _(read):
+    both = F.array("c_name", "c_mktsegment")
+    printed = F.concat(F.lit("['"), F.array_join(both, "', '"), F.lit("']"))
+    return read("customer").select("c_custkey", F.array_join(literal_list(printed), "|").alias("parsed"), F.to_json(both).alias("stored"))
+
+
+@query("M12_backoff", "SELECT l_orderkey, l_linenumber, least(pow(2, l_linenumber), 30) AS delay FROM lineitem")
+def _(read):
+    return read("lineitem").select("l_orderkey", "l_linenumber", text.backoff(F.col("l_linenumber"), 1.0, 30.0).alias("delay"))
+
+
+@query("M5_inverted_abstract", "SELECT p_partkey, p_name || '  ' || p_brand AS abstract FROM part")
+def _(read):
+    words = F.split("p_name", " ")
+    spots = F.map_from_arrays(F.concat(F.transform(words, lambda w, i: F.concat(w, F.lit("~"), i.cast("string"))), F.array("p_brand")), F.concat(F.transform(words, lambda w, i: F.array(i)), F.array(F.array(F.size(words) + 1))))
+    return read("part").select("p_partkey", F.regexp_replace(records.inverted_text(spots), r"~\d+( |$)", "$1").alias("abstract"))
+
+
+@query("R13_tagged_reference", "SELECT s_suppkey, 'Ann ' || s_name AS authors, 'T ' || s_suppkey AS title, CAST(NULL AS VARCHAR) AS date, 'a b' AS abstract FROM supplier")
+def _(read):
+    note = F.concat(F.lit("%A "), F.col("s_name"), F.lit(", Ann\nx\n%T T "), F.col("s_suppkey").cast("string"), F.lit("\n%X <p>a <b>b</b></p>"))
+    rows = read("supplier").select("s_suppkey", records.tagged_reference(note).alias("r"))
+    return rows.select("s_suppkey", F.array_join("r.authors", "|").alias("authors"), "r.title", "r.date", "r.abstract")
+
+
+@query("R14_html_parse")
+def _(read):
+    return records.parsed_pages(read("pages"))
+
+
+# ---- chunks
+
+
+def _windows(source: str, key: str, size: int, overlap: int, least: int) -> str:
+    step = size - overlap
+    return rf"""WITH t AS (SELECT {key} AS doc, regexp_extract_all({_CLEAN}, '\s*\S+') AS t FROM {source}),
+w AS (SELECT doc, t, unnest(CASE WHEN len(t) < {least} THEN [0] ELSE list_filter(range(0, len(t), {step}), lambda s: s = 0 OR len(t) - s >= {least}) END) AS s FROM t WHERE len(t) > 0),
+c AS (SELECT doc, CAST(s // {step} AS BIGINT) AS chunk_index, length(array_to_string(t[1:s], '')) AS char_start, t[s + 1:s + {size}] AS part FROM w),
+chunks AS (SELECT doc, chunk_index, doc || '_chunk_' || lpad(CAST(chunk_index AS VARCHAR), greatest(4, length(CAST(chunk_index AS VARCHAR))), '0') AS chunk_id, CAST(char_start AS BIGINT) AS char_start,
+  CAST(char_start + length(array_to_string(part, '')) AS BIGINT) AS char_end, CAST(len(part) AS BIGINT) AS n_tokens, array_to_string(part, '') AS text FROM c)
+"""
+
+
+@query("H1_fixed_chunks", _windows("documents", "doc_id", 500, 50, 50) + "SELECT * FROM chunks")
+def _(read):
+    return chunking.fixed_windows(read("documents"), FIXED)
+
+
+@query(
+    "H8_force_split",
+    r"""WITH t AS (SELECT doc_id AS doc, regexp_extract_all(text, '\s*\S+') AS t FROM documents),
+w AS (SELECT doc, t, unnest(range(0, len(t), 180)) AS s FROM t)
+SELECT doc, CAST(s // 180 AS BIGINT) AS part, CAST(len(t[s + 1:s + 200]) AS BIGINT) AS n_tokens, array_to_string(t[s + 1:s + 200], '') AS text FROM w""",
+)
+def _(read):
+    return chunking.force_split(read("documents"), 200, 20)
+
+
+def _talks(read) -> DataFrame:
+    """Conversations as paged, headed documents."""
+    turn = F.concat(F.lit("--- Page "), (F.col("turn") + 1).cast("string"), F.lit(" ---\n# "), F.col("role"), F.lit("\n"), F.col("text"))
+    rows = read("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", turn.alias("t")))).alias("ts"))
+    return rows.select("conv_id", F.array_join(F.transform("ts", lambda x: x["t"]), "\n").alias("text"))
+
+
+_TALKS = "(SELECT conv_id, string_agg('--- Page ' || (turn + 1) || ' ---' || chr(10) || '# ' || role || chr(10) || text, chr(10) ORDER BY turn, '--- Page ' || (turn + 1) || ' ---' || chr(10) || '# ' || role || chr(10) || text) AS text FROM conversations GROUP BY conv_id)"
+
+
+@query(
+    "H3_sections",
+    f"""WITH d AS (SELECT conv_id, {_CLEAN} AS text FROM {_TALKS}),
+l AS (SELECT conv_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM d),
+f AS (SELECT *, regexp_matches({_STRIP.format("line")}, '^(#{{1,6}}\\s+|\\d+\\.\\s+|[A-Z][A-Z\\s]+:)') AND count(CASE WHEN length({_STRIP.format("line")}) > 0 THEN 1 END) OVER (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 AS head,
+  coalesce(sum(length(line) + 1) OVER (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM l),
+s AS (SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY i) AS nth FROM f),
+g AS (SELECT conv_id AS doc, CAST(nth AS BIGINT) AS nth, max(CASE WHEN head THEN {_STRIP.format("line")} END) AS title, CAST(min(pos) AS BIGINT) AS char_start, {_STRIP.format("string_agg(line, chr(10) ORDER BY i)")} AS text FROM s GROUP BY conv_id, nth)
+SELECT * FROM g WHERE length(text) >= 50""",
+)
+def _(read):
+    return chunking.sections(_talks(read).withColumn("text", text.clean_text(F.col("text"))), 50, "conv_id")
+
+
+@query(
+    "J8_chunk_pages",
+    _windows(_TALKS, "conv_id", 50, 10, 10)
+    + r""", l AS (SELECT conv_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM """
+    + _TALKS
+    + r"""),
+o AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM l),
+m AS (SELECT conv_id, CAST(regexp_extract(line, '(\d+)', 1) AS INT) AS page, pos, coalesce(lead(pos) OVER (PARTITION BY conv_id ORDER BY i), length(text) + 1) AS until FROM o WHERE regexp_matches(line, '^--- Page \d+ ---\s*$'))
+SELECT c.doc, c.chunk_index, c.char_start, c.char_end, coalesce(string_agg(DISTINCT CAST(page AS VARCHAR), ',' ORDER BY CAST(page AS VARCHAR)) , '') AS pages
+FROM chunks c LEFT JOIN m ON m.conv_id = c.doc AND c.char_start < m.until AND c.char_end > m.pos GROUP BY ALL""",
+)
+def _(read):
+    talks = _talks(read)
+    spans = talks.select(F.col("conv_id").alias("d"), chunking.page_spans(F.col("text")).alias("spans"))
+    chunks = chunking.fixed_windows(talks, chunking.Limits(50, 10, 10), "conv_id").join(spans, F.col("doc") == F.col("d"))
+    pages = chunking.pages_of(F.col("char_start"), F.col("char_end"), F.col("spans"))
+    return chunks.select("doc", "chunk_index", "char_start", "char_end", F.array_join(F.array_sort(F.transform(pages, lambda p: p.cast("string"))), ",").alias("pages"))
+
+
+for _strategy in chunking.STRATEGIES:
+
+    @query(f"H10_chunks_{_strategy}")
+    def _(read, strategy=_strategy):
+        return chunking.chunks(read("documents"), strategy, SMALL)
+
+
+@query("H5_hybrid_structured")
+def _(read):
+    return chunking.chunks(_talks(read), "hybrid", SMALL, "conv_id")
+
+
+@query("W1_targets", "SELECT source, doc_id, CASE WHEN row_number() OVER (PARTITION BY source ORDER BY doc_id) = 1 THEN source ELSE source || '__' || doc_id END AS document_id FROM documents")
+def _(read):
+    return tracking.targets(read("documents"), "source", "doc_id")
+
+
+# ---- catalogues and tracking
+
+
+def _snapshots(read) -> tuple[DataFrame, DataFrame]:
+    """Two states of a catalogue: customers in debt are new, one segment is gone, one is renamed."""
+    c = read("customer")
+    hash_ = lambda name: F.md5(name.cast("binary")).alias("content_hash")
+    renamed = F.when(F.col("c_mktsegment") == "BUILDING", F.concat("c_name", F.lit("*"))).otherwise(F.col("c_name"))
+    return c.where("c_acctbal >= 0").select("c_custkey", hash_(F.col("c_name"))), c.where("c_mktsegment <> 'MACHINERY'").select("c_custkey", hash_(renamed))
+
+
+_SNAPSHOTS = "existing AS (SELECT c_custkey, md5(c_name) AS h FROM customer WHERE c_acctbal >= 0), incoming AS (SELECT c_custkey, md5(CASE WHEN c_mktsegment = 'BUILDING' THEN c_name || '*' ELSE c_name END) AS h FROM customer WHERE c_mktsegment <> 'MACHINERY')"
+
+
+@query(
+    "R2_refresh",
+    f"WITH {_SNAPSHOTS} SELECT coalesce(e.c_custkey, i.c_custkey) AS c_custkey, CASE WHEN e.c_custkey IS NULL THEN 'new' WHEN i.c_custkey IS NULL THEN 'retained' WHEN e.h = i.h THEN 'unchanged' ELSE 'updated' END AS outcome, coalesce(i.h, e.h) AS content_hash FROM existing e FULL JOIN incoming i ON e.c_custkey = i.c_custkey",
+)
+def _(read):
+    return tracking.refresh(*_snapshots(read), "c_custkey", "content_hash")
+
+
+def _tracked(read) -> tuple[DataFrame, DataFrame]:
+    """Publications and tracking rows: statuses after the balance, files after nation and segment."""
+    old, new = _snapshots(read)
+    c = read("customer").select(F.col("c_custkey").alias("k"), "c_acctbal", "c_nationkey", "c_mktsegment")
+    level = lambda least, done: F.when(F.col("c_acctbal") >= least, done).otherwise("Pending")
+    files = F.array(F.col("c_nationkey").cast("string"))
+    tracked = old.join(c, F.col("c_custkey") == F.col("k")).select("c_custkey", "content_hash", files.alias("file_urls"), *[level(1000 * (i + 1), done).alias(f"{s}_status") for i, (s, done) in enumerate(tracking.STAGES.items())])
+    more = F.when(F.col("c_mktsegment") == "AUTOMOBILE", F.array(F.col("c_nationkey").cast("string"), F.lit("extra"))).otherwise(files)
+    publications = new.join(c, F.col("c_custkey") == F.col("k")).select("c_custkey", "content_hash", more.alias("file_urls"))
+    return publications, tracked
+
+
+_PLAN = (
+    "WITH "
+    + _SNAPSHOTS
+    + """, t AS (SELECT e.c_custkey, e.h, c_acctbal >= 1000 AS d, c_acctbal >= 2000 AS p, c_acctbal >= 3000 AS e, c_acctbal >= 4000 AS i FROM existing e JOIN customer c USING (c_custkey)),
+j AS (SELECT n.c_custkey, c.c_nationkey, c.c_mktsegment, CASE WHEN t.c_custkey IS NULL THEN 'New publication' WHEN t.h <> n.h THEN 'Content hash changed' WHEN c.c_mktsegment = 'AUTOMOBILE' THEN 'Files changed' ELSE 'Status check' END AS reason, t.d, t.p, t.e, t.i
+  FROM incoming n JOIN customer c USING (c_custkey) LEFT JOIN t ON t.c_custkey = n.c_custkey),
+plan AS (SELECT c_custkey, reason <> 'Status check' OR NOT d AS needs_download, reason <> 'Status check' OR NOT (d AND p) AS needs_processing, reason <> 'Status check' OR NOT (d AND p AND e) AS needs_embedding, reason <> 'Status check' OR NOT (d AND p AND e AND i) AS needs_ingestion,
+  CASE WHEN reason = 'Content hash changed' THEN CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN c_nationkey || '|extra' ELSE '' || c_nationkey END WHEN reason = 'Files changed' THEN 'extra' ELSE '' END AS files, reason FROM j)
+"""
+)
+
+
+@query("R6_processing_plan", _PLAN + "SELECT * FROM plan")
+def _(read):
+    plan = tracking.processing_plan(*_tracked(read), "c_custkey")
+    return plan.withColumn("files", F.array_join("files_to_reprocess", "|")).drop("files_to_reprocess")
+
+
+@query(
+    "R4_upsert",
+    _PLAN
+    + """SELECT coalesce(t.c_custkey, p.c_custkey) AS c_custkey, CASE WHEN p.c_custkey IS NULL THEN t.h ELSE n.h END AS content_hash,
+CASE WHEN needs_download OR NOT coalesce(t.d, FALSE) THEN 'Pending' ELSE 'Downloaded' END AS download_status, CASE WHEN needs_processing OR NOT coalesce(t.p, FALSE) THEN 'Pending' ELSE 'Processed' END AS processing_status,
+CASE WHEN needs_embedding OR NOT coalesce(t.e, FALSE) THEN 'Pending' ELSE 'Embedded' END AS embedding_status, CASE WHEN needs_ingestion OR NOT coalesce(t.i, FALSE) THEN 'Pending' ELSE 'Ingested' END AS ingestion_status
+FROM t FULL JOIN plan p ON t.c_custkey = p.c_custkey LEFT JOIN incoming n ON n.c_custkey = p.c_custkey""",
+)
+def _(read):
+    return tracking.upsert(*_tracked(read), "c_custkey").drop("file_urls")
+
+
+for _stage, _where in {"download": "NOT d", "processing": "d AND NOT p", "embedding": "p AND NOT e", "ingestion": "e AND NOT i"}.items():
+
+    @query(f"P1_work_list_{_stage}", f"{_PLAN} SELECT c_custkey FROM t WHERE {_where}")
+    def _(read, stage=_stage):
+        return tracking.work_list(_tracked(read)[1], stage, "c_custkey")
+
+
+_STATUS = "CASE WHEN value >= 50 THEN 'Done' ELSE 'Failed' END"
+
+
+@query("R7_status_fold", f"SELECT user_id, event_type, arg_max({_STATUS}, (ts, event_id)) AS status, count(*) AS attempts, max(ts) AS updated, nullif(arg_max(CASE WHEN value >= 50 THEN '' ELSE 'e' || event_id END, (ts, event_id)), '') AS error FROM events GROUP BY user_id, event_type")
+def _(read):
+    done = F.col("value") >= 50
+    rows = read("events").withColumn("status", F.when(done, "Done").otherwise("Failed")).withColumn("error", F.when(done, "").otherwise(F.concat(F.lit("e"), F.col("event_id").cast("string"))))
+    out = tracking.folded(rows, ["user_id", "event_type"], "status", ["ts", "event_id"], "error")
+    return out.withColumn("error", F.nullif("error", F.lit("")))
+
+
+@query("R9_embedding_work", "SELECT DISTINCT l_orderkey AS id, CASE WHEN o_orderkey IS NOT NULL THEN 'tracked' ELSE 'disk' END AS origin FROM lineitem LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'O') ON l_orderkey = o_orderkey")
+def _(read):
+    return tracking.embedding_work(read("orders").where("o_orderstatus <> 'O'").select(F.col("o_orderkey").alias("id")), read("lineitem").select(F.col("l_orderkey").alias("id")), "id")
+
+
+@query("J5_missing", "SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def _(read):
+    return tracking.missing(read("orders").select(F.col("o_orderkey").alias("id")), read("lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id")), "id")
+
+
+@query("A9_first_wins", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1")
+def _(read):
+    return tracking.first_wins(read("events"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+
+
+# ---- downloads and metrics
+
+
+@query("P12_download_plan", f"SELECT page_id, url, 'raw/documents/' || page_id || '/' || CASE WHEN contains(seg, '.') THEN seg ELSE substr(md5(url), 1, 8) || '.bin' END AS path FROM (SELECT *, {_SEGMENT} AS seg FROM pages)")
+def _(read):
+    return downloads.planned(read("pages").select("page_id", F.array("url").alias("urls")), "page_id", "urls")
+
+
+@query("P11_corrected_name", f"SELECT page_id, CASE WHEN regexp_matches(seg, '\\.[^./]*$') THEN regexp_replace(seg, '\\.[^./]*$', '') ELSE seg END || '.pdf' AS name FROM (SELECT page_id, {_SEGMENT} AS seg FROM pages)")
+def _(read):
+    return read("pages").select("page_id", downloads.corrected_name(text.last_segment(F.col("url")), F.lit("Application/PDF; charset=x")).alias("name"))
+
+
+@query("P10_validity", "SELECT page_id, CASE WHEN strlen(html) < 1024 THEN 'too small' WHEN strlen(html) > 104857600 THEN 'too large' ELSE 'HTML page' END AS verdict FROM pages")
+def _(read):
+    return read("pages").select("page_id", downloads.validity(F.octet_length("html"), text.last_segment(F.col("url")), F.col("html").cast("binary"), F.lit("text/plain")).alias("verdict"))
+
+
+@query("A1_download_rollup", "SELECT l_orderkey, CASE WHEN bool_and(l_returnflag <> 'R') THEN 'Downloaded' ELSE 'Failed' END AS status, string_agg('line ' || l_linenumber, '; ' ORDER BY l_linenumber) FILTER (WHERE l_returnflag = 'R') AS error FROM lineitem GROUP BY l_orderkey")
+def _(read):
+    rows = read("lineitem").select("l_orderkey", "l_linenumber", (F.col("l_returnflag") != "R").alias("ok"), F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("e"))
+    return downloads.rolled_up(rows, "l_orderkey", "ok", "e", "l_linenumber")
+
+
+@query("A2_download_totals", "SELECT *, round(bytes / 1024 / 1024, 4) AS megabytes, round(100.0 * successful / greatest(attempted, 1), 4) AS success_rate FROM (SELECT count(*) AS attempted, count(*) FILTER (WHERE l_returnflag <> 'R') AS successful, count(*) FILTER (WHERE l_returnflag = 'R') AS failed, round(CAST(sum(l_quantity) FILTER (WHERE l_returnflag <> 'R') AS DOUBLE), 2) AS bytes FROM lineitem)")
+def _(read):
+    return downloads.totals(read("lineitem").withColumn("ok", F.col("l_returnflag") != "R"), "ok", "l_quantity")
+
+
+@query("A3_extension_histogram", f"SELECT extension, count(*) AS n FROM (SELECT {_EXT}) GROUP BY extension")
+def _(read):
+    return downloads.extension_histogram(read("pages"), "url")
+
+
+@query("A3_url_totals", "SELECT count(url) AS total, count(DISTINCT url) AS distinct_urls, count(url) - count(DISTINCT url) AS duplicates FROM pages")
+def _(read):
+    return downloads.url_totals(read("pages"), "url")
+
+
+@query(
+    "A4_stage_summary",
+    """SELECT total, succeeded, skipped, failed, round(items, 4) AS items, round(seconds, 4) AS seconds, round(items / greatest(succeeded, 1), 4) AS items_each, CASE WHEN failed > 0 AND succeeded = 0 THEN 'FAILED' ELSE 'COMPLETED' END AS status FROM (
+SELECT count(*) AS total, count(*) FILTER (WHERE l_returnflag = 'A') AS succeeded, count(*) FILTER (WHERE l_returnflag = 'N') AS skipped, count(*) FILTER (WHERE l_returnflag = 'R') AS failed, CAST(coalesce(sum(l_linenumber) FILTER (WHERE l_returnflag = 'A'), 0) AS DOUBLE) AS items, CAST(sum(l_quantity) AS DOUBLE) AS seconds FROM lineitem)""",
+)
+def _(read):
+    return metrics.stage_summary(read("lineitem"), "l_returnflag", "l_linenumber", "l_quantity", "A", "N")
+
+
+@query(
+    "A6_benchmark",
+    """WITH g AS (SELECT l_returnflag, list_sort(list(l_quantity) FILTER (WHERE l_linestatus = 'F')) AS q, count(*) AS n, avg(CASE WHEN l_linestatus = 'F' THEN 1.0 ELSE 0 END) AS s, avg(l_quantity) FILTER (WHERE l_linestatus = 'F') AS m FROM lineitem GROUP BY l_returnflag)
+SELECT l_returnflag, n, round(s, 3) AS success_rate, round(m, 3) AS mean, round(list_median(q), 3) AS median, round(q[CAST(least(floor(len(q) * 95 / 100), len(q) - 1) AS BIGINT) + 1], 3) AS p95, round(list_max(q), 3) AS most FROM g""".replace("list_median(q)", "list_aggregate(q, 'median')"),
+)
+def _(read):
+    return metrics.benchmark(read("lineitem").withColumn("ok", F.col("l_linestatus") == "F"), "l_returnflag", "l_quantity", "ok")
+
+
+@query("R19_log_flags", "SELECT count(*) AS n, count(*) FILTER (WHERE regexp_matches(lower(event_type), 'error|exception|traceback')) AS errors, count(*) FILTER (WHERE contains(lower(event_type), 'warning')) AS warnings, bool_or(regexp_matches(lower(event_type), 'completed|finished')) AS done FROM events")
+def _(read):
+    return metrics.log_flags(read("events"), "event_type")
+
+
+# ---- search
+
+
+@query("M1_truncated_vectors", "SELECT vec_id, round(n, 6) AS norm, round(h[1] / n, 6) AS first, round(h[32] / n, 6) AS last, CAST(len(h) AS BIGINT) AS dims FROM (SELECT vec_id, h, sqrt(list_sum(list_transform(h, lambda x: x * x))) AS n FROM (SELECT vec_id, list_transform(embedding[1:32], lambda x: CAST(x AS DOUBLE)) AS h FROM embeddings))")
+def _(read):
+    rows = read("embeddings").select("vec_id", F.slice("embedding", 1, 32).alias("h"), vectors.truncated(F.col("embedding"), 32).alias("v"))
+    return rows.select("vec_id", F.round(vectors.norm(F.col("h")), 6).alias("norm"), F.round(F.get("v", F.lit(0)), 6).alias("first"), F.round(F.get("v", F.lit(31)), 6).alias("last"), F.size("v").alias("dims"))
+
+
+_DENSE = "SELECT q.vec_id AS query, e.vec_id AS id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id IN ({})"
+
+
+def _ranked(scored: str, k: int) -> str:
+    return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM ({scored})) WHERE rank <= {k}"
+
+
+def _queries(read, chosen: tuple[int, ...]) -> DataFrame:
+    return read("embeddings").where(F.col("vec_id").isin(*chosen)).select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+
+
+@query("Q3_dense_top_k", _ranked(_DENSE.format(0), 10))
+def _(read):
+    return retrieval.dense_top_k(read("embeddings"), _queries(read, (0,)), 10)
+
+
+@query("P5_filtered_top_k", _ranked(_DENSE.format(0) + " AND e.label = 3", 10))
+def _(read):
+    return retrieval.dense_top_k(retrieval.payload_filter(read("embeddings"), {"label": 3, "year": None}), _queries(read, (0,)), 10)
+
+
+@query("A8_merged_queries", f"SELECT id, max(score) AS score FROM ({_ranked(_DENSE.format('0, 1, 2'), 30)}) GROUP BY id ORDER BY score DESC, id LIMIT 10")
+def _(read):
+    return retrieval.merged_queries(retrieval.dense_top_k(read("embeddings"), _queries(read, QUERY_VECTORS), 30), 10)
+
+
+_TERMS = """terms AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS t FROM documents),
+tf AS (SELECT id, len(t) AS n, unnest(t) AS term FROM terms), counts AS (SELECT id, n, term, count(*) AS tf FROM tf GROUP BY id, n, term),
+weights AS (SELECT id, term, tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / 256.0)) AS weight FROM counts),
+idf AS (SELECT term, count(*) AS df, ln(1 + ((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM counts GROUP BY term)"""
+_SPARSE = "SELECT query, id, round(sum(weight * idf), 6) AS score FROM (SELECT DISTINCT item_id AS query, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark {}) JOIN weights USING (term) JOIN idf USING (term) GROUP BY query, id"
+
+
+@query("M3_document_vectors", f"WITH {_TERMS} SELECT id, term, round(weight, 6) AS weight FROM weights")
+def _(read):
+    return retrieval.document_vectors(read("documents")).select("id", "term", F.round("weight", 6).alias("weight"))
+
+
+@query("A17_inverse_frequency", f"WITH {_TERMS} SELECT term, df, round(idf, 6) AS idf FROM idf")
+def _(read):
+    return retrieval.inverse_frequency(retrieval.document_vectors(read("documents")), read("documents")).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query("J11_sparse_top_k", f"WITH {_TERMS} {_ranked(_SPARSE.format(''), 10)}")
+def _(read):
+    return retrieval.sparse_top_k(read("documents"), read("benchmark").select(F.col("item_id").alias("query"), "text"), 10)
+
+
+def _hybrid(read) -> DataFrame:
+    item = read("benchmark").where(F.col("item_id") == QUERY_ITEM).select(F.lit(0).cast("long").alias("query"), "text")
+    vector = _queries(read, (0,)).select(F.col("query").alias("q"), "vector")
+    return retrieval.hybrid_top_k(read("documents"), read("embeddings"), item.join(vector, F.col("query") == F.col("q")).drop("q"), 10)
+
+
+_HYBRID = f"WITH {_TERMS}, hits AS (SELECT query, id, rank FROM ({_ranked(_DENSE.format(0), 30)}) UNION ALL SELECT query, id, rank FROM ({_ranked(_SPARSE.format('WHERE item_id = 0'), 30)})) " + _ranked("SELECT query, id, round(sum(1.0 / (60 + rank)), 6) AS score FROM hits GROUP BY query, id", 10)
+
+
+@query("T2_hybrid_rrf", _HYBRID)
+def _(read):
+    return _hybrid(read)
+
+
+@query("J9_citations", f"WITH top AS ({_ranked(_DENSE.format(0), 10)}) SELECT CAST(i AS BIGINT) AS source_number, coalesce('' || top.id, CASE WHEN i = 2 THEN NULL END) AS id FROM range(1, 13) t(i) LEFT JOIN top ON top.rank = i")
+def _(read):
+    hits = retrieval.dense_top_k(read("embeddings"), _queries(read, (0,)), 10)
+    numbers = hits.sparkSession.range(1, 13).select(F.col("id").alias("source_number"), F.lit("").alias("id"))
+    return retrieval.with_citations(numbers, hits, ["id"])
+
+
+@query(
+    "Q12_points",
+    f"SELECT {_UUID} AS point_id, vec_id, document_id, text_content, chunk_index, token_count, document_title, document_year, dims FROM (SELECT e.vec_id, d.doc_id AS document_id, coalesce(d.text, '') AS text_content, coalesce(CAST(d.n_chars AS BIGINT), 0) AS chunk_index, coalesce(length(d.text), 0) AS token_count, d.source AS document_title, CAST(l.quality AS BIGINT) AS document_year, CAST(len(e.embedding) AS BIGINT) AS dims, sha1(unhex('a1b2c3d4e5f67890abcdef1234567890') || encode('' || e.vec_id)) AS h FROM embeddings e LEFT JOIN documents d ON e.vec_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id)".replace("d.source AS document_title, CAST(l.quality AS BIGINT) AS document_year", "CASE WHEN l.doc_id IS NOT NULL THEN 'labelled' END AS document_title, CAST(l.quality AS BIGINT) AS document_year"),
+)
+def _(read):
+    chunks = read("documents").select(F.col("doc_id").alias("vec_id"), "doc_id", "text", F.col("n_chars").alias("chunk_index"), F.length("text").alias("token_count"))
+    publications = read("labels").select("doc_id", F.lit("labelled").alias("title"), F.col("quality").alias("year"))
+    out = ingest.points(read("embeddings").select("vec_id", F.col("embedding").alias("dense")), chunks, publications, "vec_id", "doc_id")
+    return out.withColumn("dims", F.size("dense")).drop("dense")
+
+
+@query("W7_batches", "SELECT label, vec_id, CAST((row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 32 AS BIGINT) AS batch FROM embeddings")
+def _(read):
+    return ingest.batches(read("embeddings").select("label", "vec_id"), "label", "vec_id", 32)
+
+
+@query("K6_upserted", "SELECT c_custkey, c_name AS name FROM customer WHERE c_acctbal < 0 UNION ALL SELECT c_custkey, c_name || '+' FROM customer WHERE c_acctbal >= 0")
+def _(read):
+    rows = read("customer")
+    return ingest.upserted(rows.select("c_custkey", F.col("c_name").alias("name")), rows.where("c_acctbal >= 0").select("c_custkey", F.concat("c_name", F.lit("+")).alias("name")), "c_custkey")
