@@ -173,7 +173,7 @@ def _windows(source: str, key: str, size: int, overlap: int, least: int) -> str:
     return rf"""WITH t AS (SELECT {key} AS doc, regexp_extract_all({_CLEAN}, '\s*\S+') AS t FROM {source}),
 w AS (SELECT doc, t, unnest(CASE WHEN len(t) < {least} THEN [0] ELSE list_filter(range(0, len(t), {step}), lambda s: s = 0 OR len(t) - s >= {least}) END) AS s FROM t WHERE len(t) > 0),
 c AS (SELECT doc, CAST(s // {step} AS BIGINT) AS chunk_index, length(array_to_string(t[1:s], '')) AS char_start, t[s + 1:s + {size}] AS part FROM w),
-chunks AS (SELECT doc, chunk_index, doc || '_chunk_' || lpad(CAST(chunk_index AS VARCHAR), greatest(4, length(CAST(chunk_index AS VARCHAR))), '0') AS chunk_id, CAST(char_start AS BIGINT) AS char_start,
+chunks AS (SELECT doc, chunk_index, doc || '_chunk_' || lpad(CAST(chunk_index AS VARCHAR), CAST(greatest(4, length(CAST(chunk_index AS VARCHAR))) AS INT), '0') AS chunk_id, CAST(char_start AS BIGINT) AS char_start,
   CAST(char_start + length(array_to_string(part, '')) AS BIGINT) AS char_end, CAST(len(part) AS BIGINT) AS n_tokens, array_to_string(part, '') AS text FROM c)
 """
 
