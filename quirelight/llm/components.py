@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import kept
+from .storage import dropped, kept, written
 
 
 class Forest:
@@ -67,13 +67,16 @@ def components(edges: DataFrame) -> DataFrame:
     state = kept(pairs.mapInArrow(_contract, "u long, v long").distinct())
     mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first())
     seen = mark(state)
+    spark, matched = edges.sparkSession, F.col("u") == F.col("k")
     while True:
         both = state.unionAll(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = kept(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")))
-        large = kept(both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = kept(large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m"))
-        small = large.join(least, F.col("u") == F.col("k")).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least, path = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")))
+        large = kept(both.where("v > u").join(least, matched).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        dropped(spark, path)
+        least, path = written(large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m"))
+        small = large.join(least, matched).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         state = kept(small.unionAll(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct())
+        dropped(spark, path)
         now = mark(state)
         if now == seen:
             return state.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -7,6 +7,7 @@ must); otherwise, as in tests in one process, a temporary folder is set.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,10 +25,29 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """``df`` computed once and stored in the shared checkpoint folder."""
+    """``df`` computed once and stored in the shared checkpoint folder.
+
+    Note that a checkpoint hands on the optimizer's estimate of its size, a
+    product of the estimates at each join; a loop that joins two results of
+    its last round must pass one through ``written``, which is measured.
+    """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` stored as Parquet in the shared folder, and its path."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete what ``written`` stored, when nothing reads it any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
