@@ -11,11 +11,14 @@ A document's set holds the 64-bit hashes of its distinct five-word shingles
    and block goes on, packed, so no token's list exceeds the blocks' number.
 2. Clusters: components of the graph of shared prefix tokens, a superset of
    the similarity graph.
-3. Join: the sets of a cluster, or of a chunk of a large one, meet in a task
-   and a signature tree's dual traversal finds the similar pairs, checked
-   exactly.  Sets known to be connected are not compared again.  Large
-   clusters first join each chunk, then one set a component across chunks, and
-   at last only the sets outside a cluster's largest component against all.
+3. Refine: the bitmaps of a cluster's sets meet in a signature tree, whose
+   dual traversal splits the cluster into sets that may still be similar.
+4. Join: the texts of what is left of a cluster meet in such a tree again and
+   the pairs that survive are checked exactly.
+   In both, sets known to be connected are not compared again.  Large clusters
+   are cut into chunks; each chunk is joined, then one set a component across
+   chunks, and at last only the sets outside a cluster's largest component
+   against all.
 
 Defined results: null and empty texts have 0 shingles and are linked with
 nothing, so component_id is their own doc_id; rows that repeat a doc_id are
@@ -34,13 +37,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import Forest, components
-from .signature_tree import spanning_links
+from .signature_tree import bitmap_of, spanning_links
 from .storage import kept, partitions
 from .text_hash import U, mix, row_shingles
 
 BLOCK_TOKENS = 3_000_000
 HOT_TOKENS = 200_000
-CHUNK_TOKENS, CHUNK_SETS = 1_500_000, 3000
+TEXT_TOKENS, BITMAP_TOKENS, CHUNK_SETS = 1_500_000, 12_000_000, 4000  # of a chunk
 WIDTH = 5
 
 
@@ -55,15 +58,15 @@ def prefix_length(n: int) -> int:
     return n - -(-3 * n // 4) + 1
 
 
-def _batch(kind: list, a: list, b: list, n: list, t: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), *(pa.array(x, pa.int64()) for x in (a, b, n, t))], names=["kind", "a", "b", "n", "t"])
+def _batch(kind: list, a: list, b: list, n: list, t: list, bits: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), *(pa.array(x, pa.int64()) for x in (a, b, n, t)), pa.array(bits, pa.binary())], names=["kind", "a", "b", "n", "t", "bits"])
 
 
-_ROWS = "kind int, a long, b long, n long, t long"
+_ROWS = "kind int, a long, b long, n long, t long, bits binary"
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: (doc_id, class, size, text hash); kind 1: (token, sets in a block), if over 1."""
+    """kind 0: (doc_id, class, size, text hash, bits; these once a block); kind 1: (token, sets in a block), if over 1."""
     block: list[np.ndarray] = []
     seen: set[int] = set()
     held = 0
@@ -72,18 +75,19 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = np.unique(np.concatenate(block) if block else np.zeros(0, U), return_counts=True)
         often = counts > 1
         k = int(often.sum())
-        return _batch([1] * k, tokens[often].view(np.int64), [None] * k, counts[often], [None] * k)
+        return _batch([1] * k, tokens[often].view(np.int64), [None] * k, counts[often], [None] * k, [None] * k)
 
     for batch in batches:
-        keys, sizes = [], []
+        keys, sizes, bits = [], [], []
         for _, tokens in row_shingles(batch.column(1), WIDTH):
             keys.append(key := class_key(tokens))
             sizes.append(len(tokens))
+            bits.append(tokens[[0, min(1, len(tokens) - 1)]].tobytes() + bitmap_of(tokens).tobytes() if len(tokens) and key not in seen else None)
             if key not in seen:
                 seen.add(key)
                 block.append(tokens)
                 held += len(tokens)
-        yield _batch([0] * len(keys), batch.column(0).to_pylist(), keys, sizes, batch.column(2).to_pylist())
+        yield _batch([0] * len(keys), batch.column(0).to_pylist(), keys, sizes, batch.column(2).to_pylist(), bits)
         if held > BLOCK_TOKENS:
             yield tally()
             block, held = [], 0
@@ -211,38 +215,60 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield met()
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of each group; columns grp, cls, side, known, text, sorted by grp."""
-    current, members = None, {}
+def _joined(exact: bool):
+    """Links of each group; columns grp, cls, n, side, known, data, sorted by grp."""
 
-    def links() -> pa.RecordBatch:
-        keys = list(members)
-        rows = [members[k] for k in keys]
-        sides = [r[0] for r in rows]
-        if len(keys) < 2 or sides[0] is not None and len(set(sides)) < 2:
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, members = None, {}
+
+        def links() -> pa.RecordBatch:
             found = []
-        else:
-            found = spanning_links(keys, [r[2] for r in rows], None if sides[0] is None else sides, [r[1] for r in rows])
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+            sides = [r[1] for r in members.values()]
+            if len(members) > 1 and (sides[0] is None or len(set(sides)) > 1):
+                rows = list(members.values())
+                bitmaps = [bitmap_of(r[3]) for r in rows] if exact else [r[3][2:] for r in rows]
+                order = [(int(r[3][0]), int(r[3][min(1, len(r[3]) - 1)])) for r in rows]
+                found = spanning_links(list(members), bitmaps, [r[0] for r in rows], order, [r[3] for r in rows] if exact else None, None if sides[0] is None else sides, [r[2] for r in rows])
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
-    for batch in batches:
-        groups, classes, sides, known = (batch.column(k).to_pylist() for k in range(4))
-        for i, tokens in row_shingles(batch.column(4), WIDTH):
-            if groups[i] != current:
-                if members:
-                    yield links()
-                current, members = groups[i], {}
-            # a row of another text under the same id is not of the class
-            if class_key(tokens) == classes[i]:
-                members[classes[i]] = sides[i], known[i], tokens
-    if members:
-        yield links()
+        for batch in batches:
+            groups, classes, sizes, sides, known = (batch.column(k).to_pylist() for k in range(5))
+            data = row_shingles(batch.column(5), WIDTH) if exact else ((i, np.frombuffer(x, U)) for i, x in enumerate(batch.column(5).to_pylist()))
+            for i, x in data:
+                if groups[i] != current:
+                    if members:
+                        yield links()
+                    current, members = groups[i], {}
+                # a row of another text under the same id is not of the class
+                if not exact or class_key(x) == classes[i]:
+                    members[classes[i]] = sizes[i], sides[i], known[i], x
+        if members:
+            yield links()
+
+    return joined
+
+
+def _links(data: DataFrame, groups: DataFrame, exact: bool) -> DataFrame:
+    """``groups`` (cls, grp, side, known) brought together with their ``data`` (cls, n, data)."""
+    rows = groups.join(data, "cls").select("grp", "cls", "n", "side", "known", "data")
+    return kept(rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(_joined(exact), "a long, b long"))
+
+
+def _spanning(data: DataFrame, member: DataFrame, exact: bool) -> DataFrame:
+    """Links that connect what is similar in each cluster; ``member`` has cluster, cls, n."""
+    limit = (TEXT_TOKENS, CHUNK_SETS) if exact else (BITMAP_TOKENS, CHUNK_SETS)
+    member = kept(_chunked(member.select("cluster", "cls", "n"), limit))
+    links = _links(data, member.select("cls", F.concat_ws(":", "cluster", "chunk").alias("grp"), F.expr(_ONE), F.col("cls").alias("known")), exact)
+    large = member.where("chunks > 1")
+    return links if large.isEmpty() else _across(data, kept(large), links, limit, exact)
 
 
-def _links(texts: DataFrame, groups: DataFrame) -> DataFrame:
-    """``groups`` (cls, grp, side, known) brought together with their texts."""
-    rows = groups.join(texts, "cls").select("grp", "cls", "side", "known", "text")
-    return kept(rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(_joined, "a long, b long"))
+def _clusters(links: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cluster, cls and the other columns of ``classes``) of linked classes."""
+    found = components(links)
+    member = found.select(F.col("node").alias("c"), F.col("component").alias("cluster"))
+    member = member.unionAll(found.select(F.col("component").alias("c"), F.col("component").alias("cluster")).distinct())
+    return kept(kept(member).join(classes, F.col("c") == F.col("cls")).drop("c"))
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -258,28 +284,25 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
 
     buckets = 4 * partitions(spark)
     dealt = rows.select("text").mapInArrow(_deal(hot, buckets), "bucket int, run boolean, blob binary")
-    clusters = components(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "a long, b long"))
-
-    member = clusters.select(F.col("node").alias("cls"), F.col("component").alias("cluster"))
-    member = kept(member.unionAll(member.select(F.col("cluster").alias("cls"), "cluster").distinct()))
-    classes = table.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    member = kept(member.join(classes, "cls"))
-    member = kept(_chunked(member))
-    texts = kept(rows.join(member.select("cls", F.col("rep").alias("id")), F.col("doc_id").eqNullSafe(F.col("id"))).select("cls", "text"))
-    links = _links(texts, member.select("cls", F.concat_ws(":", "cluster", "chunk").alias("grp"), F.expr(_ONE), F.col("cls").alias("known")))
-    large = kept(member.where("chunks > 1"))
-    if not large.isEmpty():
-        links = _across(texts, large, links)
+    met = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "a long, b long")
+    classes = kept(table.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "t")).alias("place")))
+    wide = _clusters(met, classes.select("cls", "n"))
+    bits = survey.where("kind = 0 and bits is not null").select(F.col("b").alias("cls"), "bits").join(wide.select("cls", "n"), "cls")
+    bits = kept(bits.groupBy("cls", "n").agg(F.first("bits").alias("data")))
+    narrow = _clusters(_spanning(bits, wide, False), classes.select("cls", "n", F.col("place.doc_id").alias("rep"), F.col("place.t").alias("t")))
+    spot = narrow.select("cls", "n", F.col("rep").alias("id"), F.col("t").alias("of"))
+    texts = kept(rows.join(spot, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("of"))).select("cls", "n", F.col("text").alias("data")))
+    links = _spanning(texts, narrow, True)
     return table, components(links).select(F.col("node").alias("cls"), F.col("component").alias("root"))
 
 
 _ONE = "cast(null as int) as side"
 
 
-def _chunked(members: DataFrame) -> DataFrame:
+def _chunked(members: DataFrame, limit: tuple[int, int]) -> DataFrame:
     """``members`` (cluster, cls, n, ...) with the cluster's number of chunks and the set's."""
     per = members.groupBy("cluster").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("sets"))
-    need = F.ceil(F.greatest(F.col("tokens") / CHUNK_TOKENS, F.col("sets") / CHUNK_SETS)).cast("int")
+    need = F.ceil(F.greatest(F.col("tokens") / limit[0], F.col("sets") / limit[1])).cast("int")
     per = kept(per.select(F.col("cluster").alias("of"), need.alias("chunks")))
     joined = members.join(per, F.col("cluster") == F.col("of")).drop("of")
     return joined.withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
@@ -290,22 +313,23 @@ def _labelled(member: DataFrame, links: DataFrame) -> DataFrame:
     return kept(member.join(found.withColumnRenamed("node", "at"), F.col("cls") == F.col("at"), "left").select(*member.columns, F.coalesce("component", "cls").alias("known")))
 
 
-def _across(texts: DataFrame, large: DataFrame, links: DataFrame) -> DataFrame:
+def _across(data: DataFrame, large: DataFrame, links: DataFrame, limit: tuple[int, int], exact: bool) -> DataFrame:
     """The links of clusters of several chunks: also those across chunks."""
-    before = None
+    before = large.agg(F.count(F.lit(1))).first()[0]
     while True:
         # one set of each component stands for it, in ever fewer chunks
         now = _labelled(large, links)
-        heads = now.groupBy("cluster", "known").agg(F.min(F.struct("cls", "n")).alias("head")).select("cluster", "known", "head.*")
-        heads = kept(_chunked(heads))
-        open_ = heads.join(heads.groupBy(F.col("cluster").alias("oc")).agg(F.count(F.lit(1)).alias("left")).where("left > 1"), F.col("cluster") == F.col("oc"), "left_semi")
-        left = open_.select("cluster", "chunk").distinct().count()
+        heads = kept(now.groupBy("cluster", "known").agg(F.min(F.struct("cls", "n")).alias("head")).select("cluster", "known", "head.*"))
+        several = heads.groupBy(F.col("cluster").alias("oc")).agg(F.count(F.lit(1)).alias("left")).where("left > 1")
+        open_ = kept(heads.join(several, F.col("cluster") == F.col("oc"), "left_semi"))
+        left = open_.count()
         if not left:
             return links
-        if before is not None and left > before / 2:
+        if left > before / 2:
             break
         before = left
-        links = kept(links.unionAll(_links(texts, open_.select("cls", F.concat_ws(":", "cluster", "chunk").alias("grp"), F.expr(_ONE), "known"))))
+        groups = _chunked(open_, limit).select("cls", F.concat_ws(":", "cluster", "chunk").alias("grp"), F.expr(_ONE), "known")
+        links = kept(links.unionAll(_links(data, groups, exact)))
     # the sets outside the cluster's largest component against all others
     sizes = kept(now.groupBy("cluster", "known").agg(F.count(F.lit(1)).alias("c")))
     top = kept(sizes.groupBy(F.col("cluster").alias("of")).agg(F.max_by("known", F.struct("c", "known")).alias("top")))
@@ -315,7 +339,7 @@ def _across(texts: DataFrame, large: DataFrame, links: DataFrame) -> DataFrame:
     among = judged.where(apart & (F.col("chunk") != F.col("other"))).select(
         "cls", F.concat_ws(":", "cluster", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("grp"), F.when(F.col("chunk") < F.col("other"), 0).otherwise(1).alias("side"), "known"
     )
-    return kept(links.unionAll(_links(texts, against)).unionAll(_links(texts, among)))
+    return kept(links.unionAll(_links(data, against, exact)).unionAll(_links(data, among, exact)))
 
 
 def _first(table: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -15,7 +15,8 @@ import numpy as np
 from .components import Forest
 
 FAN = 8
-BLOCK = 1 << 21  # 64-bit words of bitmaps compared at once
+MOST_BITS = 1 << 17
+BLOCK = 1 << 20  # 64-bit words of bitmaps compared at once
 
 
 def enough(common: int, a: int, b: int) -> bool:
@@ -32,25 +33,30 @@ def common(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum())
 
 
+def bitmap_of(tokens: np.ndarray) -> np.ndarray:
+    """Bits of a set, 3 to 6 a token up to ``MOST_BITS``, as 64-bit words."""
+    width = min(MOST_BITS, max(64, 1 << (3 * len(tokens) - 1).bit_length()))
+    bit = (tokens >> np.uint64(20)) & np.uint64(width - 1)
+    return np.packbits(np.bincount(bit.astype(np.int64), minlength=width) > 0, bitorder="little").view(np.uint64)
+
+
 class SignatureTree:
-    """Levels of (bitmaps, least size, largest size, most doubled tokens)."""
-
-    def __init__(self, sets: list[np.ndarray], width: int) -> None:
-        self.sets = sets
-        words = width // 64
-        bitmap = np.zeros((len(sets), words), np.uint64)
-        for i, s in enumerate(sets):
-            bit = (s >> np.uint64(20)) & np.uint64(width - 1)
-            np.bitwise_or.at(bitmap[i], (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
-        size = np.array([len(s) for s in sets], np.int64)
-        doubled = size - np.bitwise_count(bitmap).sum(axis=1).astype(np.int64)
+    """Levels of (bitmaps, least size, largest size, most doubled tokens).
+
+    Narrow bitmaps are repeated to the widest one's width; a token's bit is
+    its hash modulo the width, so they then have all bits a wide one would.
+    """
+
+    def __init__(self, bitmaps: list[np.ndarray], sizes: list[int]) -> None:
+        size = np.array(sizes, np.int64)
+        doubled = size - np.array([int(np.bitwise_count(x).sum()) for x in bitmaps], np.int64)
+        words = max((len(x) for x in bitmaps), default=1)
+        bitmap = np.stack([np.tile(x, words // len(x)) for x in bitmaps]) if bitmaps else np.zeros((0, words), np.uint64)
         self.levels = [(bitmap, size, size, doubled)]
-        while len(size) > 1:
-            cuts = np.arange(0, len(size), FAN)
-            bitmap, small, size, doubled = self.levels[-1]
-            size_ = np.maximum.reduceat(size, cuts)
-            self.levels.append((np.bitwise_or.reduceat(bitmap, cuts, axis=0), np.minimum.reduceat(small, cuts), size_, np.maximum.reduceat(doubled, cuts)))
-            size = size_
+        while len(self.levels[-1][1]) > 1:
+            bitmap, small, large, doubled = self.levels[-1]
+            cuts = np.arange(0, len(small), FAN)
+            self.levels.append((np.bitwise_or.reduceat(bitmap, cuts, axis=0), np.minimum.reduceat(small, cuts), np.maximum.reduceat(large, cuts), np.maximum.reduceat(doubled, cuts)))
 
 
 def _possible(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -68,27 +74,43 @@ def _possible(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return ok
 
 
-def spanning_links(keys: list[int], sets: list[np.ndarray], side: list[int] | None = None, known: list[int] | None = None) -> list[tuple[int, int]]:
+def spanning_links(
+    keys: list[int],
+    bitmaps: list[np.ndarray],
+    sizes: list[int],
+    order_by: list[tuple[int, int]],
+    sets: list[np.ndarray] | None = None,
+    side: list[int] | None = None,
+    known: list[int] | None = None,
+) -> list[tuple[int, int]]:
     """Links that join all sets which similar pairs connect, as key pairs.
 
-    ``side`` 0 and 1: only pairs across the sides are compared.  ``known``
-    names the component a set is already known to be in; pairs inside one are
-    not compared again.
+    Without ``sets`` the pairs are those that may be similar by their bitmaps,
+    a superset.  ``side`` 0 and 1: only pairs across the sides are compared.
+    ``known`` names the component a set is already known to be in; pairs
+    inside one are not compared again.
     """
     n = len(keys)
-    order = sorted(range(n), key=lambda i: (sets[i][:1].tolist(), sets[i][1:2].tolist(), len(sets[i])))
-    sets, keys = [sets[i] for i in order], [keys[i] for i in order]
-    side = [side[i] for i in order] if side else None
+    order = sorted(range(n), key=lambda i: (len(bitmaps[i]), order_by[i], sizes[i]))
+    pick = lambda x: [x[i] for i in order] if x is not None else None
+    keys, sets, side, sizes = pick(keys), pick(sets), pick(side), pick(sizes)
+    tree = SignatureTree(pick(bitmaps), sizes)
+    bottom = tree.levels[0]
     forest, links = Forest(), []
     if known:
         first: dict[int, int] = {}
         for at, i in enumerate(order):
             forest.join(at, first.setdefault(known[i], at))
 
+    def similar(i: int, j: int) -> bool:
+        if sets is not None:
+            return enough(common(sets[i], sets[j]), sizes[i], sizes[j])
+        return bool(_possible(bottom, bottom, np.array([i]), np.array([j]))[0])
+
     def link(i: int, j: int) -> bool:
         if forest.root(i) == forest.root(j):
             return True
-        if enough(common(sets[i], sets[j]), len(sets[i]), len(sets[j])):
+        if similar(i, j):
             forest.join(i, j)
             links.append((keys[i], keys[j]))
             return True
@@ -100,9 +122,6 @@ def spanning_links(keys: list[int], sets: list[np.ndarray], side: list[int] | No
         for i in range(1, n):
             if not link(leader, i) and not link(i - 1, i):
                 leader = i
-    median = int(np.median([len(s) for s in sets])) if n else 0
-    width = min(1 << 15, max(256, 1 << (4 * median).bit_length()))
-    tree = SignatureTree(sets, width)
     sides = np.array(side or [0] * n)
     i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
     for depth in range(len(tree.levels) - 1, -1, -1):
