@@ -41,9 +41,9 @@ from .signature_tree import bitmap_of, spanning_links
 from .storage import kept, partitions
 from .text_hash import U, mix, row_shingles
 
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 2_000_000
 HOT_TOKENS = 200_000
-TEXT_TOKENS, BITMAP_TOKENS, CHUNK_SETS = 1_500_000, 12_000_000, 4000  # of a chunk
+TEXT_TOKENS, BITMAP_TOKENS, CHUNK_SETS = 1_500_000, 6_000_000, 2000  # of a chunk
 WIDTH = 5
 
 

@@ -16,7 +16,8 @@ from .components import Forest
 
 FAN = 8
 MOST_BITS = 1 << 17
-BLOCK = 1 << 20  # 64-bit words of bitmaps compared at once
+PAIRS = 2048  # of nodes that are opened at once
+BLOCK = 1 << 19  # 64-bit words of bitmaps compared at once
 
 
 def enough(common: int, a: int, b: int) -> bool:
@@ -123,29 +124,35 @@ def spanning_links(
             if not link(leader, i) and not link(i - 1, i):
                 leader = i
     sides = np.array(side or [0] * n)
-    i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
-    for depth in range(len(tree.levels) - 1, -1, -1):
-        level = tree.levels[depth]
-        span = FAN**depth
-        # a node whose sets are all in one component, and all on one side, can be left out against its like
-        roots = np.array([forest.root(x) for x in range(n)])
-        cuts = np.arange(0, n, span)
-        low, high = np.minimum.reduceat(roots, cuts), np.maximum.reduceat(roots, cuts)
+    uniform: dict[int, tuple] = {}
+    made = -1
+    stack = [(len(tree.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    while stack:
+        depth, i, j = stack.pop()
+        if made != len(links):  # links since the last look may have settled more nodes
+            made, uniform = len(links), {}
+            roots = np.array([forest.root(x) for x in range(n)])
+        if depth not in uniform:
+            cuts = np.arange(0, n, FAN**depth)
+            ends = lambda x: (np.minimum.reduceat(x, cuts), np.maximum.reduceat(x, cuts))  # noqa: E731, B023
+            uniform[depth] = *ends(roots), *ends(sides)
+        low, high, down, up = uniform[depth]
+        # nodes whose sets are all in one component, or all on one side, need no look at their like
         settled = (low[i] == high[i]) & (low[j] == high[j]) & (low[i] == low[j])
         if side:
-            down, up = np.minimum.reduceat(sides, cuts), np.maximum.reduceat(sides, cuts)
             settled |= (down[i] == up[i]) & (down[j] == up[j]) & (down[i] == down[j])
         i, j = i[~settled], j[~settled]
-        ok = _possible(level, level, i, j)
+        ok = _possible(tree.levels[depth], tree.levels[depth], i, j)
         i, j = i[ok], j[ok]
         if not depth:
-            break
+            for a, b in zip(i.tolist(), j.tolist(), strict=True):
+                if a != b and not (side and side[a] == side[b]):
+                    link(a, b)
+            continue
         below = len(tree.levels[depth - 1][1])
-        ci = (i[:, None] * FAN + np.repeat(np.arange(FAN), FAN)).ravel()
-        cj = (j[:, None] * FAN + np.tile(np.arange(FAN), FAN)).ravel()
-        inside = (ci < below) & (cj < below) & (ci <= cj)
-        i, j = ci[inside], cj[inside]
-    for a, b in zip(i.tolist(), j.tolist(), strict=True):
-        if a != b and not (side and side[a] == side[b]):
-            link(a, b)
+        for s in range(0, len(i), PAIRS):  # bounds what waits, whatever the number of pairs
+            ci = (i[s : s + PAIRS, None] * FAN + np.repeat(np.arange(FAN), FAN)).ravel()
+            cj = (j[s : s + PAIRS, None] * FAN + np.tile(np.arange(FAN), FAN)).ravel()
+            inside = (ci < below) & (cj < below) & (ci <= cj)
+            stack.append((depth - 1, ci[inside], cj[inside]))
     return links
