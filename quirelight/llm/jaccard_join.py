@@ -43,7 +43,7 @@ from .text_hash import U, mix, row_shingles
 
 BLOCK_TOKENS = 2_000_000
 HOT_TOKENS = 200_000
-TEXT_TOKENS, BITMAP_TOKENS, CHUNK_SETS = 1_500_000, 6_000_000, 2000  # of a chunk
+TEXT_TOKENS, BITMAP_TOKENS, CHUNK_SETS = 1_500_000, 16_000_000, 2000  # of a chunk
 WIDTH = 5
 
 
@@ -330,16 +330,26 @@ def _across(data: DataFrame, large: DataFrame, links: DataFrame, limit: tuple[in
         before = left
         groups = _chunked(open_, limit).select("cls", F.concat_ws(":", "cluster", "chunk").alias("grp"), F.expr(_ONE), "known")
         links = kept(links.unionAll(_links(data, groups, exact)))
-    # the sets outside the cluster's largest component against all others
-    sizes = kept(now.groupBy("cluster", "known").agg(F.count(F.lit(1)).alias("c")))
-    top = kept(sizes.groupBy(F.col("cluster").alias("of")).agg(F.max_by("known", F.struct("c", "known")).alias("top")))
-    judged = kept(now.join(top, F.col("cluster") == F.col("of")).withColumn("other", F.explode(F.when(F.col("known") == F.col("top"), F.array("chunk")).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1)))))
-    apart = F.col("known") != F.col("top")
-    against = judged.select("cls", F.concat_ws(":", "cluster", "other", F.lit("t")).alias("grp"), F.when(apart, 1).otherwise(0).alias("side"), "known")
-    among = judged.where(apart & (F.col("chunk") != F.col("other"))).select(
-        "cls", F.concat_ws(":", "cluster", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("grp"), F.when(F.col("chunk") < F.col("other"), 0).otherwise(1).alias("side"), "known"
-    )
-    return kept(links.unionAll(_links(data, against, exact)).unionAll(_links(data, among, exact)))
+    # A component that holds over half of a cluster's sets is not compared with itself: the
+    # sets apart from it meet it and each other, dealt into chunks of their own.
+    sizes = kept(now.groupBy("cluster", "known").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("tokens")))
+    per = sizes.groupBy(F.col("cluster").alias("of")).agg(F.max(F.struct("c", "known", "tokens")).alias("top"), F.sum("c").alias("sets"), F.sum("tokens").alias("tokens"))
+    main = F.col("top.c") * 2 > F.col("sets")
+    rest = [F.col(x) - F.when(main, F.col(f"top.{y}")).otherwise(0) for x, y in (("tokens", "tokens"), ("sets", "c"))]
+    parts = F.greatest(F.lit(1), *(F.ceil(x / most) for x, most in zip(rest, limit, strict=True))).cast("int")
+    per = kept(per.select("of", F.when(main, F.col("top.known")).alias("main"), parts.alias("parts")))
+    judged = kept(now.join(per, F.col("cluster") == F.col("of")).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")))
+    apart = ~F.col("known").eqNullSafe(F.col("main"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    there = judged.where("main is not null").withColumn("x", F.explode(F.when(apart, every("chunks")).otherwise(F.array("chunk"))))
+    there = there.withColumn("y", F.explode(F.when(apart, F.array("part")).otherwise(every("parts"))))
+    against = there.select("cls", F.concat_ws(":", "cluster", "x", "y", F.lit("t")).alias("grp"), F.when(apart, 1).otherwise(0).alias("side"), "known")
+    # chunks of the same number hold the same sets as before, which have met
+    again = (F.col("part") != F.col("other")) | (F.col("parts") != F.col("chunks"))
+    side = F.when(F.col("part") < F.col("other"), 0).when(F.col("part") > F.col("other"), 1)
+    among = judged.where(apart).withColumn("other", F.explode(every("parts"))).where(again)
+    among = among.select("cls", F.concat_ws(":", "cluster", F.least("part", "other"), F.greatest("part", "other")).alias("grp"), side.alias("side"), "known")
+    return kept(links.unionAll(_links(data, against.unionAll(among), exact)))
 
 
 def _first(table: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
