@@ -43,8 +43,9 @@ from .text_hash import U, mix, row_shingles
 
 BLOCK_TOKENS = 2_000_000
 HOT_TOKENS = 200_000
-TEXT_TOKENS, BITMAP_TOKENS, CHUNK_SETS = 1_500_000, 16_000_000, 2000  # of a chunk
+TEXT_TOKENS, BITMAP_TOKENS, CHUNK_SETS = 1_500_000, 8_000_000, 1000  # of a chunk
 WIDTH = 5
+STEP_ROWS = 64  # whose data leave Arrow at a time
 
 
 def class_key(tokens: np.ndarray) -> int:
@@ -231,7 +232,7 @@ def _joined(exact: bool):
                 found = spanning_links(list(members), bitmaps, [r[0] for r in rows], order, [r[3] for r in rows] if exact else None, None if sides[0] is None else sides, [r[2] for r in rows])
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
-        for batch in batches:
+        for batch in (b.slice(k, STEP_ROWS) for b in batches for k in range(0, b.num_rows, STEP_ROWS)):
             groups, classes, sizes, sides, known = (batch.column(k).to_pylist() for k in range(5))
             data = row_shingles(batch.column(5), WIDTH) if exact else ((i, np.frombuffer(x, U)) for i, x in enumerate(batch.column(5).to_pylist()))
             for i, x in data:

@@ -52,7 +52,9 @@ class SignatureTree:
         size = np.array(sizes, np.int64)
         doubled = size - np.array([int(np.bitwise_count(x).sum()) for x in bitmaps], np.int64)
         words = max((len(x) for x in bitmaps), default=1)
-        bitmap = np.stack([np.tile(x, words // len(x)) for x in bitmaps]) if bitmaps else np.zeros((0, words), np.uint64)
+        bitmap = np.empty((len(bitmaps), words), np.uint64)
+        for row, x in zip(bitmap, bitmaps, strict=True):
+            row.reshape(-1, len(x))[:] = x
         self.levels = [(bitmap, size, size, doubled)]
         while len(self.levels[-1][1]) > 1:
             bitmap, small, large, doubled = self.levels[-1]
@@ -126,9 +128,13 @@ def spanning_links(
     sides = np.array(side or [0] * n)
     uniform: dict[int, tuple] = {}
     made = -1
-    stack = [(len(tree.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    stack = [(len(tree.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64), False)]
     while stack:
-        depth, i, j = stack.pop()
+        depth, i, j, parents = stack.pop()
+        if parents:  # opened only now, which bounds what waits
+            i, j = (i[:, None] * FAN + np.repeat(np.arange(FAN), FAN)).ravel(), (j[:, None] * FAN + np.tile(np.arange(FAN), FAN)).ravel()
+            inside = (i < len(tree.levels[depth][1])) & (j < len(tree.levels[depth][1])) & (i <= j)
+            i, j = i[inside], j[inside]
         if made != len(links):  # links since the last look may have settled more nodes
             made, uniform = len(links), {}
             roots = np.array([forest.root(x) for x in range(n)])
@@ -149,10 +155,5 @@ def spanning_links(
                 if a != b and not (side and side[a] == side[b]):
                     link(a, b)
             continue
-        below = len(tree.levels[depth - 1][1])
-        for s in range(0, len(i), PAIRS):  # bounds what waits, whatever the number of pairs
-            ci = (i[s : s + PAIRS, None] * FAN + np.repeat(np.arange(FAN), FAN)).ravel()
-            cj = (j[s : s + PAIRS, None] * FAN + np.tile(np.arange(FAN), FAN)).ravel()
-            inside = (ci < below) & (cj < below) & (ci <= cj)
-            stack.append((depth - 1, ci[inside], cj[inside]))
+        stack += [(depth - 1, i[s : s + PAIRS], j[s : s + PAIRS], True) for s in range(0, len(i), PAIRS)]
     return links
