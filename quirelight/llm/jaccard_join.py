@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .components import Forest, components
 from .signature_tree import bitmap_of, spanning_links
-from .storage import kept, partitions
+from .storage import kept, partitions, small_batches
 from .text_hash import U, mix, row_shingles
 
 BLOCK_TOKENS = 2_000_000
@@ -46,6 +46,7 @@ HOT_TOKENS = 200_000
 TEXT_TOKENS, BITMAP_TOKENS, CHUNK_SETS = 1_500_000, 8_000_000, 1000  # of a chunk
 WIDTH = 5
 STEP_ROWS = 64  # whose data leave Arrow at a time
+BATCH_ROWS = 128  # of an Arrow batch; texts, bitmaps and packed runs are wide
 
 
 def class_key(tokens: np.ndarray) -> int:
@@ -364,7 +365,8 @@ def _first(table: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    table, found = _classes(docs, id_col, text_col)
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        table, found = _classes(docs, id_col, text_col)
     classes, first = _first(table, found)
     named = kept(classes.join(first, F.col("root") == F.col("r")).select(F.col("cls").alias("k"), F.col("best.doc_id").alias("component_id")))
     done = table.join(named, (F.col("cls") == F.col("k")) & (F.col("n") > 0), "left")
@@ -373,7 +375,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without words, and the first row of each component."""
-    _, first = _first(*_classes(docs, id_col, text_col))
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        table, found = _classes(docs, id_col, text_col)
+    _, first = _first(table, found)
     first = kept(first.select(F.col("best.doc_id").alias("__id"), F.col("best.t").alias("__t")))
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     worded = text.rlike(r"[^\x20\x09-\x0D]")

@@ -16,6 +16,7 @@ U = np.uint64
 _BASE = 0x9E3779B97F4A7C55  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 CHUNK_BYTES = 1 << 20
+SHINGLE_BYTES = 1 << 18  # of texts whose shingles are made at once
 
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
@@ -38,9 +39,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if n > CHUNK_BYTES * 2:
         return _power_table(_BASE, n), _power_table(_INVERSE, n)
-    if not _tables:
-        _tables["up"] = _power_table(_BASE, CHUNK_BYTES * 2)
-        _tables["down"] = _power_table(_INVERSE, CHUNK_BYTES * 2)
+    if not _tables or len(_tables["up"]) < n:
+        most = min(CHUNK_BYTES * 2, 1 << (n - 1).bit_length())
+        _tables["up"], _tables["down"] = _power_table(_BASE, most), _power_table(_INVERSE, most)
     return _tables["up"][:n], _tables["down"][:n]
 
 
@@ -140,7 +141,7 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, width: int = 5) -> tup
 def row_shingles(column: pa.Array, width: int = 5) -> Iterator[tuple[int, np.ndarray]]:
     """(row, its distinct shingle hashes in ascending order) for each row."""
     raw, offsets = texts_of(column)
-    for a, b in chunks(offsets):
+    for a, b in chunks(offsets, SHINGLE_BYTES):
         part = raw[offsets[a] : offsets[b]]
         sh, have = shingle_hashes(*word_hashes(part, offsets[a : b + 1] - offsets[a]), width)
         at = np.concatenate([[0], np.cumsum(have)])
