@@ -43,7 +43,7 @@ from .text_hash import U, mix, row_shingles
 
 BLOCK_TOKENS = 2_000_000
 HOT_TOKENS = 200_000
-TEXT_TOKENS, BITMAP_TOKENS, CHUNK_SETS = 1_500_000, 8_000_000, 1000  # of a chunk
+TEXT_TOKENS, BITMAP_TOKENS, CHUNK_SETS = 3_000_000, 16_000_000, 4000  # of a chunk
 WIDTH = 5
 STEP_ROWS = 64  # whose data leave Arrow at a time
 BATCH_ROWS = 128  # of an Arrow batch; texts, bitmaps and packed runs are wide
