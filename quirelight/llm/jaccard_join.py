@@ -42,7 +42,7 @@ from .storage import kept, partitions, small_batches
 from .text_hash import U, mix, row_shingles
 
 BLOCK_TOKENS = 2_000_000
-HOT_TOKENS = 200_000
+HOT_TOKENS = 1_000_000
 TEXT_TOKENS, BITMAP_TOKENS, CHUNK_SETS = 3_000_000, 16_000_000, 4000  # of a chunk
 WIDTH = 5
 STEP_ROWS = 64  # whose data leave Arrow at a time
@@ -279,7 +279,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     survey = kept(rows.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(_survey, _ROWS))
     table = survey.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("cls"), "n", "t")
-    often = survey.where("kind = 1").groupBy("a").agg(F.sum("n").alias("c")).where("c > 3").orderBy(F.desc("c"), "a").limit(HOT_TOKENS).toPandas()
+    often = survey.where("kind = 1").groupBy("a").agg(F.sum("n").alias("c")).where("c > 1").orderBy(F.desc("c"), "a").limit(HOT_TOKENS).toPandas()
     tokens = often["a"].to_numpy(np.int64).view(U)
     by_token = np.argsort(tokens)
     hot = spark.sparkContext.broadcast((tokens[by_token], often["c"].to_numpy(np.int64)[by_token]))  # HOT_TOKENS pairs at most
