@@ -273,16 +273,39 @@ def _clusters(links: DataFrame, classes: DataFrame) -> DataFrame:
     return kept(kept(member).join(classes, F.col("c") == F.col("cls")).drop("c"))
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(2)], axis=1) for b in batches]
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(held).astype(np.int64).tobytes()], pa.binary())], names=["blob"])
+
+
+def _frequent(survey: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens that sets of a block share, ascending, and how frequent each is on a
+    log scale: the most frequent steps of it that have HOT_TOKENS at most together."""
+    counts = survey.where("kind = 1").groupBy("a").agg(F.sum("n").alias("c"))
+    counts = kept(counts.select("a", F.floor(F.log2("c") * 4).alias("step")))
+    steps = counts.groupBy("step").agg(F.count(F.lit(1)).alias("tokens")).collect()  # 4 rows a doubling of the count
+    left, least = HOT_TOKENS, None
+    for r in sorted(steps, key=lambda r: -r.step):
+        if (left := left - r.tokens) < 0:
+            break
+        least = r.step
+    if least is None:
+        return np.zeros(0, U), np.zeros(0, np.int16)
+    rows = counts.where(F.col("step") >= least).mapInArrow(_packed, "blob binary").collect()  # 16 bytes a token
+    both = np.concatenate([np.frombuffer(r.blob, np.int64).reshape(-1, 2) for r in rows])
+    tokens = both[:, 0].copy().view(U)
+    order = np.argsort(tokens)
+    return tokens[order], both[order, 1].astype(np.int16)
+
+
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(doc_id, cls, n, t of every row; cls, root of linked classes)."""
     spark = docs.sparkSession
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     survey = kept(rows.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(_survey, _ROWS))
     table = survey.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("cls"), "n", "t")
-    often = survey.where("kind = 1").groupBy("a").agg(F.sum("n").alias("c")).where("c > 1").orderBy(F.desc("c"), "a").limit(HOT_TOKENS).toPandas()
-    tokens = often["a"].to_numpy(np.int64).view(U)
-    by_token = np.argsort(tokens)
-    hot = spark.sparkContext.broadcast((tokens[by_token], often["c"].to_numpy(np.int64)[by_token]))  # HOT_TOKENS pairs at most
+    hot = spark.sparkContext.broadcast(_frequent(survey))
 
     buckets = 4 * partitions(spark)
     dealt = rows.select("text").mapInArrow(_deal(hot, buckets), "bucket int, run boolean, blob binary")
