@@ -337,6 +337,19 @@ def test_lm_scoring(spark, docs, rows, empty):
     assert lm_scoring.score(empty, lm_scoring.fit(empty, pieces)).collect() == []
 
 
+def test_reader_takes_more_words_than_its_memo(monkeypatch):
+    pieces = token_counts.read_vocabulary(token_counts.VOCABULARY)
+    classes, shares = lm_scoring.classes_of(np.ones(len(pieces)))
+    large, texts = lm_scoring.Reader(pieces, classes, shares), ["one two three", " ".join("q%d" % k for k in range(500)), "three two"]
+    monkeypatch.setattr(lm_scoring, "MEMO_WORDS", 50)
+    small = lm_scoring.Reader(pieces, classes, shares)
+    for text in texts:
+        part = np.frombuffer(text.encode(), np.uint8)
+        at = np.array([0, len(part)])
+        got, want = (x.read(part, at, *lm_scoring.word_hashes(part, at)) for x in (small, large))
+        assert all(np.array_equal(g, w) for g, w in zip(got, want, strict=True))
+
+
 def test_model_places_and_gradient():
     p = {k: v.astype(float) for k, v in attention_model.initial(np.log(np.full(5, 0.2))).items()}
     ids, lengths = np.random.default_rng(6).integers(0, 5, 90), np.array([1, 60, 16, 13])
