@@ -337,6 +337,15 @@ def test_lm_scoring(spark, docs, rows, empty):
     assert lm_scoring.score(empty, lm_scoring.fit(empty, pieces)).collect() == []
 
 
+def test_lm_score_is_the_same_whatever_is_broadcast(docs, monkeypatch):
+    fitted = lm_scoring.fit(docs, token_counts.read_vocabulary(token_counts.VOCABULARY))
+    scores = lambda: sorted((r.doc_id or -1, r.n_tokens, r.n_known, round(r.base_score, 5), round(r.score, 5)) for r in lm_scoring.score(docs, fitted).collect())
+    want = scores()
+    for most in (500, 0):
+        monkeypatch.setattr(lm_scoring, "TOP_WORDS", most)
+        assert [x for g, w in zip(scores(), want, strict=True) for x in g] == pytest.approx([x for w in want for x in w], abs=1e-4)
+
+
 def test_reader_takes_more_words_than_its_memo(monkeypatch):
     pieces = token_counts.read_vocabulary(token_counts.VOCABULARY)
     classes, shares = lm_scoring.classes_of(np.ones(len(pieces)))
