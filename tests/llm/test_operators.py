@@ -346,6 +346,18 @@ def test_lm_score_is_the_same_whatever_is_broadcast(docs, monkeypatch):
         assert [x for g, w in zip(scores(), want, strict=True) for x in g] == pytest.approx([x for w in want for x in w], abs=1e-4)
 
 
+def test_model_learns_from_every_training_text(spark, docs, rows, monkeypatch):
+    pieces = token_counts.read_vocabulary(token_counts.VOCABULARY)
+    one = next(i for i in range(1, 100) if zlib.crc32(str(i).encode()) % 10 and spark.range(1).select(F.pmod(F.xxhash64(F.lit(i).cast("long"), F.lit(3)), F.lit(32))).first()[0])
+    alone = docs.where(F.col("doc_id").isNull() & F.col("text").isNotNull()).withColumn("doc_id", F.lit(one).cast("long"))
+    weights = lm_scoring.fit(alone, pieces)["weights"].value
+    greedy = lm_scoring.Pieces(pieces)
+    training = [t for i, t in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 10]
+    assert lm_scoring.fit(docs, pieces)["trained"] == sum(1 + sum(len(greedy.of(w.encode())) for w in words(t)) for t in training)
+    monkeypatch.setattr(lm_scoring, "ROUNDS", 0)
+    assert not np.allclose(weights, lm_scoring.fit(alone, pieces)["weights"].value)
+
+
 def test_reader_takes_more_words_than_its_memo(monkeypatch):
     pieces = token_counts.read_vocabulary(token_counts.VOCABULARY)
     classes, shares = lm_scoring.classes_of(np.ones(len(pieces)))
