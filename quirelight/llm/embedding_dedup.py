@@ -94,6 +94,13 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, mask=~good)], names=["vec_id", "cls"])
 
 
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with their class beside the vector."""
+    for batch in batches:
+        for named in _classes(iter([batch])):
+            yield pa.RecordBatch.from_arrays([*batch.columns, named.column(1)], names=["vec_id", "label", "embedding", "cls"])
+
+
 def _hashed(k: int, tables: int):
     """cls, label, m, embedding and the packed 32-bit keys of all tables."""
 
@@ -197,10 +204,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     table = kept(rows.mapInArrow(_classes, "vec_id long, cls long"))
     n = rows.where("label is not null").groupBy("label").count().agg(F.max("count")).first()[0] or 1
     k, tables = tables_for(n, cosine)
-    # one copy of each class's vector, found through a row that has it
+    # one copy of each class's vector, found through a row of the class: an id may have other vectors too
     owners = table.where("cls is not null").groupBy("cls").agg(F.min(F.struct(F.col("vec_id").isNull(), "vec_id"))["vec_id"].alias("rep"), F.count(F.lit(1)).alias("m"))
     owners = kept(owners)
-    found = rows.join(owners, F.col("vec_id").eqNullSafe(F.col("rep")))
+    keyed = rows.mapInArrow(_keyed, "vec_id long, label long, embedding array<double>, cls long").withColumnRenamed("cls", "own")
+    found = keyed.join(owners, (F.col("own") == F.col("cls")) & F.col("vec_id").eqNullSafe(F.col("rep")))
     hashed = found.select("cls", "label", "m", "embedding").mapInArrow(_hashed(k, tables), "cls long, label long, m long, embedding array<double>, keys binary, by_table array<int>")
     hashed = kept(hashed.dropDuplicates(["cls"]))
     spots = hashed.select("cls", "label", F.size("embedding").alias("d"), F.posexplode("by_table").alias("table", "key"))

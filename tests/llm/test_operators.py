@@ -143,6 +143,16 @@ def test_embedding_dedup(spark, monkeypatch):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).collect() == []
 
 
+def test_embedding_dedup_with_shared_ids(spark):
+    a, b = np.eye(8)[0], np.eye(8)[1]
+    near = lambda v: (v + 0.01 * np.eye(8)[7]).tolist()
+    data = [(1, a.tolist(), 0), (1, b.tolist(), 0), (1, np.eye(8)[2].tolist(), 1), (2, near(a), 0), (3, near(b), 0), (4, near(np.eye(8)[2]), 1)]
+    data += [(None, np.eye(8)[k].tolist(), 0) for k in (3, 4, 5)] + [(10 + k, near(np.eye(8)[k]), 0) for k in (3, 4, 5)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int").repartition(3))
+    want = [(1, 1, 1, True)] * 3 + [(k, 1, 1, False) for k in (2, 3, 4)] + [(None, 1, 10 + k, False) for k in (3, 4, 5)] + [(10 + k, 1, 10 + k, True) for k in (3, 4, 5)]
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+
+
 def test_fingerprints(spark, docs, rows, empty):
     chain = sorted(rows, key=lambda r: r[1] or "", reverse=True)
     chain.sort(key=lambda r: (r[0] is None, -(r[0] or 0)))
