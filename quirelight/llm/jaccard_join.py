@@ -4,21 +4,22 @@ A document's set holds the 64-bit hashes of its distinct five-word shingles
 (fewer words: the whole sequence as one).  Equal sets form a class, known by a
 64-bit hash of the set.
 
-1. Deal: in one pass each class emits the prefix of its set in a fixed order
-   of tokens; similar sets share a prefix token.  The order puts tokens known
-   to be frequent last (an order only; every token stays in the sets).  What
-   a block of documents shares is linked on the spot, and one posting a token
-   and block goes on, packed, so no token's list exceeds the blocks' number.
-2. Clusters: components of the graph of shared prefix tokens, a superset of
-   the similarity graph.
-3. Refine: the bitmaps of a cluster's sets meet in a signature tree, whose
-   dual traversal splits the cluster into sets that may still be similar.
-4. Join: the texts of what is left of a cluster meet in such a tree again and
-   the pairs that survive are checked exactly.
-   In both, sets known to be connected are not compared again.  Large clusters
-   are cut into chunks; each chunk is joined, then one set a component across
-   chunks, and at last only the sets outside a cluster's largest component
-   against all.
+1. Count: each block of documents sends the tokens of its classes, packed, to
+   the token's bucket, which counts the classes of each token and answers those
+   classes whose token another one has too.  Tokens that many sets of a block
+   share are known from a first pass and are not sent to one bucket.
+2. Gather: a class now has its shared tokens and how frequent each is in all
+   documents.  Whatever two sets have in common is among the shared tokens of
+   both, so sets with too few of them are done, and the others are compared by
+   these alone, without their texts.  Similar sets share a token of their
+   prefixes in the order of frequency, the rarest first.
+3. Clusters: sets of like size that share a prefix token, joined.  What meets
+   in one task is linked there, so a token goes on once a task.
+4. Join: a cluster's sets meet in a signature tree; the pairs of leaves that
+   its dual traversal leaves are checked exactly.  Sets known to be connected
+   are not compared again.  Large clusters are cut into chunks; each chunk is
+   joined, then one set a component across chunks, and at last only the sets
+   outside a cluster's largest component against all.
 
 Defined results: null and empty texts have 0 shingles and are linked with
 nothing, so component_id is their own doc_id; rows that repeat a doc_id are
@@ -38,15 +39,14 @@ from pyspark.sql import functions as F
 
 from .components import Forest, components
 from .signature_tree import bitmap_of, spanning_links
-from .storage import kept, partitions, small_batches
+from .storage import dropped, kept, partitions, written
 from .text_hash import U, mix, row_shingles
 
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 2_000_000  # of sets that are dealt at once, and of a bucket
+OFTEN = 64  # sets of a block that share a token that is not sent to one bucket
 HOT_TOKENS = 1_000_000
-TEXT_TOKENS, BITMAP_TOKENS, CHUNK_SETS = 3_000_000, 16_000_000, 4000  # of a chunk
+CHUNK_TOKENS, CHUNK_SETS = 3_000_000, 4000
 WIDTH = 5
-STEP_ROWS = 64  # whose data leave Arrow at a time
-BATCH_ROWS = 128  # of an Arrow batch; texts, bitmaps and packed runs are wide
 
 
 def class_key(tokens: np.ndarray) -> int:
@@ -60,41 +60,167 @@ def prefix_length(n: int) -> int:
     return n - -(-3 * n // 4) + 1
 
 
-def _batch(kind: list, a: list, b: list, n: list, t: list, bits: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), *(pa.array(x, pa.int64()) for x in (a, b, n, t)), pa.array(bits, pa.binary())], names=["kind", "a", "b", "n", "t", "bits"])
+def _batch(names: str, *columns: list) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in names.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(x, kinds[kind]) for x, (_, kind) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-_ROWS = "kind int, a long, b long, n long, t long, bits binary"
+_ROWS = "kind int, a long, b long, n long, t long"
 
 
-def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: (doc_id, class, size, text hash, bits; these once a block); kind 1: (token, sets in a block), if over 1."""
-    block: list[np.ndarray] = []
-    seen: set[int] = set()
-    held = 0
+def _survey(often: int, most: int):
+    """kind 0: (doc_id, class, size, text hash); kind 1: (token, sets of a block), if ``often`` at least."""
 
-    def tally() -> pa.RecordBatch:
-        tokens, counts = np.unique(np.concatenate(block) if block else np.zeros(0, U), return_counts=True)
-        often = counts > 1
-        k = int(often.sum())
-        return _batch([1] * k, tokens[often].view(np.int64), [None] * k, counts[often], [None] * k, [None] * k)
+    def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: list[np.ndarray] = []
+        seen: set[int] = set()
+        held = 0
 
-    for batch in batches:
-        keys, sizes, bits = [], [], []
-        for _, tokens in row_shingles(batch.column(1), WIDTH):
-            keys.append(key := class_key(tokens))
-            sizes.append(len(tokens))
-            bits.append(tokens[[0, min(1, len(tokens) - 1)]].tobytes() + bitmap_of(tokens).tobytes() if len(tokens) and key not in seen else None)
-            if key not in seen:
+        def tally() -> pa.RecordBatch:
+            tokens, counts = np.unique(np.concatenate(block) if block else np.zeros(0, U), return_counts=True)
+            some = counts >= often
+            k = int(some.sum())
+            return _batch(_ROWS, [1] * k, tokens[some].view(np.int64), [None] * k, counts[some], [None] * k)
+
+        for batch in batches:
+            keys, sizes = [], []
+            for _, tokens in row_shingles(batch.column(1), WIDTH):
+                keys.append(key := class_key(tokens))
+                sizes.append(len(tokens))
+                if key not in seen:
+                    seen.add(key)
+                    block.append(tokens)
+                    held += len(tokens)
+                if held > most:
+                    yield tally()
+                    block, held = [], 0
+                    seen.clear()
+            yield _batch(_ROWS, [0] * len(keys), batch.column(0).to_pylist(), keys, sizes, batch.column(2).to_pylist())
+        yield tally()
+
+    return survey
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Ascending numbers as the bytes of their differences, the lowest of all first; the high ones are 0."""
+    return np.diff(x, prepend=U(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _ascending(blob: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(blob, np.uint8).reshape(8, -1).T.copy().view(U).ravel(), dtype=U)
+
+
+def _home(cls: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(cls.view(U)) % U(buckets)).astype(np.int64)
+
+
+# bucket of tokens; of classes, if answered; classes, their sizes, and of each token: its class (its number in
+# the table; answered: tokens a class), itself (answered: as it is), and answered: its place in the order
+_DEALT = "bucket int, home int, cls binary, n binary, at binary, token binary, place binary"
+_ANSWER = "home int, cls binary, n binary, many binary, token binary, place binary"
+_LATE = 1 << 31  # the place of tokens that are not counted in a bucket, after all others
+
+
+def _answers(cls: np.ndarray, n: np.ndarray, token: np.ndarray, place: np.ndarray, buckets: int) -> Iterator[tuple]:
+    """Rows of ``_ANSWER`` from one entry a class and token."""
+    order = np.argsort(cls, kind="stable")
+    home = _home(cls[order], buckets)
+    order = order[np.argsort(home, kind="stable")]
+    cls, n, token, place, home = cls[order], n[order], token[order], place[order], _home(cls[order], buckets)
+    cuts = np.searchsorted(home, np.arange(buckets + 1))
+    for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+        s = slice(cuts[k], cuts[k + 1])
+        start = np.flatnonzero(np.concatenate([[True], cls[s][1:] != cls[s][:-1]]))
+        many = np.diff(np.append(start, cuts[k + 1] - cuts[k]))
+        yield k, cls[s][start].tobytes(), n[s][start].astype("<u4").tobytes(), many.astype("<u4").tobytes(), token[s].tobytes(), place[s].astype("<u4").tobytes()
+
+
+def _deal(hot, buckets: int, most: int):
+    """Rows of ``_DEALT``: the tokens of the classes of a block by bucket; of frequent tokens, answers."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rank = hot.value  # tokens in ascending order and how frequent each is
+        keys: list[int] = []
+        taken: list[np.ndarray] = []
+        seen: set[int] = set()
+        held = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if not keys:
+                return
+            cls, n = np.array(keys, np.int64), np.array([len(t) for t in taken], "<u4")
+            token, owner = np.concatenate(taken), np.repeat(np.arange(len(keys)), n)
+            if len(known):
+                at = np.searchsorted(known, token)
+                at[at == len(known)] = 0
+                late = known[at] == token
+                w = owner[late]
+                for home, *row in _answers(cls[w], n[w], token[late], _LATE + rank[at[late]].astype(np.int64), buckets):
+                    yield _batch(_DEALT, [home], [home], *([x] for x in row))
+                token, owner = token[~late], owner[~late]
+            order = np.argsort(token, kind="stable")
+            token, owner = token[order], owner[order]
+            bucket = ((token >> U(48)) * U(buckets)) >> U(16)
+            cuts = np.searchsorted(bucket, np.arange(buckets + 1).astype(U))
+            for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+                s = slice(cuts[k], cuts[k + 1])
+                there, at = np.unique(owner[s], return_inverse=True)
+                at = at.astype("<u4").view(np.uint8).reshape(-1, 4).T
+                yield _batch(_DEALT, [k], [None], [cls[there].tobytes()], [n[there].tobytes()], [at.tobytes()], [_planes(token[s])], [None])
+
+        for batch in batches:
+            for _, tokens in row_shingles(batch.column(0), WIDTH):
+                if not len(tokens) or (key := class_key(tokens)) in seen:
+                    continue
                 seen.add(key)
-                block.append(tokens)
+                keys.append(key)
+                taken.append(tokens)
                 held += len(tokens)
-        yield _batch([0] * len(keys), batch.column(0).to_pylist(), keys, sizes, batch.column(2).to_pylist(), bits)
-        if held > BLOCK_TOKENS:
-            yield tally()
-            block, held = [], 0
-            seen.clear()
-    yield tally()
+                if held > most:
+                    yield from out()
+                    keys, taken, held = [], [], 0
+                    seen.clear()
+        yield from out()
+
+    return deal
+
+
+def _count(buckets: int):
+    """Answers to the classes whose token another class has too; a bucket's rows come one after another."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        current = None
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            cls, n, token = (np.concatenate([x[k] for x in held]) for k in range(3))
+            order = np.lexsort((cls, token))
+            cls, n, token = cls[order], n[order], token[order]
+            new = np.concatenate([[True], (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])])  # copies in several blocks
+            cls, n, token = cls[new], n[new], token[new]
+            start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            many = np.diff(np.append(start, len(token)))
+            many = np.repeat(many, many)
+            some = many > 1
+            for row in _answers(cls[some], n[some], token[some], np.minimum(many[some], _LATE - 1), buckets):
+                yield _batch(_ANSWER, *([x] for x in row))
+
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                if row[1] is not None:
+                    yield _batch(_ANSWER, *([x] for x in row[1:]))
+                    continue
+                if row[0] != current and held:
+                    yield from counted()
+                    held = []
+                current = row[0]
+                at = np.frombuffer(row[4], np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+                held.append((np.frombuffer(row[2], np.int64)[at], np.frombuffer(row[3], "<u4")[at], _ascending(row[5])))
+        if held:
+            yield from counted()
+
+    return count
 
 
 # a run of sets that share a token, one of which names it, with its least and largest size on a log scale
@@ -122,80 +248,69 @@ def _edges(cls: np.ndarray, goes_on: np.ndarray) -> tuple[list[int], list[int]]:
     return nodes, [forest.root(x) for x in nodes]
 
 
-def _deal(hot, buckets: int):
-    """(bucket, is a run, blob): packed runs by bucket of their token, and packed links."""
+# kind 0: class, size, its shared tokens in ascending order; 1: bucket, runs; 2: bucket, links
+_GATHERED = "kind int, key long, n long, data binary"
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank = hot.value  # tokens in ascending order and how frequent each is
-        keys: list[int] = []
-        sizes: list[int] = []
-        taken: list[np.ndarray] = []
-        seen: set[int] = set()
-        held = 0
 
-        def out() -> Iterator[pa.RecordBatch]:
-            if not keys:
-                return
-            counts = [len(t) for t in taken]
-            token, cls = np.concatenate(taken), np.repeat(np.array(keys, np.int64), counts)
-            size = np.repeat(1000 * np.log(sizes), counts)
+def _gather(buckets: int):
+    """Rows of ``_GATHERED`` of the classes that have shared tokens enough; a home's rows come one after another."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        current = None
+
+        def gathered() -> Iterator[pa.RecordBatch]:
+            cls, n, token, place = (np.concatenate([x[k] for x in held]) for k in range(4))
+            order = np.lexsort((token, place, cls))
+            new = np.concatenate([[True], (cls[order][1:] != cls[order][:-1]) | (token[order][1:] != token[order][:-1])])
+            order = order[new]
+            cls, n, token = cls[order], n[order].astype(np.int64), token[order]
+            start = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
+            many = np.diff(np.append(start, len(cls)))
+            first = prefix_length(n[start]) - (n[start] - many)  # the prefix without the tokens of no other set
+            enough = first > 0
+            for s, k in zip(start[enough].tolist(), many[enough].tolist(), strict=True):
+                yield _batch(_GATHERED, [0], [int(cls[s])], [int(n[s])], [np.sort(token[s : s + k]).tobytes()])
+            inside = np.arange(len(cls)) - np.repeat(start, many) < np.repeat(first, many)
+            token, cls, size = token[inside], cls[inside], 1000 * np.log(n[inside])
             low, high = np.floor(size).astype(np.uint16), np.ceil(size).astype(np.uint16)
             order = np.lexsort((low, token))
             token, cls, low, high = token[order], cls[order], low[order], high[order]
             goes_on = _runs(token, low, high)
             links = np.array(_edges(cls, goes_on), np.int64).T.copy()
-            start = np.flatnonzero(~goes_on)
-            runs = np.zeros(len(start), _RUN)
-            runs["token"], runs["cls"], runs["low"], runs["high"] = token[start], cls[start], low[start], np.maximum.reduceat(high, start)
+            begin = np.flatnonzero(~goes_on)
+            if not len(begin):
+                return
+            runs = np.zeros(len(begin), _RUN)
+            runs["token"], runs["cls"], runs["low"], runs["high"] = token[begin], cls[begin], low[begin], np.maximum.reduceat(high, begin)
             bucket = (runs["token"] % U(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            runs, at = runs[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
-            full = np.flatnonzero(at[1:] > at[:-1])
+            runs, cuts = runs[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+            full = np.flatnonzero(cuts[1:] > cuts[:-1]).tolist()
             parts = np.array_split(links, min(buckets, 1 + len(links) // 1000))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([*full.tolist(), *range(len(parts))], pa.int32()),
-                    pa.array([True] * len(full) + [False] * len(parts)),
-                    pa.array([*(runs[at[k] : at[k + 1]].tobytes() for k in full), *(p.tobytes() for p in parts)], pa.binary()),
-                ],
-                names=["bucket", "run", "blob"],
-            )
+            blobs = [*(runs[cuts[k] : cuts[k + 1]].tobytes() for k in full), *(p.tobytes() for p in parts)]
+            yield _batch(_GATHERED, [1] * len(full) + [2] * len(parts), [*full, *range(len(parts))], [None] * len(blobs), blobs)
 
         for batch in batches:
-            for _, tokens in row_shingles(batch.column(0), WIDTH):
-                if not len(tokens) or (key := class_key(tokens)) in seen:
-                    continue
-                seen.add(key)
-                p = prefix_length(len(tokens))
-                if len(known):
-                    at = np.searchsorted(known, tokens)
-                    at[at == len(known)] = 0
-                    frequent = known[at] == tokens
-                    prefix = tokens[~frequent][:p]
-                    if len(prefix) < p:
-                        late = tokens[frequent]
-                        prefix = np.concatenate([prefix, late[np.lexsort((late, rank[at[frequent]]))][: p - len(prefix)]])
-                else:
-                    prefix = tokens[:p]
-                keys.append(key)
-                sizes.append(len(tokens))
-                taken.append(prefix)
-                held += p
-            if held > BLOCK_TOKENS // 3:
-                yield from out()
-                keys, sizes, taken, held = [], [], [], 0
-                seen.clear()
-        yield from out()
+            for home, cls, n, many, token, place in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                if home != current and held:
+                    yield from gathered()
+                    held = []
+                current = home
+                many = np.frombuffer(many, "<u4")
+                held.append((np.repeat(np.frombuffer(cls, np.int64), many), np.repeat(np.frombuffer(n, "<u4"), many), np.frombuffer(token, U), np.frombuffer(place, "<u4")))
+        if held:
+            yield from gathered()
 
-    return deal
+    return gather
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate links of each bucket; its rows come one after another."""
+    """Candidate links of each bucket of runs; its rows come one after another."""
     held, current = [], None
 
     def linked(x: list[int], y: list[int]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+        return _batch("a long, b long", x, y)
 
     def met() -> pa.RecordBatch:
         runs = np.frombuffer(b"".join(held), _RUN)
@@ -203,12 +318,12 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return linked(*_edges(runs["cls"], _runs(runs["token"], runs["low"], runs["high"])))
 
     for batch in batches:
-        for bucket, run, blob in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+        for kind, bucket, blob in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             if bucket != current and held:
                 yield met()
                 held = []
             current = bucket
-            if run:
+            if kind == 1:
                 held.append(blob)
             else:
                 pairs = np.frombuffer(blob, np.int64).reshape(-1, 2)
@@ -217,52 +332,42 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield met()
 
 
-def _joined(exact: bool):
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of each group; columns grp, cls, n, side, known, data, sorted by grp."""
+    current, members = None, {}
+
+    def links() -> pa.RecordBatch:
+        found = []
+        sides = [r[1] for r in members.values()]
+        if len(members) > 1 and (sides[0] is None or len(set(sides)) > 1):
+            rows = list(members.values())
+            order = [(int(r[3][0]), int(r[3][min(1, len(r[3]) - 1)])) for r in rows]
+            found = spanning_links(list(members), [bitmap_of(r[3]) for r in rows], [r[0] for r in rows], order, [r[3] for r in rows], None if sides[0] is None else sides, [r[2] for r in rows])
+        return _batch("a long, b long", [x for x, _ in found], [y for _, y in found])
+
+    for batch in batches:
+        for grp, cls, n, side, known, data in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+            if grp != current:
+                if members:
+                    yield links()
+                current, members = grp, {}
+            members[cls] = n, side, known, np.frombuffer(data, U)
+    if members:
+        yield links()
+
 
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, members = None, {}
-
-        def links() -> pa.RecordBatch:
-            found = []
-            sides = [r[1] for r in members.values()]
-            if len(members) > 1 and (sides[0] is None or len(set(sides)) > 1):
-                rows = list(members.values())
-                bitmaps = [bitmap_of(r[3]) for r in rows] if exact else [r[3][2:] for r in rows]
-                order = [(int(r[3][0]), int(r[3][min(1, len(r[3]) - 1)])) for r in rows]
-                found = spanning_links(list(members), bitmaps, [r[0] for r in rows], order, [r[3] for r in rows] if exact else None, None if sides[0] is None else sides, [r[2] for r in rows])
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
-
-        for batch in (b.slice(k, STEP_ROWS) for b in batches for k in range(0, b.num_rows, STEP_ROWS)):
-            groups, classes, sizes, sides, known = (batch.column(k).to_pylist() for k in range(5))
-            data = row_shingles(batch.column(5), WIDTH) if exact else ((i, np.frombuffer(x, U)) for i, x in enumerate(batch.column(5).to_pylist()))
-            for i, x in data:
-                if groups[i] != current:
-                    if members:
-                        yield links()
-                    current, members = groups[i], {}
-                # a row of another text under the same id is not of the class
-                if not exact or class_key(x) == classes[i]:
-                    members[classes[i]] = sizes[i], sides[i], known[i], x
-        if members:
-            yield links()
-
-    return joined
-
-
-def _links(data: DataFrame, groups: DataFrame, exact: bool) -> DataFrame:
+def _links(data: DataFrame, groups: DataFrame) -> DataFrame:
     """``groups`` (cls, grp, side, known) brought together with their ``data`` (cls, n, data)."""
     rows = groups.join(data, "cls").select("grp", "cls", "n", "side", "known", "data")
-    return kept(rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(_joined(exact), "a long, b long"))
+    return kept(rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(_joined, "a long, b long"))
 
 
-def _spanning(data: DataFrame, member: DataFrame, exact: bool) -> DataFrame:
+def _spanning(data: DataFrame, member: DataFrame) -> DataFrame:
     """Links that connect what is similar in each cluster; ``member`` has cluster, cls, n."""
-    limit = (TEXT_TOKENS, CHUNK_SETS) if exact else (BITMAP_TOKENS, CHUNK_SETS)
-    member = kept(_chunked(member.select("cluster", "cls", "n"), limit))
-    links = _links(data, member.select("cls", F.concat_ws(":", "cluster", "chunk").alias("grp"), F.expr(_ONE), F.col("cls").alias("known")), exact)
+    member = kept(_chunked(member.select("cluster", "cls", "n")))
+    links = _links(data, member.select("cls", F.concat_ws(":", "cluster", "chunk").alias("grp"), F.expr(_ONE), F.col("cls").alias("known")))
     large = member.where("chunks > 1")
-    return links if large.isEmpty() else _across(data, kept(large), links, limit, exact)
+    return links if large.isEmpty() else _across(data, kept(large), links)
 
 
 def _clusters(links: DataFrame, classes: DataFrame) -> DataFrame:
@@ -280,7 +385,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _frequent(survey: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens that sets of a block share, ascending, and how frequent each is on a
+    """Tokens that many sets of a block share, ascending, and how frequent each is on a
     log scale: the most frequent steps of it that have HOT_TOKENS at most together."""
     counts = survey.where("kind = 1").groupBy("a").agg(F.sum("n").alias("c"))
     counts = kept(counts.select("a", F.floor(F.log2("c") * 4).alias("step")))
@@ -299,35 +404,35 @@ def _frequent(survey: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], both[order, 1].astype(np.int16)
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def _classes(docs: DataFrame, id_col: str, text_col: str, often: int, block: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, cls, n, t of every row; cls, root of linked classes)."""
     spark = docs.sparkSession
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    survey = kept(rows.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(_survey, _ROWS))
+    survey = kept(rows.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(_survey(often, block), _ROWS))
     table = survey.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("cls"), "n", "t")
     hot = spark.sparkContext.broadcast(_frequent(survey))
+    tokens = table.agg(F.sum("n")).first()[0] or 0
+    buckets = min(1 << 16, max(partitions(spark), -(-tokens // block)))
 
-    buckets = 4 * partitions(spark)
-    dealt = rows.select("text").mapInArrow(_deal(hot, buckets), "bucket int, run boolean, blob binary")
-    met = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "a long, b long")
-    classes = kept(table.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "t")).alias("place")))
-    wide = _clusters(met, classes.select("cls", "n"))
-    bits = survey.where("kind = 0 and bits is not null").select(F.col("b").alias("cls"), "bits").join(wide.select("cls", "n"), "cls")
-    bits = kept(bits.groupBy("cls", "n").agg(F.first("bits").alias("data")))
-    narrow = _clusters(_spanning(bits, wide, False), classes.select("cls", "n", F.col("place.doc_id").alias("rep"), F.col("place.t").alias("t")))
-    spot = narrow.select("cls", "n", F.col("rep").alias("id"), F.col("t").alias("of"))
-    texts = kept(rows.join(spot, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("of"))).select("cls", "n", F.col("text").alias("data")))
-    links = _spanning(texts, narrow, True)
-    return table, components(links).select(F.col("node").alias("cls"), F.col("component").alias("root"))
+    by = lambda df, key: df.repartition(buckets, key).sortWithinPartitions(key)
+    dealt = rows.select("text").mapInArrow(_deal(hot, buckets, block), _DEALT)
+    answers = by(dealt, "bucket").mapInArrow(_count(buckets), _ANSWER)
+    gathered, path = written(by(answers, "home").mapInArrow(_gather(buckets), _GATHERED))
+    sets = gathered.where("kind = 0").select(F.col("key").alias("cls"), "n", "data")
+    met = by(gathered.where("kind > 0").select("kind", "key", "data"), "key").mapInArrow(_meet, "a long, b long")
+    links = _spanning(sets, _clusters(met, sets.select("cls", "n")))
+    found = components(links).select(F.col("node").alias("cls"), F.col("component").alias("root"))
+    dropped(spark, path)
+    return table, found
 
 
 _ONE = "cast(null as int) as side"
 
 
-def _chunked(members: DataFrame, limit: tuple[int, int]) -> DataFrame:
+def _chunked(members: DataFrame) -> DataFrame:
     """``members`` (cluster, cls, n, ...) with the cluster's number of chunks and the set's."""
     per = members.groupBy("cluster").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("sets"))
-    need = F.ceil(F.greatest(F.col("tokens") / limit[0], F.col("sets") / limit[1])).cast("int")
+    need = F.ceil(F.greatest(F.col("tokens") / CHUNK_TOKENS, F.col("sets") / CHUNK_SETS)).cast("int")
     per = kept(per.select(F.col("cluster").alias("of"), need.alias("chunks")))
     joined = members.join(per, F.col("cluster") == F.col("of")).drop("of")
     return joined.withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
@@ -338,7 +443,7 @@ def _labelled(member: DataFrame, links: DataFrame) -> DataFrame:
     return kept(member.join(found.withColumnRenamed("node", "at"), F.col("cls") == F.col("at"), "left").select(*member.columns, F.coalesce("component", "cls").alias("known")))
 
 
-def _across(data: DataFrame, large: DataFrame, links: DataFrame, limit: tuple[int, int], exact: bool) -> DataFrame:
+def _across(data: DataFrame, large: DataFrame, links: DataFrame) -> DataFrame:
     """The links of clusters of several chunks: also those across chunks."""
     before = large.agg(F.count(F.lit(1))).first()[0]
     while True:
@@ -353,15 +458,15 @@ def _across(data: DataFrame, large: DataFrame, links: DataFrame, limit: tuple[in
         if left > before / 2:
             break
         before = left
-        groups = _chunked(open_, limit).select("cls", F.concat_ws(":", "cluster", "chunk").alias("grp"), F.expr(_ONE), "known")
-        links = kept(links.unionAll(_links(data, groups, exact)))
+        groups = _chunked(open_).select("cls", F.concat_ws(":", "cluster", "chunk").alias("grp"), F.expr(_ONE), "known")
+        links = kept(links.unionAll(_links(data, groups)))
     # A component that holds over half of a cluster's sets is not compared with itself: the
     # sets apart from it meet it and each other, dealt into chunks of their own.
     sizes = kept(now.groupBy("cluster", "known").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("tokens")))
     per = sizes.groupBy(F.col("cluster").alias("of")).agg(F.max(F.struct("c", "known", "tokens")).alias("top"), F.sum("c").alias("sets"), F.sum("tokens").alias("tokens"))
     main = F.col("top.c") * 2 > F.col("sets")
     rest = [F.col(x) - F.when(main, F.col(f"top.{y}")).otherwise(0) for x, y in (("tokens", "tokens"), ("sets", "c"))]
-    parts = F.greatest(F.lit(1), *(F.ceil(x / most) for x, most in zip(rest, limit, strict=True))).cast("int")
+    parts = F.greatest(F.lit(1), *(F.ceil(x / most) for x, most in zip(rest, (CHUNK_TOKENS, CHUNK_SETS), strict=True))).cast("int")
     per = kept(per.select("of", F.when(main, F.col("top.known")).alias("main"), parts.alias("parts")))
     judged = kept(now.join(per, F.col("cluster") == F.col("of")).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")))
     apart = ~F.col("known").eqNullSafe(F.col("main"))
@@ -374,7 +479,7 @@ def _across(data: DataFrame, large: DataFrame, links: DataFrame, limit: tuple[in
     side = F.when(F.col("part") < F.col("other"), 0).when(F.col("part") > F.col("other"), 1)
     among = judged.where(apart).withColumn("other", F.explode(every("parts"))).where(again)
     among = among.select("cls", F.concat_ws(":", "cluster", F.least("part", "other"), F.greatest("part", "other")).alias("grp"), side.alias("side"), "known")
-    return kept(links.unionAll(_links(data, against.unionAll(among), exact)))
+    return kept(links.unionAll(_links(data, against.unionAll(among))))
 
 
 def _first(table: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -386,20 +491,18 @@ def _first(table: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     return classes, kept(classes.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("best")))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", often: int = OFTEN, block: int = BLOCK_TOKENS) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    with small_batches(docs.sparkSession, BATCH_ROWS):
-        table, found = _classes(docs, id_col, text_col)
+    table, found = _classes(docs, id_col, text_col, often, block)
     classes, first = _first(table, found)
     named = kept(classes.join(first, F.col("root") == F.col("r")).select(F.col("cls").alias("k"), F.col("best.doc_id").alias("component_id")))
     done = table.join(named, (F.col("cls") == F.col("k")) & (F.col("n") > 0), "left")
     return done.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", often: int = OFTEN, block: int = BLOCK_TOKENS) -> DataFrame:
     """The rows of ``docs`` without words, and the first row of each component."""
-    with small_batches(docs.sparkSession, BATCH_ROWS):
-        table, found = _classes(docs, id_col, text_col)
+    table, found = _classes(docs, id_col, text_col, often, block)
     _, first = _first(table, found)
     first = kept(first.select(F.col("best.doc_id").alias("__id"), F.col("best.t").alias("__t")))
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))

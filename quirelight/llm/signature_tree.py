@@ -48,9 +48,10 @@ class SignatureTree:
     its hash modulo the width, so they then have all bits a wide one would.
     """
 
-    def __init__(self, bitmaps: list[np.ndarray], sizes: list[int]) -> None:
+    def __init__(self, bitmaps: list[np.ndarray], sizes: list[int], held: list[int] | None = None) -> None:
+        """``held``: how many tokens of each set its bitmap has, if not all; the others are in no other set."""
         size = np.array(sizes, np.int64)
-        doubled = size - np.array([int(np.bitwise_count(x).sum()) for x in bitmaps], np.int64)
+        doubled = (size if held is None else np.array(held, np.int64)) - np.array([int(np.bitwise_count(x).sum()) for x in bitmaps], np.int64)
         words = max((len(x) for x in bitmaps), default=1)
         bitmap = np.empty((len(bitmaps), words), np.uint64)
         for row, x in zip(bitmap, bitmaps, strict=True):
@@ -89,7 +90,8 @@ def spanning_links(
     """Links that join all sets which similar pairs connect, as key pairs.
 
     Without ``sets`` the pairs are those that may be similar by their bitmaps,
-    a superset.  ``side`` 0 and 1: only pairs across the sides are compared.
+    a superset.  ``sets`` and bitmaps may leave out tokens of no other set, which
+    ``sizes`` count.  ``side`` 0 and 1: only pairs across the sides are compared.
     ``known`` names the component a set is already known to be in; pairs
     inside one are not compared again.
     """
@@ -97,7 +99,7 @@ def spanning_links(
     order = sorted(range(n), key=lambda i: (len(bitmaps[i]), order_by[i], sizes[i]))
     pick = lambda x: [x[i] for i in order] if x is not None else None
     keys, sets, side, sizes = pick(keys), pick(sets), pick(side), pick(sizes)
-    tree = SignatureTree(pick(bitmaps), sizes)
+    tree = SignatureTree(pick(bitmaps), sizes, [len(x) for x in sets] if sets is not None else None)
     bottom = tree.levels[0]
     forest, links = Forest(), []
     if known:

@@ -8,8 +8,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,19 +51,3 @@ def dropped(spark: SparkSession, path: str) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-
-
-@contextmanager
-def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of ``rows`` rows at most for what is computed inside.
-
-    A batch is built whole, outside the heap, on both sides of a Python task;
-    rows of many kilobytes in batches of the usual length would fill memory.
-    """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)

@@ -53,7 +53,8 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def test_jaccard_join(docs, rows, empty):
+@pytest.mark.parametrize("limits", [{}, {"often": 3, "block": 20_000}, {"often": 1, "block": 500}])
+def test_jaccard_join(docs, rows, empty, limits):
     sets, forest = [shingles(t) for _, t in rows], Forest()
     for i in range(len(rows)):
         for j in range(i):
@@ -65,12 +66,12 @@ def test_jaccard_join(docs, rows, empty):
         if i is not None:
             least[forest.root(k)] = min(i, least.get(forest.root(k), i))
     want = Counter((i, len(sets[k]), least.get(forest.root(k)) if sets[k] else i) for k, (i, _) in enumerate(rows))
-    assert Counter(map(tuple, jaccard_join.jaccard_components(docs).collect())) == want
-    kept = jaccard_join.keep_one(docs)
+    assert Counter(map(tuple, jaccard_join.jaccard_components(docs, **limits).collect())) == want
+    kept = jaccard_join.keep_one(docs, **limits)
     assert kept.columns == docs.columns
     blank = [t for i, t in rows if not sets[rows.index((i, t))]]
     assert kept.count() == len({forest.root(k) for k in range(len(rows)) if sets[k]}) + len(blank)
-    assert jaccard_join.jaccard_components(empty).collect() == []
+    assert jaccard_join.jaccard_components(empty, **limits).collect() == []
 
 
 @pytest.mark.parametrize("exact", [True, False])
@@ -96,8 +97,7 @@ def test_signature_tree_misses_nothing(exact):
 
 
 def test_large_clusters_in_chunks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "TEXT_TOKENS", 300)
-    monkeypatch.setattr(jaccard_join, "BITMAP_TOKENS", 400)
+    monkeypatch.setattr(jaccard_join, "CHUNK_TOKENS", 300)
     base = text_of(1, 100).split()
     made = [(k, " ".join([*base[: 100 - 9 * k], *text_of(50 + k, 9 * k).split()])) for k in range(10)]
     sets, forest = [shingles(t) for _, t in made], Forest()
