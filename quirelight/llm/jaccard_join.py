@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .components import Forest, components
 from .signature_tree import bitmap_of, spanning_links
-from .storage import dropped, kept, partitions, written
+from .storage import dropped, kept, packed, partitions, unpacked, written
 from .text_hash import U, mix, row_shingles
 
 BLOCK_TOKENS = 2_000_000  # of sets that are dealt at once, and of a bucket
@@ -378,12 +378,6 @@ def _clusters(links: DataFrame, classes: DataFrame) -> DataFrame:
     return kept(kept(member).join(classes, F.col("c") == F.col("cls")).drop("c"))
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = [np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(2)], axis=1) for b in batches]
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(held).astype(np.int64).tobytes()], pa.binary())], names=["blob"])
-
-
 def _frequent(survey: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Tokens that many sets of a block share, ascending, and how frequent each is on a
     log scale: the most frequent steps of it that have HOT_TOKENS at most together."""
@@ -397,8 +391,7 @@ def _frequent(survey: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         least = r.step
     if least is None:
         return np.zeros(0, U), np.zeros(0, np.int16)
-    rows = counts.where(F.col("step") >= least).mapInArrow(_packed, "blob binary").collect()  # 16 bytes a token
-    both = np.concatenate([np.frombuffer(r.blob, np.int64).reshape(-1, 2) for r in rows])
+    both = unpacked(counts.where(F.col("step") >= least).mapInArrow(packed, "blob binary").collect())  # 16 bytes a token
     tokens = both[:, 0].copy().view(U)
     order = np.argsort(tokens)
     return tokens[order], both[order, 1].astype(np.int16)

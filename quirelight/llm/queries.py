@@ -32,7 +32,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return lm_scoring.score(docs, lm_scoring.fit(docs, token_counts.read_vocabulary(token_counts.VOCABULARY)))
+    return lm_scoring.score(docs, lm_scoring.fit(docs, token_counts.read_vocabulary(lm_scoring.VOCABULARY)))
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,6 +78,10 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         start = end
 
 
+def lowered(raw: np.ndarray) -> np.ndarray:
+    return _lower[raw]
+
+
 def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first byte, last byte) of each word; a row's end also ends a word."""
     if not len(raw):
