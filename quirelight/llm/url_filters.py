@@ -1,13 +1,15 @@
 """URL filters with link-graph propagation.
 
 A url's host and path meet a fixed set of (host, path) rules; the longest
-rule that fits decides.  A url without a rule gets its host's verdict: trust
-flows along links from hosts whose pages are allowed, distrust flows against
-links from hosts whose pages are blocked (a host that links to bad hosts is
-suspect), both as personalised PageRank whose seed weight is the share of the
-host's pages that a rule allows or blocks.  A host is blocked when its
-distrust exceeds its trust by ``THRESHOLD``.  Hosts without outgoing edges in
-a direction keep what reaches them through a link to themselves.
+rule that fits decides.  A url without a rule gets its host's verdict.  A host
+is a trusted (blocked) seed, with that share as its weight, if rules allow
+(block) more than half of its pages.  Trust flows along links to other hosts
+and distrust against them (a host that links to bad hosts is suspect), both as
+personalised PageRank to its fixed point; links of a host to itself carry
+nothing, blocked seeds hand on no trust and trusted ones no distrust.  A host is blocked if its distrust exceeds ``FLOOR`` and is more than
+``THRESHOLD`` of its trust and distrust together, a share which does not hang
+on how many other hosts there are.  What reaches a host without links onwards
+ends there.
 
 Defined results: a null url, or one without ``://``, has empty host and path
 and no rule, and is allowed, since no host speaks against it; null html has no
@@ -27,9 +29,11 @@ RULES = (
     ("block", "net", "/"),
     ("allow", "example.net", "/en/"),
     ("block", "example.com", "/de/"),
-    ("allow", "org", "/fr"),
+    ("allow", "org", "/fr/"),
 )
-DAMPING, ROUNDS, SETTLED, THRESHOLD = 0.85, 20, 1e-4, 0.5
+DAMPING, SETTLED, THRESHOLD, FLOOR = 0.85, 1e-5, 0.5, 1e-4
+STORED = 6  # rounds between stored states
+SALTS = 32  # parts into which a host's pages are dealt
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -52,62 +56,60 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> Column:
 
 
 def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """src, dst, n: links between hosts, a relative link being one to itself."""
+    """src, dst, n: links from hosts to other hosts."""
     links = F.regexp_extract_all(F.coalesce(pages[html_col], F.lit("")), F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""), F.lit(1))
     rows = pages.select(host_of(pages[url_col]).alias("src"), links.alias("links")).where("src != ''")
-    # one entry a page and host, before anything is shuffled
+    # a link without a host is one to its own
     absolute = F.transform(F.col("links"), lambda x: F.when(x.startswith("//"), F.concat(F.lit("http:"), x)).otherwise(x))
-    targets = F.transform(absolute, lambda x: F.when(F.contains(x, F.lit("://")), host_of(x)).otherwise(F.col("src")))
-    exploded = rows.withColumn("targets", targets).select("src", F.explode("targets").alias("dst")).where("dst != ''")
-    return exploded.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    targets = F.filter(F.transform(absolute, host_of), lambda x: (x != "") & (x != F.col("src")))
+    return rows.select("src", F.explode(targets).alias("dst")).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """host, trust, distrust; ``seeds`` has host, good, bad in 0..1.
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, settled: float = SETTLED) -> DataFrame:
+    """host, trust, distrust at the fixed point; ``seeds`` has host, good, bad in 0..1.
 
     Both directions run as one graph whose nodes are (kind, host).  State is
-    one row a host and is stored every few rounds, which cuts the lineage.
+    one row a host that anything has reached, stored every few rounds, which
+    cuts the lineage.  A round shrinks what may still change by ``damping``.
     """
     both = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "n").unionAll(
         edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"), "n")
     )
     out = both.groupBy("kind", "a").agg(F.sum("n").alias("all"))
     weights = kept(both.join(out, ["kind", "a"]).select("kind", "a", "b", (F.col("n") / F.col("all")).alias("w")))
-    start = kept(
-        seeds.select("host", F.explode(F.create_map(F.lit("trust"), F.col("good"), F.lit("distrust"), F.col("bad"))).alias("kind", "seed")).select("kind", F.col("host").alias("a"), "seed")
-    )
-    linked = kept(weights.select("kind", "a").distinct())
-    # what a node without outgoing edges holds stays with it
-    stuck = kept(start.join(linked, ["kind", "a"], "left_anti").select("kind", "a"))
-    weights = weights.unionByName(stuck.select("kind", "a", F.col("a").alias("b"), F.lit(1.0).alias("w")))
+    start = seeds.select("host", F.explode(F.create_map(F.lit("trust"), F.col("good"), F.lit("distrust"), F.col("bad"))).alias("kind", "seed"))
+    start = kept(start.where("seed > 0").select("kind", F.col("host").alias("a"), (F.col("seed") * (1 - damping)).alias("seed")))
+    other = F.when(F.col("kind") == "trust", "distrust").otherwise("trust")
+    weights = kept(weights.join(start.select(other.alias("kind"), "a"), ["kind", "a"], "left_anti"))
     state = start.withColumnRenamed("seed", "rank")
-    done = 0
-    while done < rounds:
-        old = state
-        for _ in range(min(4, rounds - done)):
-            flow = state.where("rank > 0").join(weights, ["kind", "a"]).groupBy("kind", "b").agg(F.sum(F.col("rank") * F.col("w")).alias("flow"))
-            state = start.join(flow.withColumnRenamed("b", "a"), ["kind", "a"], "full").select(
-                "kind", "a", (F.coalesce("seed", F.lit(0.0)) * (1 - damping) + F.coalesce("flow", F.lit(0.0)) * damping).alias("rank")
-            )
-            done += 1
-        state = kept(state)
-        moved = state.join(old.withColumnRenamed("rank", "was"), ["kind", "a"], "full").agg(F.max(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0]
-        if moved is None or moved < SETTLED:
+    while True:
+        for _ in range(STORED):
+            old = state
+            flow = old.join(weights, ["kind", "a"]).groupBy("kind", "b").agg(F.sum(F.col("rank") * F.col("w")).alias("flow"))
+            state = start.join(flow.withColumnRenamed("b", "a"), ["kind", "a"], "full").select("kind", "a", (F.coalesce("seed", F.lit(0.0)) + F.coalesce("flow", F.lit(0.0)) * damping).alias("rank"))
+        # the last round's change, of which later ones are at most damping / (1 - damping) together
+        both = kept(state.join(old.withColumnRenamed("rank", "was"), ["kind", "a"], "full"))
+        moved = both.agg(F.max(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0]
+        state = both.where("rank is not null").select("kind", "a", "rank")
+        if moved is None or moved * damping / (1 - damping) < settled:
             break
     value = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0)).alias(kind)
     return state.groupBy(F.col("a").alias("host")).agg(value("trust"), value("distrust"))
 
 
-def judge(pages: DataFrame, rules: tuple = RULES, threshold: float = THRESHOLD, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def judge(pages: DataFrame, rules: tuple = RULES, threshold: float = THRESHOLD, floor: float = FLOOR, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, host, path, rule, verdict of every page."""
     url = pages[url_col].cast("string")
     rows = pages.select(pages[id_col].alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     rows = rows.withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
     share = lambda verdict: F.avg(F.coalesce(F.col("found.verdict") == verdict, F.lit(False)).cast("double"))
-    seeds = rows.where("host != ''").groupBy("host").agg(share("allow").alias("good"), share("block").alias("bad"))
-    edges = kept(host_edges(pages, url_col, html_col))
-    ranks = propagate(edges, seeds)
-    bad = ranks.where(F.col("distrust") - F.col("trust") > threshold).select(F.col("host").alias("bad_host"))
-    judged = rows.join(bad, F.col("host") == F.col("bad_host"), "left")
+    most = lambda verdict: F.when(share(verdict) > 0.5, share(verdict)).otherwise(0.0)
+    seeds = rows.where("host != ''").groupBy("host").agg(most("allow").alias("good"), most("block").alias("bad"))
+    ranks = propagate(kept(host_edges(pages, url_col, html_col)), seeds)
+    bad = ranks.where((F.col("distrust") > floor) & (F.col("distrust") > threshold * (F.col("trust") + F.col("distrust"))))
+    # a host may hold a third of all pages: its rows are dealt into parts, each of which meets its verdict
+    bad = bad.select(F.col("host").alias("bad_host"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("bad_salt"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int"))
+    judged = salted.join(bad, (F.col("host") == F.col("bad_host")) & (F.col("salt") == F.col("bad_salt")), "left")
     method = F.when(F.col("bad_host").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
     return judged.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce(F.col("found.verdict"), method).alias("verdict"))
