@@ -5,6 +5,8 @@ import math
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -224,33 +226,60 @@ def test_sharding_follows_weights(spark):
 
 def test_url_filters(spark):
     page = lambda k, url, *links: (k, url, "".join(f'<a href="{x}">x</a>' for x in links), "h")
-    data = [page(1, "http://A.example.NET/en/x?q#f"), page(2, "http://a.example.net/de/x"), page(3, "https://example.com/de/"), page(4, "http://xexample.com/de/"), page(5, "http://b.org/fr?z"), page(6, "http://b.org/en", "/de"), page(7, None), page(8, "no scheme"), page(9, "http://c.net"), page(9, "http://c.net")]
+    data = [page(1, "http://A.example.NET/en/x?q#f"), page(2, "http://a.example.net/de/x"), page(3, "https://example.com/de/"), page(4, "http://xexample.com/de/"), page(5, "http://b.org/fr/?z"), page(6, "http://b.org/en", "/de"), page(7, None), page(8, "no scheme"), page(9, "http://c.net"), page(9, "http://c.net")]
+    data += [page(10, "http://b.org/fr?z"), page(11, "http://b.org/france"), page(12, "http://c.net:1/fr/")]
     data += [page(20 + k, f"http://farm.io/{k}", "http://bad.net/1", "http://bad.net/2") for k in range(3)] + [page(30 + k, f"http://bad.net/{k}", "http://bad.net/0") for k in range(3)] + [(40, "http://n.io/", None, None)]
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filters.judge(spark.createDataFrame(data, "page_id long, url string, html string, host string")).collect()}
     assert got[1] == ("a.example.net", "/en/x", "example.net/en/", "allow")
     assert got[2][2:] == ("net/", "block") and got[3][2:] == ("example.com/de/", "block") and got[4][2:] == (None, "allow")
-    assert got[5][2:] == ("org/fr", "allow") and got[6][2:] == (None, "allow")
+    assert got[5][2:] == ("org/fr/", "allow") and got[6][2:] == (None, "allow")
+    assert got[10][2:] == got[11][2:] == (None, "allow") and got[12] == ("c.net:1", "/fr/", None, "allow")
     assert got[7] == ("", "", None, "allow") == got[8] and got[9] == ("c.net", "", None, "allow")
     assert got[20][2:] == (None, "block") and got[30][2:] == ("net/", "block") and got[40][3] == "allow"
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert url_filters.judge(empty).collect() == []
+    long = spark.createDataFrame([(None, "x://h.org/fr/" + "a" * 100_000, "<a href='y://z.io/'>" * 5000), (None, "x://h.org/fr/" + "a" * 100_000, "")], "page_id long, url string, html string")
+    assert [(r.page_id, r.host, len(r.path), r.verdict) for r in url_filters.judge(long).collect()] == [(None, "h.org", 100_004, "allow")] * 2
+
+
+def solved(names, edges, seeds, others, turn):
+    """The fixed point as a system of equations; ``others`` are the seeds of the other kind."""
+    flow = np.zeros((len(names), len(names)))
+    for a, b, n in edges:
+        flow[names.index(a), names.index(b)] += n
+    flow = flow.T if turn else flow
+    total = flow.sum(axis=1, keepdims=True)
+    flow = np.divide(flow, total, out=np.zeros_like(flow), where=total > 0)
+    flow[np.array(others) > 0] = 0
+    return np.linalg.solve(np.eye(len(names)) - 0.85 * flow.T, 0.15 * np.array(seeds))
 
 
 def test_page_rank_matches_matrix(spark):
-    edges = [("a", "b", 2), ("a", "c", 1), ("b", "a", 1), ("c", "c", 1), ("d", "a", 1)]
-    seeds = [("a", 0.0, 0.2), ("b", 1.0, 0.0), ("c", 0.0, 1.0), ("d", 0.0, 0.0)]
-    names = "abcd"
+    edges = [("a", "b", 2), ("a", "c", 1), ("b", "a", 1), ("c", "d", 1), ("d", "a", 1), ("e", "a", 3)]
+    seeds = [("a", 0.0, 0.6), ("b", 1.0, 0.0), ("c", 0.0, 1.0), ("d", 0.0, 0.0), ("e", 0.0, 0.0)]
     got = {r.host: (r.trust, r.distrust) for r in url_filters.propagate(spark.createDataFrame(edges, "src string, dst string, n long"), spark.createDataFrame(seeds, "host string, good double, bad double")).collect()}
-    for kind, turn in ((0, False), (1, True)):
-        flow = np.zeros((4, 4))
-        for s, d, n in edges:
-            flow[names.index(s), names.index(d)] += n
-        flow = flow.T if turn else flow
-        for k in range(4):
-            flow[k] = flow[k] / flow[k].sum() if flow[k].sum() else np.eye(4)[k]
-        start = np.array([s[1 + kind] for s in seeds])
-        rank = start
-        for _ in range(20):
-            rank = 0.15 * start + 0.85 * rank @ flow
-        assert [got.get(n, (0, 0))[kind] for n in names] == pytest.approx(list(rank), abs=2e-3)
+    for kind in (0, 1):
+        want = solved("abcde", edges, [s[1 + kind] for s in seeds], [s[2 - kind] for s in seeds], kind)
+        assert [got.get(n, (0, 0))[kind] for n in "abcde"] == pytest.approx(list(want), abs=2e-5)
+
+
+@pytest.mark.parametrize("farm", [1, 3, 40])
+def test_url_verdicts_on_linked_hosts(spark, farm):
+    """Hosts without rules get the verdict of ranks solved independently, however large the farm."""
+    links = {"bad.net": ["f0.io"], "good.org": ["shop.io", "news.io"], "shop.io": ["news.io", "bad.net"], "news.io": ["good.org", "deep.io"], "deep.io": ["shop.io"], "far.io": ["deep.io"], "mixed.org": ["bad.net"]}
+    links |= {f"f{k}.io": ["bad.net", f"f{(k + 1) % farm}.io"] for k in range(farm)}
+    rows = [(h, p) for h in links for p in (("/fr/1", "/fr/2") if h == "good.org" else ("/fr/1", "/x", "/y") if h == "mixed.org" else ("/1", "/2"))]
+    pages = [(k, f"http://{h}{p}", "".join(f'<A class=x HREF="http://{x.upper()}/z">' for x in [*links[h], h])) for k, (h, p) in enumerate(rows)]
+    got = url_filters.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    names = sorted(links)
+    edges = [(h, x, 1) for h in links for x in links[h] if x != h]
+    good, bad = [float(h == "good.org") for h in names], [float(h.endswith(".net")) for h in names]
+    trust, distrust = solved(names, edges, good, bad, False), solved(names, edges, bad, good, True)
+    blocked = {h for h, t, d in zip(names, trust, distrust, strict=True) if d > 1e-4 and d / (t + d) > 0.5}
+    assert {f"f{k}.io" for k in range(farm)} | {"mixed.org"} <= blocked and "news.io" not in blocked
+    for r in got:
+        if r.rule is None:
+            assert (r.verdict == "block") == (r.host in blocked), r
 
 
 def test_packing(docs, rows, empty):
@@ -270,18 +299,51 @@ def test_packing(docs, rows, empty):
     assert packing.pack(empty).collect() == []
 
 
-def test_best_fit_is_best_fit():
-    sizes = sorted(np.random.default_rng(4).integers(0, 60, 300).tolist(), reverse=True)
-    of, used = packing._fill(sizes, (16, 64), 64)
-    room = []
-    for size in sizes:
-        fits = [r for r in room if r >= size and r > 0] if size else [r for r in room if r > 0]
-        if fits:
-            room[room.index(min(fits))] -= size
-        else:
-            room.append(64 - size)
-    assert sorted(64 - u for u in used) == sorted(room)
-    assert len(set(of)) == len(used)
+def slow_fit(sizes, lengths, cost):
+    """(contents, length) of bins, with lists alone; ``cost`` names all lengths, ``lengths`` those to open."""
+    bins, rest = [], list(sizes)
+    while rest:
+        size = rest.pop(0)
+        fits = [b for b in bins if 0 < b[1] - b[0] >= size]
+        if fits:  # of equal rooms the one touched last
+            b = min(fits, key=lambda b: (b[1] - b[0], b[2]))
+            b[0], b[2] = b[0] + size, len(rest)
+            continue
+        tried = []
+        for c in [c for c in lengths if c >= size]:
+            used = size
+            for s in rest:
+                if s and used + s <= c:
+                    used += s
+            tried.append((Fraction(cost[next(x for x in cost if x >= used)], used) if used else 0, -c))
+        bins.append([size, -min(tried)[1] if size else lengths[0], len(rest)])
+    return [(b[0], next(c for c in cost if c >= b[0])) for b in bins]
+
+
+@pytest.mark.parametrize("lengths", [(16, 64), (8, 20, 32, 64)])
+def test_best_fit_is_best_fit(lengths):
+    for seed in range(30):
+        rng = np.random.default_rng(seed)
+        sizes = sorted(rng.choice(rng.integers(0, lengths[-1] + 1, 12), 80).tolist(), reverse=True)
+        cost = {c: packing.cost_of(c, 2, 100) for c in lengths}
+        of, used = packing._fill(sizes, lengths, cost)
+        assert sorted(used) == sorted(n for n, _ in slow_fit(sizes, lengths, cost))
+        assert [sum(s for s, b in zip(sizes, of, strict=True) if b == k) for k in range(len(used))] == used
+        _, used, capacities = packing.best_fit(sizes, lengths, 2, 100)
+        every = [slow_fit(sizes, (*x, lengths[-1]), cost) for k in range(len(lengths)) for x in combinations(lengths[:-1], k)]
+        assert sum(cost[c] for c in capacities) == min(sum(cost[c] for _, c in bins) for bins in every)
+        assert all(c == next(x for x in lengths if x >= n) for n, c in zip(used, capacities, strict=True))
+
+
+def test_mixed_lengths_cost_less_than_any_single_one():
+    sizes = sorted([1000] * 30 + [500] * 9 + [700] * 40 + [2048] * 7 + [1500] * 12, reverse=True)
+    lengths = packing.LENGTHS
+    cost = {c: packing.cost_of(c) for c in lengths}
+    _, _, capacities = packing.best_fit(sizes)
+    assert len(set(capacities)) > 1
+    for c in (2048, 4096):  # the lengths that hold every piece
+        assert sum(cost[c] for c in capacities) < 0.98 * sum(cost[c] for _, c in slow_fit(sizes, (c,), {c: cost[c]}))
+    assert set(packing.best_fit(sorted([510] * 40 + [1020] * 20 + [2040] * 11 + [4000] * 5, reverse=True))[2]) == set(lengths)
 
 
 def test_token_counts(spark, docs, rows, empty):
