@@ -62,10 +62,18 @@ def prefix_length(n: int) -> int:
 
 def _batch(names: str, *columns: list) -> pa.RecordBatch:
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    columns = [[x.to_pybytes() if isinstance(x, pa.Buffer) else x for x in c] if len(c) == 1 else c for c in columns]
     fields = [f.split() for f in names.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(x, kinds[kind]) for x, (_, kind) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
+def _row_values(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """The rows of a batch; blobs as buffers in it, without copying."""
+    columns = batch.columns
+    for i in range(batch.num_rows):
+        yield tuple(c[i].as_buffer() if pa.types.is_binary(c.type) and c[i].is_valid else c[i].as_py() for c in columns)
+
+
 _ROWS = "kind int, a long, b long, n long, t long"
 
 
@@ -195,6 +203,7 @@ def _count(buckets: int):
 
         def counted() -> Iterator[pa.RecordBatch]:
             cls, n, token = (np.concatenate([x[k] for x in held]) for k in range(3))
+            held.clear()
             order = np.lexsort((cls, token))
             cls, n, token = cls[order], n[order], token[order]
             new = np.concatenate([[True], (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])])  # copies in several blocks
@@ -207,16 +216,16 @@ def _count(buckets: int):
                 yield _batch(_ANSWER, *([x] for x in row))
 
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
-                if row[1] is not None:
-                    yield _batch(_ANSWER, *([x] for x in row[1:]))
+            for bucket, home, *row in _row_values(batch):
+                if home is not None:
+                    yield _batch(_ANSWER, [home], *([x] for x in row))
                     continue
-                if row[0] != current and held:
+                if bucket != current and held:
                     yield from counted()
-                    held = []
-                current = row[0]
-                at = np.frombuffer(row[4], np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
-                held.append((np.frombuffer(row[2], np.int64)[at], np.frombuffer(row[3], "<u4")[at], _ascending(row[5])))
+                current = bucket
+                cls, n, at, token, _ = row
+                at = np.frombuffer(at, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+                held.append((np.frombuffer(cls, np.int64)[at], np.frombuffer(n, "<u4")[at], _ascending(token)))
         if held:
             yield from counted()
 
@@ -261,6 +270,7 @@ def _gather(buckets: int):
 
         def gathered() -> Iterator[pa.RecordBatch]:
             cls, n, token, place = (np.concatenate([x[k] for x in held]) for k in range(4))
+            held.clear()
             order = np.lexsort((token, place, cls))
             new = np.concatenate([[True], (cls[order][1:] != cls[order][:-1]) | (token[order][1:] != token[order][:-1])])
             order = order[new]
@@ -292,13 +302,12 @@ def _gather(buckets: int):
             yield _batch(_GATHERED, [1] * len(full) + [2] * len(parts), [*full, *range(len(parts))], [None] * len(blobs), blobs)
 
         for batch in batches:
-            for home, cls, n, many, token, place in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+            for home, cls, n, many, token, place in _row_values(batch):
                 if home != current and held:
                     yield from gathered()
-                    held = []
                 current = home
                 many = np.frombuffer(many, "<u4")
-                held.append((np.repeat(np.frombuffer(cls, np.int64), many), np.repeat(np.frombuffer(n, "<u4"), many), np.frombuffer(token, U), np.frombuffer(place, "<u4")))
+                held.append((np.repeat(np.frombuffer(cls, np.int64), many), np.repeat(np.frombuffer(n, "<u4"), many), np.frombuffer(token, U).copy(), np.frombuffer(place, "<u4").copy()))
         if held:
             yield from gathered()
 
@@ -407,7 +416,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, often: int, block: int
     tokens = table.agg(F.sum("n")).first()[0] or 0
     buckets = min(1 << 16, max(partitions(spark), -(-tokens // block)))
 
-    by = lambda df, key: df.repartition(buckets, key).sortWithinPartitions(key)
+    # a bucket's number is that of its partition, so none gets several
+    by = lambda df, key: df.repartitionById(buckets, F.col(key).cast("int"))
     dealt = rows.select("text").mapInArrow(_deal(hot, buckets, block), _DEALT)
     answers = by(dealt, "bucket").mapInArrow(_count(buckets), _ANSWER)
     gathered, path = written(by(answers, "home").mapInArrow(_gather(buckets), _GATHERED))
