@@ -5,31 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# fixed values: white space as Python has it; Java's and RE2's own class is ASCII's
+SPACE = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 # fixed values: the characters of a word when titles are normalised (Unicode letters and digits)
-NOT_WORD = r"[^\p{L}\p{N}_\s]"
-TOKEN = r"\s*\S+"  # lossless: the tokens of a stripped text join to it
+NOT_WORD = rf"[^\p{{L}}\p{{N}}_{SPACE}]"
+TOKEN = rf"[{SPACE}]*[^{SPACE}]+"  # lossless: the tokens of a stripped text join to it
+MARKER = rf"^--- Page (\d+) ---[{SPACE}]*$"  # a page's first line, where ^ and $ are those of lines
 
 
 def strip(x: Column) -> Column:
     """Without white space at either end (SQL's trim knows spaces only)."""
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
+    return F.regexp_replace(x, rf"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
 def normalize_text(x: Column) -> Column:
     """Lower case, punctuation as spaces, single spaces, stripped."""
-    return strip(F.regexp_replace(F.regexp_replace(F.lower(x), NOT_WORD, " "), r"\s+", " "))
+    return strip(F.regexp_replace(F.regexp_replace(F.lower(x), NOT_WORD, " "), rf"[{SPACE}]+", " "))
 
 
 def clean_text(x: Column) -> Column:
     """Without page-marker lines; at most one blank line; single blanks; stripped."""
-    out = F.regexp_replace(x, r"(?m)^--- Page \d+ ---\s*$", "")
+    out = F.regexp_replace(x, f"(?md){MARKER}", "")
     out = F.regexp_replace(out, r"\n{3,}", "\n\n")
     return strip(F.regexp_replace(out, r"[ \t]+", " "))
 
 
 def sentences(x: Column) -> Column:
     """array<string>: cut after each run of ``.!?;`` that white space follows."""
-    marked = F.regexp_replace(x, r"([.!?;]+\s+)", "$1\u0001")
+    marked = F.regexp_replace(x, rf"([.!?;]+[{SPACE}]+)", "$1\u0001")
     return F.filter(F.split(marked, "\u0001"), lambda s: F.length(strip(s)) > 0)
 
 

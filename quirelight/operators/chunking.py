@@ -7,20 +7,57 @@ every earlier sentence; it runs over Arrow batches, a document at a time.
 
 from __future__ import annotations
 
+import base64
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import chunk_id
-from ..functions.text import clean_text, strip, tokens
+from ..functions.text import MARKER, SPACE, clean_text, strip, tokens
 
 # fixed values: markdown header, numbered header, upper-case label
 HEADERS = (r"^#{1,6}\s+", r"^\d+\.\s+", r"^[A-Z][A-Z\s]+:")
 _TOKEN, _END, _HEADER = re.compile(r"\s*\S+"), re.compile(r"[.!?;]+\s+"), re.compile("|".join(HEADERS))
+_PAGE = re.compile(r"--- Page (\d+) ---\s*$")
+Tokeniser = Callable[[str], list[str]]  # its tokens, of a stripped text, join to the text
+
+
+def plain_tokens(text: str) -> list[str]:
+    """Words, each with the white space before it."""
+    return _TOKEN.findall(text)
+
+
+def ranked_tokens(path: str, pattern: str = r"\s*\S+") -> Tokeniser:
+    """Tokens of a byte-pair vocabulary (a file with lines ``base64 rank``); read where it runs.
+
+    Tokens that split a character are joined, so that every token is text.
+    """
+    made: list = []
+
+    def tokenise(text: str) -> list[str]:
+        if not made:
+            import tiktoken
+
+            with open(path, "rb") as lines:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(bytes.strip, lines))}
+            made.append(tiktoken.Encoding("ranked", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}))
+        out, held = [], b""
+        for token in made[0].encode_ordinary(text):
+            held += made[0].decode_single_token_bytes(token)
+            try:
+                out.append(held.decode())
+                held = b""
+            except UnicodeDecodeError:
+                continue
+        return out
+
+    return tokenise
 
 
 @dataclass(frozen=True)
@@ -33,6 +70,7 @@ class Limits:
     most: int = 2000
 
     def fitted(self, model_limit: int | None = None) -> Limits:
+        """With sizes that fit each other, and a margin of 100 below the model's limit."""
         most = min(self.most, model_limit - 100) if model_limit else self.most
         size = min(max(self.size, 1), most)
         return Limits(size, self.overlap if 0 <= self.overlap < size else size // 10, min(self.least, size), most)
@@ -42,6 +80,12 @@ class Limits:
         return self.size - self.overlap if self.overlap < self.size else self.size
 
 
+def running(lengths: Column) -> Column:
+    """The sum of an array's numbers before each of them."""
+    begun = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+    return F.aggregate(lengths, begun, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+
 def fixed_windows(docs: DataFrame, limits: Limits, id_col: str = "doc_id", text_col: str = "text", clean: bool = True) -> DataFrame:
     """doc, chunk_index, chunk_id, char_start, char_end, n_tokens, text.
 
@@ -53,11 +97,11 @@ def fixed_windows(docs: DataFrame, limits: Limits, id_col: str = "doc_id", text_
     n = F.size("t")
     starts = F.filter(F.sequence(F.lit(0), n - 1, F.lit(limits.step)), lambda s: (s == 0) | (n - s >= limits.least))
     cut = F.when(n < limits.least, F.array(F.lit(0))).otherwise(starts)
-    # lengths of all tokens before each window, once a row
-    ends = F.transform(cut, lambda s: F.struct(s.alias("at"), F.length(F.array_join(F.slice("t", F.lit(1), s), "")).alias("chars")))
-    out = rows.select("doc", "t", F.posexplode(ends).alias("chunk_index", "w"))
-    part = F.slice("t", F.col("w.at") + 1, F.lit(limits.size))
-    out = out.select("doc", "chunk_index", F.col("w.chars").alias("char_start"), F.size(part).alias("n_tokens"), F.array_join(part, "").alias("text"))
+    part = lambda s, size: F.slice("t", s + 1, F.lit(size))
+    rows = rows.select("doc", F.transform(cut, lambda s: F.struct(F.size(part(s, limits.size)).alias("n"), F.array_join(part(s, limits.size), "").alias("text"), F.length(F.array_join(part(s, limits.step), "")).alias("ahead"))).alias("w"))
+    rows = rows.withColumn("starts", running(F.transform("w", lambda x: x["ahead"])))
+    out = rows.select("doc", F.posexplode(F.arrays_zip("w", "starts")).alias("chunk_index", "x"))
+    out = out.select("doc", "chunk_index", F.col("x.starts").alias("char_start"), F.col("x.w.n").alias("n_tokens"), F.col("x.w.text").alias("text"))
     return out.select("doc", "chunk_index", chunk_id(F.col("doc"), F.col("chunk_index")).alias("chunk_id"), "char_start", (F.col("char_start") + F.length("text")).alias("char_end"), "n_tokens", "text")
 
 
@@ -71,7 +115,8 @@ def force_split(docs: DataFrame, most: int, overlap: int, id_col: str = "doc_id"
 
 
 def is_header(line: Column) -> Column:
-    return strip(line).rlike("|".join(f"(?:{h})" for h in HEADERS))
+    wide = [h.replace(r"[A-Z\s]", f"[A-Z{SPACE}]").replace(r"\s", f"[{SPACE}]") for h in HEADERS]
+    return strip(line).rlike("|".join(f"(?:{h})" for h in wide))
 
 
 def sections(docs: DataFrame, least_chars: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -88,20 +133,26 @@ def sections(docs: DataFrame, least_chars: int, id_col: str = "doc_id", text_col
     heads = F.transform(F.filter("l", lambda x: x["header"] & (x["i"] > F.col("first"))), lambda x: x["i"])
     rows = rows.withColumn("at", F.concat(F.array(F.lit(0)), heads))
     cut = F.transform("at", lambda s, k: F.struct(s.alias("s"), F.coalesce(F.get("at", k + 1), F.size("lines")).alias("e"), (k > 0).alias("titled")))
-    out = rows.select("doc", "lines", F.posexplode(cut).alias("nth", "c"))
-    text = strip(F.array_join(F.slice("lines", F.col("c.s") + 1, F.col("c.e") - F.col("c.s")), "\n"))
-    before = F.length(F.array_join(F.slice("lines", F.lit(1), F.col("c.s")), "\n")) + F.when(F.col("c.s") > 0, 1).otherwise(0)
-    title = F.when(F.col("c.titled"), strip(F.get("lines", F.col("c.s"))))
-    return out.select("doc", "nth", title.alias("title"), before.cast("int").alias("char_start"), text.alias("text")).where(F.length("text") >= least_chars)
+    part = lambda c: F.slice("lines", c["s"] + 1, c["e"] - c["s"])
+    rows = rows.select("doc", F.transform(cut, lambda c: F.struct(F.array_join(part(c), "\n").alias("raw"), F.when(c["titled"], strip(F.get("lines", c["s"]))).alias("title"))).alias("c"))
+    rows = rows.withColumn("starts", running(F.transform("c", lambda x: F.length(x["raw"]) + 1)))
+    out = rows.select("doc", F.posexplode(F.arrays_zip("c", "starts")).alias("nth", "x"))
+    return out.select("doc", "nth", F.col("x.c.title").alias("title"), F.col("x.starts").alias("char_start"), strip(F.col("x.c.raw")).alias("text")).where(F.length("text") >= least_chars)
 
 
 def page_spans(text: Column) -> Column:
     """array<struct<page, start, end>>: each page to where the next marker begins."""
-    lines = F.split(text, "\n", -1)
-    starts = F.transform(lines, lambda x, i: F.struct(x.alias("line"), F.length(F.array_join(F.slice(lines, F.lit(1), i), "\n")).alias("before"), i.alias("i")))
-    marks = F.filter(starts, lambda x: x["line"].rlike(r"^--- Page \d+ ---\s*$"))
-    pages = F.transform(marks, lambda x: F.struct(F.regexp_extract(x["line"], r"(\d+)", 1).cast("int").alias("page"), (x["before"] + F.when(x["i"] > 0, 1).otherwise(0)).alias("start")))
-    return F.transform(pages, lambda x, i: F.struct(x["page"].alias("page"), x["start"].alias("start"), F.coalesce(F.get(pages, i + 1)["start"], F.length(text) + 1).alias("end")))
+    marker = f"(?md){MARKER.replace(SPACE, SPACE.replace('x09-', 'x09' + chr(92) + 'x0B-'))}"  # within its line
+    marks = F.regexp_extract_all(text, F.lit(marker), F.lit(0))
+    between = F.transform(F.split(text, marker, -1), F.length)
+    gaps = F.slice(between, 1, F.size(marks))
+    # a marker begins after the gaps up to its own and the markers before it
+    before = running(F.zip_with(gaps, marks, lambda g, m: g + F.length(m)))
+    sums = F.zip_with(before, gaps, lambda b, g: b + g)
+    number = F.transform(marks, lambda m: F.regexp_extract(m, r"(\d+)", 1).cast("int"))
+    # whole arrays side by side: an array looked up inside a lambda would be made again for each element
+    ends = F.concat(F.slice(sums, 2, F.size(marks)), F.array(F.length(text) + 1))
+    return F.transform(F.arrays_zip(number.alias("page"), sums.alias("start"), F.slice(ends, 1, F.size(marks)).alias("end")), lambda x: F.struct(x["page"].alias("page"), x["start"].alias("start"), x["end"].alias("end")))
 
 
 def pages_of(start: Column, end: Column, spans: Column) -> Column:
@@ -110,8 +161,33 @@ def pages_of(start: Column, end: Column, spans: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(hits, lambda p: p["page"])))
 
 
-def _count(text: str) -> int:
-    return len(_TOKEN.findall(text))
+class Pages:
+    """The pages of a raw text, from one pass over its lines."""
+
+    def __init__(self, text: str) -> None:
+        self.numbers, self.starts, at = [], [], 0
+        for line in text.split("\n"):
+            if m := _PAGE.match(line):
+                self.numbers.append(int(m[1]))
+                self.starts.append(at)
+            at += len(line) + 1
+        self.ends = [*self.starts[1:], at] if self.starts else []
+
+    def over(self, start: int, end: int) -> list[int]:
+        """Pages that [start, end) overlaps."""
+        return sorted(set(self.numbers[bisect_right(self.ends, start) : bisect_left(self.starts, end)]))
+
+    def first(self) -> list[int]:
+        return self.numbers[:1]
+
+
+class Chunk(NamedTuple):
+    text: str
+    title: str | None
+    start: int
+    end: int
+    strategy: str
+    pages: list[int]
 
 
 def split_sentences(text: str) -> list[str]:
@@ -123,11 +199,7 @@ def split_sentences(text: str) -> list[str]:
     return [*out, text[at:]] if text[at:].strip() else out
 
 
-def _tail(text: str, n: int) -> str:
-    return "".join(_TOKEN.findall(text)[-n:]) if n else ""
-
-
-def pack_sentences(text: str, limits: Limits, always_overlap: bool, begin: int = 0) -> list[tuple[str, int]]:
+def pack_sentences(text: str, limits: Limits, always_overlap: bool, begin: int = 0, tokenise: Tokeniser = plain_tokens) -> list[tuple[str, int]]:
     """(chunk, its start): sentences added while they fit, then the overlap.
 
     A chunk below the least size is not kept.  Its last tokens open the next
@@ -137,19 +209,19 @@ def pack_sentences(text: str, limits: Limits, always_overlap: bool, begin: int =
     held, held_tokens, start, at = "", 0, begin, begin
 
     def keep(chunk: str) -> None:
-        if _count(chunk) >= limits.least:
+        if len(tokenise(chunk)) >= limits.least:
             out.append((chunk, start))
 
     for sentence in split_sentences(text):
-        n = _count(sentence)
+        n = len(tokenise(sentence))
         if held and held_tokens + n > limits.size:
             chunk = held.strip()
             keep(chunk)
             if limits.overlap and (out or always_overlap):
-                carried = _tail(chunk, limits.overlap)
+                carried = "".join(tokenise(chunk)[-limits.overlap :])
                 start += len(chunk) - len(carried)
                 held = f"{carried} {sentence}"
-                held_tokens = _count(held)
+                held_tokens = len(tokenise(held))
             else:
                 start = start + len(chunk) if always_overlap else at
                 held, held_tokens = sentence, n
@@ -180,8 +252,8 @@ def find_sections(text: str, least_chars: int) -> list[tuple[str, str | None, in
     return found or [(text, None, 0, len(text))]
 
 
-def split_tokens(text: str, most: int, overlap: int) -> list[str]:
-    all_ = _TOKEN.findall(text)
+def split_tokens(text: str, most: int, overlap: int, tokenise: Tokeniser = plain_tokens) -> list[str]:
+    all_ = tokenise(text)
     step = most - overlap if overlap < most else most
     return ["".join(all_[k : k + most]) for k in range(0, len(all_), step)]
 
@@ -191,45 +263,47 @@ def _clean(text: str) -> str:
     return re.sub(r"[ \t]+", " ", re.sub(r"\n{3,}", "\n\n", text)).strip()
 
 
-def by_sentences(text: str, limits: Limits) -> list[tuple[str, str | None, int, str]]:
-    return [(c, None, s, "sentence") for c, s in pack_sentences(_clean(text), limits, False)]
+def by_sentences(text: str, limits: Limits, pages: Pages, tokenise: Tokeniser = plain_tokens) -> list[Chunk]:
+    return [Chunk(c, None, s, s + len(c), "sentence", pages.over(s, s + len(c))) for c, s in pack_sentences(_clean(text), limits, False, 0, tokenise)]
 
 
-def by_structure(text: str, limits: Limits) -> list[tuple[str, str | None, int, str]]:
+def by_structure(text: str, limits: Limits, pages: Pages, tokenise: Tokeniser = plain_tokens) -> list[Chunk]:
+    """One chunk a section; parts of a section above the most tokens have its place and the first page."""
     out = []
-    for body, title, start, _ in find_sections(_clean(text), limits.least):
-        body, n = body.strip(), _count(body)
+    for body, title, start, end in find_sections(_clean(text), limits.least):
+        n = len(tokenise(body))
         if n > limits.most:
             loose = Limits(limits.size, limits.overlap, 0, limits.most)
-            for chunk, _ in pack_sentences(body, loose, True):
-                parts = split_tokens(chunk, limits.most, limits.overlap) if _count(chunk) > limits.most else [chunk]
-                out += [(p.strip(), title, start, "structure") for p in parts if _count(p) >= limits.least]
+            for chunk, _ in pack_sentences(body, loose, True, 0, tokenise):
+                parts = split_tokens(chunk, limits.most, limits.overlap, tokenise) if len(tokenise(chunk)) > limits.most else [chunk]
+                out += [Chunk(p.strip(), title, start, end, "structure", pages.first()) for p in parts if len(tokenise(p.strip())) >= limits.least]
         elif n >= limits.least:
-            out.append((body, title, start, "structure"))
+            out.append(Chunk(body, title, start, end, "structure", pages.over(start, end)))
     return out
 
 
-def by_hybrid(text: str, limits: Limits) -> list[tuple[str, str | None, int, str]]:
+def by_hybrid(text: str, limits: Limits, pages: Pages, tokenise: Tokeniser = plain_tokens) -> list[Chunk]:
+    """Sections, those above the size by sentences; without several sections or any chunk, sentences."""
     found, out = find_sections(_clean(text), limits.least), []
     if len(found) > 1:
-        for body, title, start, _ in found:
-            n = _count(body)
+        for body, title, start, end in found:
+            n = len(tokenise(body))
             if limits.least <= n <= limits.size:
-                out.append((body, title, start, "hybrid"))
+                out.append(Chunk(body, title, start, end, "hybrid", pages.over(start, end)))
             elif n > limits.size:
-                out += [(c, title, s, "hybrid") for c, s in pack_sentences(body, limits, True, start)]
-    return out or by_sentences(text, limits)
+                out += [Chunk(c, title, s, s + len(c), "hybrid", pages.over(s, s + len(c))) for c, s in pack_sentences(body, limits, True, start, tokenise)]
+    return out or by_sentences(text, limits, pages, tokenise)
 
 
-def by_size(text: str, limits: Limits) -> list[tuple[str, str | None, int, str]]:
-    text = _clean(text)
-    parts = split_tokens(text, limits.size, limits.overlap)
-    all_, at, out = _TOKEN.findall(text), 0, []
-    for k, part in enumerate(parts):
-        if k and _count(part) < limits.least:
+def by_size(text: str, limits: Limits, pages: Pages, tokenise: Tokeniser = plain_tokens) -> list[Chunk]:
+    all_, out, at = tokenise(_clean(text)), [], 0
+    for k in range(0, len(all_), limits.step):
+        part = all_[k : k + limits.size]
+        if k and len(part) < limits.least:
             break
-        out.append((part, None, len("".join(all_[:at])), "fixed"))
-        at += limits.step
+        chunk = "".join(part)
+        out.append(Chunk(chunk, None, at, at + len(chunk), "fixed", pages.over(at, at + len(chunk))))
+        at += sum(map(len, all_[k : k + limits.step]))
         if len(all_) < limits.least:
             break
     return out
@@ -238,33 +312,52 @@ def by_size(text: str, limits: Limits) -> list[tuple[str, str | None, int, str]]
 STRATEGIES = {"fixed": by_size, "sentence": by_sentences, "structure": by_structure, "hybrid": by_hybrid}
 
 
-def create_chunks(text: str, strategy: str, limits: Limits) -> list[tuple[str, str | None, int, str]]:
+def create_chunks(text: str, strategy: str, limits: Limits, tokenise: Tokeniser = plain_tokens) -> list[Chunk]:
     """The first strategy that gives chunks, the named one first; none above the most tokens."""
+    pages = Pages(text)
     for name in dict.fromkeys([strategy, "hybrid", "sentence", "fixed"]):
-        found = STRATEGIES[name](text, limits)
-        if found:
+        if found := STRATEGIES[name](text, limits, pages, tokenise):
             out = []
-            for chunk, title, start, how in found:
-                parts = [chunk] if _count(chunk) <= limits.most else split_tokens(chunk, limits.most, limits.overlap)
-                out += [(p, title, start, how) for p in parts]
+            for chunk in found:
+                if len(tokenise(chunk.text)) <= limits.most:
+                    out.append(chunk)
+                else:
+                    out += [chunk._replace(text=p, end=chunk.start + len(p)) for p in split_tokens(chunk.text, limits.most, limits.overlap, tokenise)]
             return out
     return []
 
 
-CHUNKS = "doc string, chunk_index int, chunk_id string, strategy string, title string, char_start int, char_end int, n_tokens int, text string"
+CHUNKS = "doc string, chunk_index int, chunk_id string, strategy string, title string, char_start int, char_end int, n_tokens int, text string, pages array<int>"
 
 
-def chunks(docs: DataFrame, strategy: str = "hybrid", limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The chunks of every document; one without text or chunks gives none."""
+def attempts(docs: DataFrame, strategy: str = "hybrid", limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", tokenise: Tokeniser = plain_tokens) -> DataFrame:
+    """The columns of ``CHUNKS``, and of a document without chunks one row of nulls with its error."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy: {strategy}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for i, (chunk, title, start, how) in enumerate(create_chunks(text or "", strategy, limits)):
-                    rows.append((doc, i, f"{doc}_chunk_{i:04d}", how, title, start, start + len(chunk), _count(chunk), chunk))
-            types = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+                blank = not (text or "").strip()
+                found = [] if blank else create_chunks(text, strategy, limits, tokenise)
+                for i, c in enumerate(found):
+                    rows.append((doc, i, f"{doc}_chunk_{i:04d}", c.strategy, c.title, c.start, c.end, len(tokenise(c.text)), c.text, c.pages, None))
+                if not found:
+                    rows.append((doc, *[None] * 9, "Empty text file" if blank else "No chunks"))
+            types = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.string())
             columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in CHUNKS.split(", ")])
+            yield pa.RecordBatch.from_arrays(columns, names=[*(c.split()[0] for c in CHUNKS.split(", ")), "error"])
+
+    return docs.select(docs[id_col].cast("string").alias("doc"), docs[text_col].cast("string").alias("text")).mapInArrow(run, CHUNKS + ", error string")
+
+
+def chunks(docs: DataFrame, strategy: str = "hybrid", limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", tokenise: Tokeniser = plain_tokens) -> DataFrame:
+    """The chunks of every document; one without text or chunks gives none."""
+    return attempts(docs, strategy, limits, id_col, text_col, tokenise).where("error is null").drop("error")
+
 
-    return docs.select(docs[id_col].cast("string").alias("doc"), docs[text_col].cast("string").alias("text")).mapInArrow(run, CHUNKS)
+def statuses(attempted: DataFrame) -> DataFrame:
+    """doc, status, n_chunks, error of ``attempts``: a blank document, or one without chunks, failed."""
+    by = attempted.groupBy("doc").agg(F.count("chunk_index").alias("n_chunks"), F.max("error").alias("error"))
+    return by.select("doc", F.when(F.col("n_chunks") > 0, "SUCCESS").otherwise("FAILED").alias("status"), "n_chunks", F.when(F.col("n_chunks") == 0, F.col("error")).alias("error"))

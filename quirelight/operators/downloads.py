@@ -16,6 +16,8 @@ CONTENT_TYPES = {
     "application/vnd.ms-excel": ".xls",
     "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": ".xlsx",
 }
+# fixed values: content types of files
+DIRECT_TYPES = ("application/pdf", "application/octet-stream", "application/msword", "application/vnd.openxmlformats-officedocument.wordprocessingml.document")
 WORD_TYPES = [t for t, e in CONTENT_TYPES.items() if e in (".doc", ".docx")]
 
 
@@ -102,3 +104,23 @@ def resume(status: Column, has_part: Column, part_size: Column, total: Column) -
         .when(status.isin(429, 500, 502, 503, 504), "retry")
         .otherwise("fail")
     )
+
+
+def is_direct(content_type: Column, disposition: Column) -> Column:
+    """Whether a response is a file: by its type, or since it names one or says it is an attachment."""
+    kind, told = (F.lower(F.coalesce(x, F.lit(""))) for x in (content_type, disposition))
+    out = told.contains("attachment") | told.contains("filename=")
+    for known in DIRECT_TYPES:
+        out = out | kind.contains(known)
+    return out
+
+
+def extraction_status(text: Column, least: int) -> Column:
+    """Processed, or Failed for a text below ``least`` characters."""
+    return F.when(F.length(F.coalesce(text, F.lit(""))) >= least, "Processed").otherwise("Failed")
+
+
+def counters(results: DataFrame, cached: Column, open_access: Column) -> DataFrame:
+    """One row: attempted, cached, open_access and the latter's share in percent."""
+    s = results.agg(F.count(F.lit(1)).alias("attempted"), F.count_if(cached).alias("cached"), F.count_if(open_access).alias("open_access"))
+    return s.withColumn("open_share", F.round(100.0 * F.col("open_access") / F.greatest("attempted", F.lit(1)), 1))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -42,9 +42,58 @@ def benchmark(rows: DataFrame, group: str, value: str, success: str) -> DataFram
 
 
 def cost(usage: DataFrame, rates: DataFrame, machine: str, hours: str, gigabytes: str, default_rate: float = 0.20, per_gb_month: float = 0.020) -> DataFrame:
-    """One row: compute and storage cost; unknown machines have the default rate."""
-    rows = usage.join(F.broadcast(rates.limit(10_000)), machine, "left")
-    return rows.agg(F.round(F.sum(F.coalesce("rate", F.lit(default_rate)) * F.greatest(F.col(hours), F.lit(0.0))), 4).alias("compute"), F.round(F.sum(F.col(gigabytes)) * per_gb_month / 30, 4).alias("storage"))
+    """One row: compute and storage cost; unknown machines have the default rate.
+
+    Hours are summed by machine first, so few rows meet the rates; of several
+    rates of one machine the largest counts.
+    """
+    used = usage.groupBy(machine).agg(F.sum(F.greatest(F.col(hours), F.lit(0.0))).alias("__hours"), F.sum(gigabytes).alias("__gb"))
+    named = rates.groupBy(F.col(machine).alias("__machine")).agg(F.max("rate").alias("__rate"))
+    rows = used.join(named, F.col(machine) == F.col("__machine"), "left")
+    return rows.agg(F.round(F.sum(F.coalesce("__rate", F.lit(default_rate)) * F.col("__hours")), 4).alias("compute"), F.round(F.sum("__gb") * per_gb_month / 30, 4).alias("storage"))
+
+
+def uptime_hours(begun: Column, ended: Column) -> Column:
+    return (F.unix_seconds(ended.cast("timestamp")) - F.unix_seconds(begun.cast("timestamp"))) / 3600
+
+
+def judged_cost(costs: DataFrame, publications: int, fair: float = 0.01, dear: float = 0.05) -> DataFrame:
+    """``cost``'s row with the total, the cost a publication and its rating."""
+    total = F.coalesce("compute", F.lit(0.0)) + F.coalesce("storage", F.lit(0.0))
+    rows = costs.withColumn("total", F.round(total, 4)).withColumn("each", F.round(F.col("total") / max(1, publications), 6))
+    return rows.withColumn("rating", F.when(F.col("each") <= fair, "good").when(F.col("each") <= dear, "fair").otherwise("dear"))
+
+
+def scrape_stats(found: DataFrame, kept: DataFrame, files: str) -> DataFrame:
+    """One row: entries found and kept, duplicates removed, file urls, and the shares with abstract, year and files."""
+    n = found.agg(F.count(F.lit(1)).alias("found"))
+    share = lambda c: F.round(F.avg(F.coalesce(c, F.lit(False)).cast("double")), 4)
+    some = F.coalesce(F.size(files), F.lit(0)) > 0
+    s = kept.agg(F.count(F.lit(1)).alias("kept"), F.coalesce(F.sum(F.greatest(F.size(files), F.lit(0))), F.lit(0)).alias("files"), share(F.length("abstract") > 0).alias("with_abstract"), share(F.col("year").isNotNull()).alias("with_year"), share(some).alias("with_files"))
+    return n.join(s, how="cross").select("found", "kept", (F.col("found") - F.col("kept")).alias("duplicates"), "files", "with_abstract", "with_year", "with_files")
+
+
+def stage_counts(listing: DataFrame, path: str, stages: dict[str, str]) -> DataFrame:
+    """stage, n: files whose path matches a stage's pattern; a stage without files has 0."""
+    spark = listing.sparkSession
+    named = F.coalesce(*[F.when(F.col(path).rlike(pattern), F.lit(stage)) for stage, pattern in stages.items()])
+    counts = listing.groupBy(named.alias("stage")).agg(F.count(F.lit(1)).alias("n")).where("stage is not null")
+    all_ = spark.createDataFrame([(s,) for s in stages], "stage string")
+    return all_.join(counts, "stage", "left").select("stage", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def distinct_pages(elements: DataFrame, document: str, page: str) -> DataFrame:
+    """document, pages: how many distinct page numbers its elements have."""
+    return elements.groupBy(document).agg(F.count_distinct(page).alias("pages"))
+
+
+def measured(rows: DataFrame, text: str, seconds: str, error: str) -> DataFrame:
+    """A benchmark row a file: seconds, characters, tokens, pages, success."""
+    from ..functions.text import tokens
+    from .chunking import page_spans
+
+    body = F.coalesce(F.col(text), F.lit(""))
+    return rows.select("*", F.length(body).alias("chars"), F.size(tokens(body)).alias("tokens"), F.size(page_spans(body)).alias("pages"), (F.col(error).isNull() & (F.length(body) > 0)).alias("success"))
 
 
 def log_flags(lines: DataFrame, text: str) -> DataFrame:

@@ -6,12 +6,14 @@ never collected.  Scores are rounded before ranking, ties go to the lesser id.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ids import uuid5
 from ..functions.vectors import cosine
 
 TOP_K, MOST_K, PREFETCH, RRF_K = 10, 50, 3, 60
@@ -43,8 +45,13 @@ def best(scored: DataFrame, k: int, by: list[str], id_col: str, score_col: str =
 
 
 def dense_top_k(collection: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", digits: int = 6) -> DataFrame:
-    """query, id, score, rank; ``queries`` has query, vector and stays small."""
-    scored = collection.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).join(F.broadcast(queries), how="cross")
+    """query, id, score, rank; ``queries`` has query, vector.
+
+    A stated set of queries meets all vectors.  Spark broadcasts the queries only
+    below its size threshold and beyond it pairs blocks of both sides; each task
+    keeps its first k a query before anything is shuffled.
+    """
+    scored = collection.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).join(queries, how="cross")
     scored = scored.select("query", "id", F.round(cosine(F.col("v"), F.col("vector")), digits).alias("score"))
     return best(scored, k, ["query"], "id")
 
@@ -53,17 +60,20 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM), F.lit(0))
 
 
-def document_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, term, weight: saturated term frequencies."""
+def document_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wanted: DataFrame | None = None) -> DataFrame:
+    """id, term, weight: saturated term frequencies; only of the terms of ``wanted``, if given."""
     rows = docs.select(F.col(id_col).alias("id"), terms(F.col(text_col)).alias("t")).withColumn("n", F.size("t"))
-    counts = rows.select("id", "n", F.explode("t").alias("term")).groupBy("id", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
+    found = rows.select("id", "n", F.explode("t").alias("term"))
+    if wanted is not None:  # before anything is shuffled
+        found = found.join(wanted.select("term").distinct(), "term", "left_semi")
+    counts = found.groupBy("id", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
     length = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("n") / F.lit(AVERAGE_LENGTH))
     return counts.select("id", "term", (F.col("tf") * (K1 + 1) / (F.col("tf") + length)).alias("weight"))
 
 
 def inverse_frequency(vectors: DataFrame, docs: DataFrame) -> DataFrame:
     """term, df, idf over the collection."""
-    n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
+    n = docs.agg(F.count(F.lit(1)).alias("n_docs"))  # one row
     df = vectors.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return df.join(F.broadcast(n), how="cross").select("term", "df", F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
@@ -71,7 +81,7 @@ def inverse_frequency(vectors: DataFrame, docs: DataFrame) -> DataFrame:
 def sparse_top_k(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", digits: int = 6) -> DataFrame:
     """query, id, score, rank; ``queries`` has query, text; each distinct term weighs 1."""
     asked = queries.select("query", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    vectors = document_vectors(docs, id_col, text_col).join(asked.select("term").distinct(), "term", "left_semi")
+    vectors = document_vectors(docs, id_col, text_col, asked)
     weighed = vectors.join(inverse_frequency(vectors, docs), "term").join(asked, "term")
     scored = weighed.groupBy("query", "id").agg(F.round(F.sum(F.col("weight") * F.col("idf")), digits).alias("score"))
     return best(scored, k, ["query"], "id")
@@ -86,29 +96,54 @@ def fused(channels: list[DataFrame], k: int, rrf_k: int = RRF_K, digits: int = 6
     return best(scored, k, ["query"], "id")
 
 
-def hybrid_top_k(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, rrf_k: int = RRF_K) -> DataFrame:
-    """Both channels' first 3k, fused; ``queries`` has query, text, vector."""
-    dense = dense_top_k(vectors, queries.select("query", "vector"), PREFETCH * k)
+def hybrid_top_k(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, rrf_k: int = RRF_K, filters: dict | None = None, drop_falsy: bool = False) -> DataFrame:
+    """Both channels' first 3k, fused; ``queries`` has query, text, vector.
+
+    The filter holds inside each channel, before its first 3k are taken.
+    """
+    docs, vectors = (payload_filter(x, filters or {}, drop_falsy) for x in (docs, vectors))
+    dense = dense_top_k(vectors, queries.where("vector is not null").select("query", "vector"), PREFETCH * k)
     return fused([dense, sparse_top_k(docs, queries.select("query", "text"), PREFETCH * k)], k, rrf_k)
 
 
-def merged_queries(hits: DataFrame, k: int) -> DataFrame:
-    """id, score of several queries' hits: the best score of an id, then the first k."""
-    top = hits.groupBy("id").agg(F.max("score").alias("score"))
+def merged_queries(hits: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Several queries' hits as one list (of each ``by``): of each id the best row, whole, then the first k.
+
+    Of equal scores the row of the least query stays.
+    """
+    rest = [c for c in hits.columns if c not in ("id", "score", "rank", *by)]
+    place = [F.col("score"), *([-F.col("query")] if "query" in rest else [])]
+    top = hits.groupBy(*by, "id").agg(F.max_by(F.struct("score", *rest), F.struct(*place)).alias("__best")).select(*by, "id", "__best.*")
+    if by:
+        return best(top, k, list(by), "id")
     return top.orderBy(F.desc("score"), "id").limit(k)
 
 
-def with_citations(citations: DataFrame, hits: DataFrame, fill: list[str]) -> DataFrame:
-    """Citations with blank fields filled from the hit at ``source_number``.
+def with_citations(citations: DataFrame, hits: DataFrame, fill: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """Citations with blank fields filled from the hit (of their ``by``) at ``source_number``.
 
     ``hits`` is a ranked top-k (column ``rank`` from 1); numbers beyond it are ignored.
     """
-    named = hits.select(F.col("rank").alias("__rank"), *[F.col(c).cast("string").alias(f"__{c}") for c in fill])
-    joined = citations.join(F.broadcast(named), F.col("source_number") == F.col("__rank"), "left")
+    named = hits.select(*[F.col(c).alias(f"__by_{c}") for c in by], F.col("rank").alias("__rank"), *[F.col(c).cast("string").alias(f"__{c}") for c in fill])
+    same = F.col("source_number") == F.col("__rank")
+    for c in by:
+        same = same & (F.col(c) == F.col(f"__by_{c}"))
+    joined = citations.join(named, same, "left")
     kept = [c for c in citations.columns if c not in fill]
     return joined.select(*kept, *[F.coalesce(F.when(F.col(c).cast("string") != "", F.col(c).cast("string")), F.col(f"__{c}")).alias(c) for c in fill])
 
 
+def projected(hits: DataFrame, payload: DataFrame, key: str, fields: dict) -> DataFrame:
+    """Hits with payload fields or their defaults; a result is named by its point id.
+
+    ``fields``: name -> default, as a Column or a value.
+    """
+    named = payload.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__{c}") for c in fields])
+    joined = hits.join(named, F.col("id") == F.col("__key"), "left")
+    value = lambda c, d: F.coalesce(F.col(f"__{c}"), d if isinstance(d, Column) else F.lit(d)).alias(c)
+    return joined.select(*hits.columns, uuid5(F.col("id").cast("string")).alias("chunk_id"), *[value(c, d) for c, d in fields.items()])
+
+
 def keep_listed(hits: DataFrame, positions: list[int]) -> DataFrame:
     """The hits at the given positions (from 0, strange ones ignored), in that order."""
     at = {p: i for i, p in reversed(list(enumerate(positions)))}
@@ -124,6 +159,12 @@ def context(hits: DataFrame, text_col: str, most: int, first: int = 0) -> DataFr
     return hits.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n\n").alias("context"))
 
 
+def analysed(query: str, most: int = 3) -> tuple[list[str], dict]:
+    """The query itself, and the year it names, if it names one."""
+    years = re.findall(r"\b(?:19|20)\d{2}\b", query)
+    return [query][:most], {"year": int(years[0])} if len(set(years)) == 1 else {}
+
+
 @dataclass
 class Agent:
     """Analyse, retrieve, grade, maybe once more, synthesise.
@@ -132,7 +173,7 @@ class Agent:
     """
 
     retrieve: Callable[[list[str], dict, int], DataFrame]
-    analyse: Callable[[str], tuple[list[str], dict]] = lambda query: ([query], {})
+    analyse: Callable[[str], tuple[list[str], dict]] = lambda query: analysed(query)
     grade: Callable[[DataFrame], DataFrame] = lambda hits: hits
     synthesise: Callable[[str, DataFrame], str] = lambda query, hits: "\n".join(f"[{r['rank']}] {r['id']}" for r in hits.orderBy("rank").collect())
     most_tries: int = 2

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 PENDING = "Pending"
 # fixed values: stages in order with the status that completes each
 STAGES = {"download": "Downloaded", "processing": "Processed", "embedding": "Embedded", "ingestion": "Ingested"}
@@ -24,6 +26,59 @@ def refresh(existing: DataFrame, incoming: DataFrame, key: str, hash_col: str) -
     return both.select(F.coalesce("k1", "k2").alias(key), outcome.alias("outcome"), F.when(F.col("k2").isNull(), F.col("old")).otherwise(F.col("new")).alias(hash_col))
 
 
+def merged(existing: DataFrame, incoming: DataFrame, key: str, hash_col: str) -> DataFrame:
+    """The catalogue after a refresh: whole records, incoming ones over existing ones, with their outcome.
+
+    A record that comes again unchanged keeps the stored row; one that no longer comes stays.
+    """
+    columns = [c for c in existing.columns if c != key]
+    a = existing.select(F.col(key).alias("__k1"), F.struct(*columns).alias("__old"))
+    b = incoming.select(F.col(key).alias("__k2"), F.struct(*[F.col(c) if c in incoming.columns else F.lit(None).cast(dict(existing.dtypes)[c]).alias(c) for c in columns]).alias("__new"))
+    both = a.join(b, F.col("__k1") == F.col("__k2"), "full")
+    same = F.col(f"__old.{hash_col}").eqNullSafe(F.col(f"__new.{hash_col}"))
+    outcome = F.when(F.col("__k1").isNull(), "new").when(F.col("__k2").isNull(), "retained").when(same, "unchanged").otherwise("updated")
+    rows = both.select(F.coalesce("__k1", "__k2").alias(key), outcome.alias("outcome"), "__old", "__new")
+    taken = lambda c: F.when(F.col("outcome").isin("new", "updated"), F.col(f"__new.{c}")).otherwise(F.col(f"__old.{c}")).alias(c)
+    return rows.select(key, *[taken(c) for c in columns], "outcome")
+
+
+def discovered(sources: dict[str, DataFrame]) -> DataFrame:
+    """All sources' rows, by column name, with their source; a source that cannot be planned fails the whole."""
+    out = None
+    for name, rows in sources.items():
+        rows = rows.withColumn("source", F.lit(name))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no sources")
+    return out
+
+
+def known_sources(requested: list[str], valid: list[str]) -> list[str]:
+    """The requested names, if all are valid."""
+    if strange := sorted(set(requested) - set(valid)):
+        raise ValueError(f"unknown sources: {', '.join(strange)}")
+    return list(dict.fromkeys(requested))
+
+
+def status_of(tracked: DataFrame, key: str, ids: list) -> DataFrame:
+    """key and the stages' statuses of the given ids."""
+    wanted = tracked.sparkSession.createDataFrame([(x,) for x in dict.fromkeys(ids)], f"{key} {dict(tracked.dtypes)[key]}")
+    return tracked.join(wanted, key, "left_semi").select(key, *[f"{s}_status" for s in STAGES])
+
+
+def matching(rows: DataFrame, **values: object) -> DataFrame:
+    """Rows with all of these values; None asks for null."""
+    for name, value in values.items():
+        rows = rows.where(F.col(name).eqNullSafe(F.lit(value)))
+    return rows
+
+
+def get_or_create(rows: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with those of ``new`` whose keys they lack, one a key."""
+    absent = new.dropDuplicates(keys).join(rows.select(*keys), keys, "left_anti")
+    return rows.unionByName(absent, allowMissingColumns=True)
+
+
 def processing_plan(publications: DataFrame, tracked: DataFrame, key: str) -> DataFrame:
     """key, needs_<stage>, files_to_reprocess, reason.
 
@@ -69,6 +124,32 @@ def upsert(publications: DataFrame, tracked: DataFrame, key: str) -> DataFrame:
     return both.select(key, *out)
 
 
+def validated(publications: DataFrame, key: str, title: str) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected with a reason): an id and a title that are not blank, one row an id."""
+    blank = lambda c: F.coalesce(F.length(strip(F.col(c).cast("string"))), F.lit(0)) == 0
+    reason = F.when(blank(key), "no id").when(blank(title), "no title")
+    judged = publications.withColumn("reason", reason)
+    return judged.where("reason is null").drop("reason"), judged.where("reason is not null")
+
+
+def registered(publications: DataFrame, tracked: DataFrame, key: str, metadata: list[str]) -> DataFrame:
+    """``upsert`` with metadata: the publication's own over the stored; discovery time and attempts stay."""
+    out = upsert(publications, tracked, key)
+    new = publications.select(F.col(key).alias("__k"), *[F.col(c).alias(f"__{c}") for c in metadata], F.lit(True).alias("__mine"))
+    rest = [c for c in tracked.columns if c not in out.columns]
+    old = tracked.select(F.col(key).alias("__t"), *[F.col(c).alias(f"__old_{c}") for c in rest])
+    rows = out.join(new, F.col(key) == F.col("__k"), "left").join(old, F.col(key) == F.col("__t"), "left")
+    stored = lambda c: F.col(f"__old_{c}") if c in rest else F.lit(None)
+    return rows.select(*out.columns, *[F.when(F.col("__mine"), F.col(f"__{c}")).otherwise(stored(c)).alias(c) for c in metadata], *[F.col(f"__old_{c}").alias(c) for c in rest if c not in metadata])
+
+
+def stage_transitions(events: DataFrame, key: str, stage: str, order: list[str]) -> DataFrame:
+    """key, <stage>_status, _attempts, _updated and the error of one stage's log."""
+    own = events.where(F.col("stage") == stage)
+    out = folded(own, [key], "status", order, "error")
+    return out.select(key, F.col("status").alias(f"{stage}_status"), F.col("attempts").alias(f"{stage}_attempts"), F.col("updated").alias(f"{stage}_updated"), F.col("error").alias("error_message"))
+
+
 def folded(transitions: DataFrame, keys: list[str], status: str, order: list[str], error: str) -> DataFrame:
     """keys, status, attempts, updated, error after a log of transitions.
 
@@ -100,6 +181,15 @@ def embedding_work(tracked: DataFrame, on_disk: DataFrame, key: str, requested:
     return rows.orderBy(F.when(F.col("origin") == "tracked", 0).otherwise(1), key).limit(limit) if limit else rows
 
 
+def embedding_report(tracked: DataFrame, on_disk: DataFrame, requested: DataFrame, key: str) -> DataFrame:
+    """key, found of the requested ids: whether tracked, on disk, or neither (what a run leaves out)."""
+    mark = lambda rows, name: rows.select(F.col(key).alias(f"__{name}")).distinct()
+    rows = requested.select(key).distinct()
+    rows = rows.join(mark(tracked, "t"), F.col(key) == F.col("__t"), "left").join(mark(on_disk, "d"), F.col(key) == F.col("__d"), "left")
+    t, d = F.col("__t").isNotNull(), F.col("__d").isNotNull()
+    return rows.select(key, F.when(t & d, "tracked").when(d, "disk").when(t, "without chunks").otherwise("missing").alias("found"))
+
+
 def missing(wanted: DataFrame, have: DataFrame, key: str) -> DataFrame:
     return wanted.join(have.select(key).distinct(), key, "left_anti")
 
@@ -113,3 +203,24 @@ def targets(files: DataFrame, directory: str, stem: str) -> DataFrame:
     # many files may share a directory, so no window gathers them: only the least is needed
     rows = files.join(first, directory)
     return rows.select(directory, stem, F.when(F.col(stem) == F.col("__first"), F.col(directory).cast("string")).otherwise(F.concat_ws("__", F.col(directory).cast("string"), F.col(stem).cast("string"))).alias("document_id"))
+
+
+def artifact_ids(artifacts: DataFrame, path: str) -> DataFrame:
+    """path, document_id of artifacts of one file name, as ``targets`` laid them out.
+
+    A folder whose own parent holds an artifact is a second file's: ``a/b`` is ``a__b``.
+    """
+    folder = F.regexp_extract(F.col(path), r"^(.*)/[^/]*$", 1)
+    up = F.regexp_extract("__folder", r"^(.*)/[^/]*$", 1)
+    rows = artifacts.select(path, folder.alias("__folder")).withColumn("__up", up)
+    holders = rows.select(F.col("__folder").alias("__holder")).distinct()
+    joined = rows.join(holders, F.col("__up") == F.col("__holder"), "left")
+    name = lambda c: F.substring_index(c, "/", -1)
+    return joined.select(path, F.when(F.col("__holder").isNotNull(), F.concat(name("__up"), F.lit("__"), name("__folder"))).otherwise(name("__folder")).alias("document_id"))
+
+
+def guarded(claims: DataFrame, path: str, order: str) -> DataFrame:
+    """Claims on output paths: the first of a path holds, others have an error; no path's claims are gathered."""
+    first = claims.groupBy(F.col(path).alias("__path")).agg(F.min(order).alias("__first"))
+    joined = claims.join(first, F.col(path) == F.col("__path"))
+    return joined.withColumn("error", F.when(F.col(order) != F.col("__first"), F.concat(F.lit("path already claimed: "), F.col(path)))).drop("__path", "__first")

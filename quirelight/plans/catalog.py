@@ -11,19 +11,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import ids, text, vectors
+from ..functions import ids, paths, text, vectors
 from ..operators import catalog as records
-from ..operators import chunking, downloads, ingest, metrics, retrieval, tracking
+from ..operators import chunking, downloads, ingest, metrics, retrieval, tracking, transcripts
 from ..sources.readers import literal_list
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-# fixed values: the query vectors and the query text of the search examples
-QUERY_VECTORS, QUERY_ITEM = (0, 1, 2), 0
+EVERY = 20  # rows whose id it divides are the query set of the searches
 FIXED = chunking.Limits(500, 50, 50, 2000)
 SMALL = chunking.Limits(100, 20, 20, 200)
-_STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+_SP = text.SPACE
+_STRIP = f"regexp_replace({{}}, '^[{_SP.replace('{', '{{').replace('}', '}}')}]+|[{_SP.replace('{', '{{').replace('}', '}}')}]+$', '', 'g')"
+_NORMAL = f"regexp_replace(regexp_replace(lower({{}}), '{text.NOT_WORD.replace('{', '{{').replace('}', '}}')}', ' ', 'g'), '[{_SP.replace('{', '{{').replace('}', '}}')}]+', ' ', 'g')"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,12 +50,12 @@ def query(name: str, sql: str | None = None):
 # ---- text and identifiers
 
 
-@query("F1_normalize_text", r"SELECT doc_id, " + _STRIP.format(r"regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')") + " AS normalized FROM documents")
+@query("F1_normalize_text", "SELECT doc_id, " + _STRIP.format(_NORMAL.format("text")) + " AS normalized FROM documents")
 def _(read):
     return read("documents").select("doc_id", text.normalize_text(F.col("text")).alias("normalized"))
 
 
-_CLEAN = _STRIP.format(r"regexp_replace(regexp_replace(regexp_replace(text, '(?m)^--- Page \d+ ---\s*$', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '[ \t]+', ' ', 'g')".replace("{{", "{").replace("}}", "}"))
+_CLEAN = _STRIP.format(f"regexp_replace(regexp_replace(regexp_replace(text, '(?m)^--- Page \\d+ ---[{_SP}]*$', '', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '[ \\t]+', ' ', 'g')")
 
 
 @query("F11_clean_text", f"SELECT doc_id, {_CLEAN} AS cleaned FROM documents")
@@ -64,7 +65,7 @@ def _(read):
 
 @query(
     "F12_sentences",
-    r"""WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?;]+\s+)', '\1' || chr(1), 'g'), chr(1)), lambda x: length("""
+    rf"""WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?;]+[{_SP}]+)', '\1' || chr(1), 'g'), chr(1)), lambda x: length("""
     + _STRIP.format("x")
     + r""") > 0) AS parts FROM documents)
 SELECT doc_id, CAST(i - 1 AS BIGINT) AS nth, parts[i] AS sentence FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM s)""",
@@ -80,7 +81,7 @@ def _(read):
     return read("pages").select("page_id", ids.site_id(none.cast("string"), url, none.cast("string"), none.cast("array<string>"), none.cast("int")).alias("id"))
 
 
-@query("F2_metadata_id", r"SELECT p_partkey, 'gl_' || p_size || '_' || substr(sha256('t:' || " + _STRIP.format(r"regexp_replace(regexp_replace(lower(p_name), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')") + r" || '_a:' || " + _STRIP.format(r"regexp_replace(regexp_replace(lower(p_brand), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')") + r" || '_y:' || p_size), 1, 16) AS id FROM part")
+@query("F2_metadata_id", r"SELECT p_partkey, 'gl_' || p_size || '_' || substr(sha256('t:' || " + _STRIP.format(_NORMAL.format("p_name")) + r" || '_a:' || " + _STRIP.format(_NORMAL.format("p_brand")) + r" || '_y:' || p_size), 1, 16) AS id FROM part")
 def _(read):
     none = F.lit(None).cast("string")
     return read("part").select("p_partkey", ids.site_id(none, none, F.col("p_name"), F.array("p_brand"), F.col("p_size")).alias("id"))
@@ -170,7 +171,7 @@ def _(read):
 
 def _windows(source: str, key: str, size: int, overlap: int, least: int) -> str:
     step = size - overlap
-    return rf"""WITH t AS (SELECT {key} AS doc, regexp_extract_all({_CLEAN}, '\s*\S+') AS t FROM {source}),
+    return rf"""WITH t AS (SELECT {key} AS doc, regexp_extract_all({_CLEAN}, '{text.TOKEN}') AS t FROM {source}),
 w AS (SELECT doc, t, unnest(CASE WHEN len(t) < {least} THEN [0] ELSE list_filter(range(0, len(t), {step}), lambda s: s = 0 OR len(t) - s >= {least}) END) AS s FROM t WHERE len(t) > 0),
 c AS (SELECT doc, CAST(s // {step} AS BIGINT) AS chunk_index, length(array_to_string(t[1:s], '')) AS char_start, t[s + 1:s + {size}] AS part FROM w),
 chunks AS (SELECT doc, chunk_index, doc || '_chunk_' || lpad(CAST(chunk_index AS VARCHAR), CAST(greatest(4, length(CAST(chunk_index AS VARCHAR))) AS INT), '0') AS chunk_id, CAST(char_start AS BIGINT) AS char_start,
@@ -185,7 +186,7 @@ def _(read):
 
 @query(
     "H8_force_split",
-    r"""WITH t AS (SELECT doc_id AS doc, regexp_extract_all(text, '\s*\S+') AS t FROM documents),
+    rf"""WITH t AS (SELECT doc_id AS doc, regexp_extract_all(text, '{text.TOKEN}') AS t FROM documents),
 w AS (SELECT doc, t, unnest(range(0, len(t), 180)) AS s FROM t)
 SELECT doc, CAST(s // 180 AS BIGINT) AS part, CAST(len(t[s + 1:s + 200]) AS BIGINT) AS n_tokens, array_to_string(t[s + 1:s + 200], '') AS text FROM w""",
 )
@@ -207,7 +208,7 @@ _TALKS = "(SELECT conv_id, string_agg('--- Page ' || (turn + 1) || ' ---' || chr
     "H3_sections",
     f"""WITH d AS (SELECT conv_id, {_CLEAN} AS text FROM {_TALKS}),
 l AS (SELECT conv_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM d),
-f AS (SELECT *, regexp_matches({_STRIP.format("line")}, '^(#{{1,6}}\\s+|\\d+\\.\\s+|[A-Z][A-Z\\s]+:)') AND count(CASE WHEN length({_STRIP.format("line")}) > 0 THEN 1 END) OVER (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 AS head,
+f AS (SELECT *, regexp_matches({_STRIP.format("line")}, '^(#{{1,6}}[{_SP}]+|\\d+\\.[{_SP}]+|[A-Z][A-Z{_SP}]+:)') AND count(CASE WHEN length({_STRIP.format("line")}) > 0 THEN 1 END) OVER (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 AS head,
   coalesce(sum(length(line) + 1) OVER (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM l),
 s AS (SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY i) AS nth FROM f),
 g AS (SELECT conv_id AS doc, CAST(nth AS BIGINT) AS nth, max(CASE WHEN head THEN {_STRIP.format("line")} END) AS title, CAST(min(pos) AS BIGINT) AS char_start, {_STRIP.format("string_agg(line, chr(10) ORDER BY i)")} AS text FROM s GROUP BY conv_id, nth)
@@ -236,16 +237,27 @@ def _(read):
     return chunks.select("doc", "chunk_index", "char_start", "char_end", F.array_join(F.array_sort(F.transform(pages, lambda p: p.cast("string"))), ",").alias("pages"))
 
 
+def _listed(made: DataFrame) -> DataFrame:
+    return made.withColumn("pages", F.array_join(F.transform("pages", lambda p: p.cast("string")), ","))
+
+
+_FIXED_ROWS = _windows("documents", "doc_id", 100, 20, 20) + "SELECT CAST(doc AS VARCHAR) AS doc, chunk_index, chunk_id, 'fixed' AS strategy, CAST(NULL AS VARCHAR) AS title, char_start, char_end, n_tokens, text, '' AS pages FROM chunks"
+
 for _strategy in chunking.STRATEGIES:
 
-    @query(f"H10_chunks_{_strategy}")
+    @query(f"H10_chunks_{_strategy}", _FIXED_ROWS if _strategy == "fixed" else None)
     def _(read, strategy=_strategy):
-        return chunking.chunks(read("documents"), strategy, SMALL)
+        return _listed(chunking.chunks(read("documents"), strategy, SMALL))
 
 
 @query("H5_hybrid_structured")
 def _(read):
-    return chunking.chunks(_talks(read), "hybrid", SMALL, "conv_id")
+    return _listed(chunking.chunks(_talks(read), "hybrid", SMALL, "conv_id"))
+
+
+@query("H14_statuses", _windows("documents", "doc_id", 100, 20, 20) + f"SELECT CAST(d.doc_id AS VARCHAR) AS doc, CASE WHEN n IS NULL THEN 'FAILED' ELSE 'SUCCESS' END AS status, CAST(coalesce(n, 0) AS BIGINT) AS n_chunks, CASE WHEN n IS NULL THEN 'Empty text file' END AS error FROM documents d LEFT JOIN (SELECT doc, count(*) AS n FROM chunks GROUP BY doc) ON doc = d.doc_id")
+def _(read):
+    return chunking.statuses(chunking.attempts(read("documents"), "fixed", SMALL))
 
 
 @query("W1_targets", "SELECT source, doc_id, CASE WHEN row_number() OVER (PARTITION BY source ORDER BY doc_id) = 1 THEN source ELSE source || '__' || doc_id END AS document_id FROM documents")
@@ -421,30 +433,46 @@ def _(read):
     return rows.select("vec_id", F.round(vectors.norm(F.col("h")), 6).alias("norm"), F.round(F.get("v", F.lit(0)), 6).alias("first"), F.round(F.get("v", F.lit(31)), 6).alias("last"), F.size("v").alias("dims"))
 
 
-_DENSE = "SELECT q.vec_id AS query, e.vec_id AS id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id IN ({})"
+_DENSE = f"SELECT q.vec_id AS query, e.vec_id AS id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % {EVERY} = 0"
 
 
 def _ranked(scored: str, k: int) -> str:
     return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM ({scored})) WHERE rank <= {k}"
 
 
-def _queries(read, chosen: tuple[int, ...]) -> DataFrame:
-    return read("embeddings").where(F.col("vec_id").isin(*chosen)).select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+def _queries(read) -> DataFrame:
+    return read("embeddings").where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
 
 
-@query("Q3_dense_top_k", _ranked(_DENSE.format(0), 10))
+@query("Q3_dense_top_k", _ranked(_DENSE, 10))
 def _(read):
-    return retrieval.dense_top_k(read("embeddings"), _queries(read, (0,)), 10)
+    return retrieval.dense_top_k(read("embeddings"), _queries(read), 10)
 
 
-@query("P5_filtered_top_k", _ranked(_DENSE.format(0) + " AND e.label = 3", 10))
+@query("P5_filtered_top_k", _ranked(_DENSE + " AND e.label = 3", 10))
 def _(read):
-    return retrieval.dense_top_k(retrieval.payload_filter(read("embeddings"), {"label": 3, "year": None}), _queries(read, (0,)), 10)
+    return retrieval.dense_top_k(retrieval.payload_filter(read("embeddings"), {"label": 3, "year": None}), _queries(read), 10)
 
 
-@query("A8_merged_queries", f"SELECT id, max(score) AS score FROM ({_ranked(_DENSE.format('0, 1, 2'), 30)}) GROUP BY id ORDER BY score DESC, id LIMIT 10")
+@query("P6_filtered_search", _ranked(_DENSE, 10))
 def _(read):
-    return retrieval.merged_queries(retrieval.dense_top_k(read("embeddings"), _queries(read, QUERY_VECTORS), 30), 10)
+    return retrieval.dense_top_k(retrieval.payload_filter(read("embeddings"), {"label": 0, "year": ""}, drop_falsy=True), _queries(read), 10)
+
+
+_MERGED = f"SELECT query // 60 AS question, id, query, score, row_number() OVER (PARTITION BY query // 60, id ORDER BY score DESC, query) AS nth FROM ({_ranked(_DENSE, 30)})"
+
+
+@query("A8_merged_queries", f"SELECT question, id, m.score, m.query, e.label AS payload, row_number() OVER (PARTITION BY question ORDER BY m.score DESC, id) AS rank FROM ({_MERGED}) m JOIN embeddings e ON e.vec_id = m.id WHERE nth = 1 QUALIFY row_number() OVER (PARTITION BY question ORDER BY m.score DESC, id) <= 10")
+def _(read):
+    hits = retrieval.dense_top_k(read("embeddings"), _queries(read), 30).join(read("embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("payload")), "id")
+    return retrieval.merged_queries(hits.withColumn("question", F.floor(F.col("query") / 60)), 10, ("question",))
+
+
+@query("P9_projection", f"SELECT h.query, h.id, h.score, h.rank, {_UUID} AS chunk_id, text_content, token_count FROM (SELECT h.*, coalesce(d.text, '') AS text_content, CAST(coalesce(d.n_chars, 0) AS BIGINT) AS token_count, sha1(unhex('a1b2c3d4e5f67890abcdef1234567890') || encode('' || h.id)) AS h FROM ({_ranked(_DENSE, 3)}) h LEFT JOIN documents d ON d.doc_id = h.id) h")
+def _(read):
+    hits = retrieval.dense_top_k(read("embeddings"), _queries(read), 3)
+    payload = read("documents").select("doc_id", F.col("text").alias("text_content"), F.col("n_chars").cast("long").alias("token_count"))
+    return retrieval.projected(hits, payload, "doc_id", {"text_content": "", "token_count": F.lit(0).cast("long")})
 
 
 _TERMS = """terms AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS t FROM documents),
@@ -469,25 +497,46 @@ def _(read):
     return retrieval.sparse_top_k(read("documents"), read("benchmark").select(F.col("item_id").alias("query"), "text"), 10)
 
 
-def _hybrid(read) -> DataFrame:
-    item = read("benchmark").where(F.col("item_id") == QUERY_ITEM).select(F.lit(0).cast("long").alias("query"), "text")
-    vector = _queries(read, (0,)).select(F.col("query").alias("q"), "vector")
-    return retrieval.hybrid_top_k(read("documents"), read("embeddings"), item.join(vector, F.col("query") == F.col("q")).drop("q"), 10)
+def _asked(read) -> DataFrame:
+    """query, text, vector: each stated vector with the benchmark text of its number, and texts without a vector."""
+    texts = read("benchmark").select((F.col("item_id") * EVERY).alias("q"), "text")
+    both = _queries(read).join(texts, F.col("query") == F.col("q"), "full")
+    return both.select(F.coalesce("query", "q").alias("query"), "text", "vector")
+
 
+def _hybrid_sql(dense: str, sparse: str) -> str:
+    hits = f"SELECT query, id, rank FROM ({_ranked(dense, 30)}) UNION ALL SELECT query, id, rank FROM ({_ranked(sparse, 30)})"
+    return _ranked(f"SELECT query, id, round(sum(1.0 / (60 + rank)), 6) AS score FROM ({hits}) GROUP BY query, id", 10)
 
-_HYBRID = f"WITH {_TERMS}, hits AS (SELECT query, id, rank FROM ({_ranked(_DENSE.format(0), 30)}) UNION ALL SELECT query, id, rank FROM ({_ranked(_SPARSE.format('WHERE item_id = 0'), 30)})) " + _ranked("SELECT query, id, round(sum(1.0 / (60 + rank)), 6) AS score FROM hits GROUP BY query, id", 10)
 
+_SPARSE_20 = f"SELECT query * {EVERY} AS query, id, score FROM ({_SPARSE.format('')})"
 
-@query("T2_hybrid_rrf", _HYBRID)
+
+@query("T2_hybrid_rrf", f"WITH {_TERMS} " + _hybrid_sql(_DENSE, _SPARSE_20))
+def _(read):
+    return retrieval.hybrid_top_k(read("documents"), read("embeddings"), _asked(read), 10)
+
+
+_LABELLED = "SELECT d.doc_id, d.text, l.quality FROM documents d JOIN labels l ON l.doc_id = d.doc_id"
+
+
+@query(
+    "T2_hybrid_filtered",
+    f"WITH {_TERMS.replace('FROM documents)', 'FROM docs)').replace('count(*) FROM documents', 'count(*) FROM docs').replace('terms AS', f'docs AS (SELECT doc_id, text FROM ({_LABELLED}) WHERE quality = 1), terms AS', 1)} "
+    + _hybrid_sql(_DENSE + f" AND e.vec_id IN (SELECT doc_id FROM ({_LABELLED}) WHERE quality = 1)", _SPARSE_20),
+)
 def _(read):
-    return _hybrid(read)
+    quality = read("labels").select("doc_id", "quality").where("doc_id is not null")
+    docs = read("documents").join(quality, "doc_id")
+    vectors = read("embeddings").join(quality.withColumnRenamed("doc_id", "vec_id"), "vec_id")
+    return retrieval.hybrid_top_k(docs, vectors, _asked(read), 10, filters={"quality": 1, "year": None})
 
 
-@query("J9_citations", f"WITH top AS ({_ranked(_DENSE.format(0), 10)}) SELECT CAST(i AS BIGINT) AS source_number, coalesce('' || top.id, CASE WHEN i = 2 THEN NULL END) AS id FROM range(1, 13) t(i) LEFT JOIN top ON top.rank = i")
+@query("J9_citations", f"WITH top AS ({_ranked(_DENSE, 10)}), numbers AS (SELECT q.query, CAST(i AS BIGINT) AS source_number FROM (SELECT DISTINCT query FROM top) q, range(1, 13) t(i)) SELECT n.query, source_number, '' || top.id AS id FROM numbers n LEFT JOIN top ON top.rank = source_number AND top.query = n.query")
 def _(read):
-    hits = retrieval.dense_top_k(read("embeddings"), _queries(read, (0,)), 10)
-    numbers = hits.sparkSession.range(1, 13).select(F.col("id").alias("source_number"), F.lit("").alias("id"))
-    return retrieval.with_citations(numbers, hits, ["id"])
+    hits = retrieval.dense_top_k(read("embeddings"), _queries(read), 10)
+    numbers = _queries(read).select("query", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(12).cast("long"))).alias("source_number"), F.lit("").alias("id"))
+    return retrieval.with_citations(numbers, hits, ["id"], ("query",))
 
 
 @query(
@@ -498,7 +547,16 @@ def _(read):
     chunks = read("documents").select(F.col("doc_id").alias("vec_id"), "doc_id", "text", F.col("n_chars").alias("chunk_index"), F.length("text").alias("token_count"))
     publications = read("labels").select("doc_id", F.lit("labelled").alias("title"), F.col("quality").alias("year"))
     out = ingest.points(read("embeddings").select("vec_id", F.col("embedding").alias("dense")), chunks, publications, "vec_id", "doc_id")
-    return out.withColumn("dims", F.size("dense")).drop("dense")
+    return out.withColumn("dims", F.size("dense")).drop("dense", "sparse", "page_numbers", "document_authors")
+
+
+@query("Q12_sparse_points", f"WITH {_TERMS} SELECT e.vec_id, CAST(count(w.term) AS BIGINT) AS n_terms, round(coalesce(sum(w.weight), 0), 4) AS weight, CASE WHEN count(l.doc_id) > 0 THEN 'src' ELSE '' END AS authors FROM embeddings e LEFT JOIN weights w ON w.id = e.vec_id LEFT JOIN labels l ON l.doc_id = e.vec_id GROUP BY e.vec_id")
+def _(read):
+    chunks = read("documents").select(F.col("doc_id").alias("vec_id"), "doc_id", "text", F.lit(0).alias("chunk_index"), F.lit(1).alias("token_count"))
+    publications = read("labels").select("doc_id", F.lit("t").alias("title"), F.col("quality").alias("year"), F.array(F.lit("src")).alias("authors"))
+    sparse = ingest.sparse_vectors(retrieval.document_vectors(read("documents")))
+    out = ingest.points(read("embeddings").select("vec_id", F.col("embedding").alias("dense")), chunks, publications, "vec_id", "doc_id", sparse)
+    return out.select("vec_id", F.size("sparse").alias("n_terms"), F.round(F.aggregate("sparse", F.lit(0.0), lambda a, x: a + x["weight"]), 4).alias("weight"), F.array_join("document_authors", ",").alias("authors"))
 
 
 @query("W7_batches", "SELECT label, vec_id, CAST((row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 32 AS BIGINT) AS batch FROM embeddings")
@@ -506,7 +564,208 @@ def _(read):
     return ingest.batches(read("embeddings").select("label", "vec_id"), "label", "vec_id", 32)
 
 
-@query("K6_upserted", "SELECT c_custkey, c_name AS name FROM customer WHERE c_acctbal < 0 UNION ALL SELECT c_custkey, c_name || '+' FROM customer WHERE c_acctbal >= 0")
+@query("W7_batches_of_a_hot_label", "SELECT l_linestatus AS label, l_orderkey * 8 + l_linenumber AS nth, CAST((row_number() OVER (PARTITION BY l_linestatus ORDER BY l_orderkey * 8 + l_linenumber) - 1) // 50 AS BIGINT) AS batch FROM lineitem")
+def _(read):
+    rows = read("lineitem").select(F.col("l_linestatus").alias("label"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("nth"))
+    return ingest.batches(rows, "label", "nth", 50)
+
+
+@query("K6_upserted", "SELECT c_custkey, c_name AS name FROM customer WHERE c_acctbal < 0 UNION ALL SELECT c_custkey, c_name || '+3' FROM customer WHERE c_acctbal >= 0")
+def _(read):
+    rows = read("customer")
+    new = rows.where("c_acctbal >= 0").select("c_custkey", F.explode(F.array(*[F.lit(k) for k in (2, 3, 1)])).alias("written"), "c_name")
+    new = new.select("c_custkey", "written", F.concat("c_name", F.lit("+"), F.col("written").cast("string")).alias("name"))
+    return ingest.upserted(rows.select("c_custkey", F.col("c_name").alias("name")), new, "c_custkey", ["written"]).drop("written")
+
+
+@query("K11_updated_deleted", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' ELSE c_name END AS name FROM customer WHERE c_mktsegment <> 'MACHINERY'")
 def _(read):
     rows = read("customer")
-    return ingest.upserted(rows.select("c_custkey", F.col("c_name").alias("name")), rows.where("c_acctbal >= 0").select("c_custkey", F.concat("c_name", F.lit("+")).alias("name")), "c_custkey")
+    kept = ingest.deleted(rows.select("c_custkey", F.col("c_name").alias("name")), rows.where("c_mktsegment = 'MACHINERY'"), "c_custkey")
+    return ingest.updated(kept, rows.where("c_acctbal < 0").select("c_custkey", F.lit("debt").alias("name")), "c_custkey")
+
+
+# ---- records, reports, paths
+
+
+@query("R2_merged", f"WITH {_SNAPSHOTS} SELECT coalesce(e.c_custkey, i.c_custkey) AS c_custkey, CASE WHEN i.c_custkey IS NULL OR e.h = i.h THEN 'old' ELSE 'new' END AS taken, coalesce(i.h, e.h) AS content_hash, CASE WHEN e.c_custkey IS NULL THEN 'new' WHEN i.c_custkey IS NULL THEN 'retained' WHEN e.h = i.h THEN 'unchanged' ELSE 'updated' END AS outcome FROM existing e FULL JOIN incoming i ON e.c_custkey = i.c_custkey")
+def _(read):
+    old, new = _snapshots(read)
+    return tracking.merged(old.withColumn("taken", F.lit("old")), new.withColumn("taken", F.lit("new")), "c_custkey", "content_hash")
+
+
+@query("R4_registered", _PLAN + "SELECT coalesce(t.c_custkey, p.c_custkey) AS c_custkey, CASE WHEN p.c_custkey IS NULL THEN 'stored' ELSE 'fresh' END AS title, CASE WHEN t.c_custkey IS NULL THEN NULL ELSE 'then' END AS discovered, CAST(CASE WHEN t.c_custkey IS NULL THEN 0 ELSE 4 END AS BIGINT) AS download_attempts FROM t FULL JOIN plan p ON t.c_custkey = p.c_custkey")
+def _(read):
+    publications, tracked = _tracked(read)
+    good, _ = tracking.validated(publications.withColumn("title", F.lit("fresh")).unionByName(publications.withColumn("title", F.lit(" "))), "c_custkey", "title")
+    stored = tracked.withColumn("title", F.lit("stored")).withColumn("discovered", F.lit("then")).withColumn("download_attempts", F.lit(4))
+    return tracking.registered(good, stored, "c_custkey", ["title"]).select("c_custkey", "title", "discovered", F.coalesce("download_attempts", F.lit(0)).alias("download_attempts"))
+
+
+@query("X3_discovered", "SELECT 'a' AS source, s_suppkey AS key, s_name AS title, CAST(NULL AS VARCHAR) AS url FROM supplier UNION ALL SELECT 'b', c_custkey, NULL, c_name FROM customer")
+def _(read):
+    a = read("supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("title"))
+    return tracking.discovered({"a": a, "b": read("customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("url"))})
+
+
+@query("X4_distinct_union", "SELECT l_orderkey AS id FROM lineitem UNION SELECT o_orderkey FROM orders")
+def _(read):
+    return read("lineitem").select(F.col("l_orderkey").alias("id")).unionAll(read("orders").select("o_orderkey")).distinct()
+
+
+@query("P4_get_or_create", "SELECT s_suppkey AS key, 's' AS name FROM supplier UNION ALL SELECT c_custkey, 'c' FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
+def _(read):
+    return tracking.get_or_create(read("supplier").select(F.col("s_suppkey").alias("key"), F.lit("s").alias("name")), read("customer").select(F.col("c_custkey").alias("key"), F.lit("c").alias("name")), ["key"])
+
+
+@query("P2_status", f"{_PLAN} SELECT c_custkey, CASE WHEN d THEN 'Downloaded' ELSE 'Pending' END AS download_status, CASE WHEN p THEN 'Processed' ELSE 'Pending' END AS processing_status, CASE WHEN e THEN 'Embedded' ELSE 'Pending' END AS embedding_status, CASE WHEN i THEN 'Ingested' ELSE 'Pending' END AS ingestion_status FROM t WHERE c_custkey IN (1, 2, 3, 5, 8)")
+def _(read):
+    return tracking.status_of(_tracked(read)[1], "c_custkey", [1, 2, 3, 5, 8, 5])
+
+
+@query("R8_stage_log", f"SELECT user_id, arg_max({_STATUS}, (ts, event_id)) AS download_status, count(*) AS download_attempts, max(ts) AS download_updated FROM events WHERE event_type = (SELECT min(event_type) FROM events) GROUP BY user_id")
+def _(read):
+    first = read("events").agg(F.min("event_type").alias("least"))
+    rows = read("events").join(first, F.col("event_type") == F.col("least")).withColumn("stage", F.lit("download")).withColumn("error", F.lit(None).cast("string"))
+    rows = rows.withColumn("status", F.when(F.col("value") >= 50, "Done").otherwise("Failed"))
+    return tracking.stage_transitions(rows, "user_id", "download", ["ts", "event_id"]).drop("error_message")
+
+
+@query("J6_work_report", "SELECT r.id, CASE WHEN o.id IS NOT NULL AND l.id IS NOT NULL THEN 'tracked' WHEN l.id IS NOT NULL THEN 'disk' WHEN o.id IS NOT NULL THEN 'without chunks' ELSE 'missing' END AS found FROM (SELECT c_custkey AS id FROM customer) r LEFT JOIN (SELECT DISTINCT o_orderkey AS id FROM orders WHERE o_orderstatus <> 'O') o ON o.id = r.id LEFT JOIN (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_returnflag = 'R') l ON l.id = r.id")
+def _(read):
+    of = lambda table, key, where="true": read(table).where(where).select(F.col(key).alias("id"))
+    return tracking.embedding_report(of("orders", "o_orderkey", "o_orderstatus <> 'O'"), of("lineitem", "l_orderkey", "l_returnflag = 'R'"), of("customer", "c_custkey"), "id")
+
+
+@query("W2_artifact_ids", "SELECT 'x/' || source || CASE WHEN nth = 1 THEN '' ELSE '/' || doc_id END || '/chunks.json' AS path, CASE WHEN nth = 1 THEN source ELSE source || '__' || doc_id END AS document_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS nth FROM documents)")
+def _(read):
+    made = tracking.targets(read("documents"), "source", "doc_id")
+    rows = made.select(F.concat(F.lit("x/"), F.regexp_replace("document_id", "__", "/"), F.lit("/chunks.json")).alias("path"))
+    return tracking.artifact_ids(rows, "path")
+
+
+@query("W10_guarded", "SELECT source, doc_id, CASE WHEN doc_id <> min(doc_id) OVER (PARTITION BY source) THEN 'path already claimed: ' || source END AS error FROM documents")
+def _(read):
+    return tracking.guarded(read("documents").select("source", "doc_id"), "source", "doc_id").select("source", "doc_id", "error")
+
+
+@query("A7_scrape_stats", "SELECT (SELECT count(*) FROM lineitem) AS found, count(*) AS kept, (SELECT count(*) FROM lineitem) - count(*) AS duplicates, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 0 END) AS BIGINT) AS files, round(avg(CASE WHEN o_orderstatus = 'O' THEN 1.0 ELSE 0 END), 4) AS with_abstract, round(avg(CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1.0 END), 4) AS with_year, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0 END), 4) AS with_files FROM orders")
+def _(read):
+    files = F.when(F.col("o_orderstatus") == "F", F.array(F.lit("a"), F.lit("b"))).otherwise(F.expr("cast(array() as array<string>)"))
+    kept = read("orders").select(files.alias("files"), F.when(F.col("o_orderstatus") == "O", "x").otherwise("").alias("abstract"), F.when(F.col("o_orderkey") % 3 != 0, 2000).alias("year"))
+    return metrics.scrape_stats(read("lineitem"), kept, "files")
+
+
+@query("A14_cost", "SELECT round(sum(CASE WHEN l_returnflag = 'R' THEN 0.2 ELSE 0.5 END * l_quantity), 4) AS compute, round(sum(l_linenumber) * 0.02 / 30, 4) AS storage FROM lineitem")
+def _(read):
+    spark = read("lineitem").sparkSession
+    rates = spark.createDataFrame([("A", 0.5), ("N", 0.5), ("N", 0.1)], "l_returnflag string, rate double")
+    return metrics.cost(read("lineitem").select("l_returnflag", F.col("l_quantity").cast("double").alias("h"), F.col("l_linenumber").cast("double").alias("g")), rates, "l_returnflag", "h", "g")
+
+
+@query("A16_stage_counts", "SELECT 'even' AS stage, count(*) AS n FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT 'odd', count(*) FROM orders WHERE o_orderkey % 2 = 1 UNION ALL SELECT 'none', 0")
+def _(read):
+    paths = read("orders").select(F.concat(F.lit("out/"), F.when(F.col("o_orderkey") % 2 == 0, "even/").otherwise("odd/"), F.col("o_orderkey").cast("string")).alias("path"))
+    return metrics.stage_counts(paths, "path", {"even": "/even/", "odd": "/odd/", "none": "/none/"})
+
+
+@query("A13_distinct_pages", "SELECT l_orderkey, count(DISTINCT l_linenumber % 3) AS pages FROM lineitem GROUP BY l_orderkey")
+def _(read):
+    return metrics.distinct_pages(read("lineitem").withColumn("page", F.col("l_linenumber") % 3), "l_orderkey", "page")
+
+
+@query("P19_coerced", "SELECT 'W' || o_orderkey AS paper_id, 'https://openalex.org/W' || o_orderkey AS source_id, CAST(1850 + o_orderkey % 300 AS BIGINT) AS year FROM orders WHERE 1850 + o_orderkey % 300 BETWEEN 1900 AND 2100")
+def _(read):
+    key = F.concat(F.lit("W"), F.col("o_orderkey").cast("string"))
+    rows = read("orders").select(F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("https://openalex.org/"), key)).otherwise(key).alias("paper_id"), F.lit("").alias("source_id"), (1850 + F.col("o_orderkey") % 300).alias("year"))
+    return records.coerced(rows)[0]
+
+
+@query("DT2_corrected_years", "SELECT s_suppkey, 'u' || s_suppkey AS pub_url, CAST(CASE s_suppkey WHEN 3 THEN 1999 WHEN 5 THEN 2001 ELSE 2010 END AS BIGINT) AS year FROM supplier")
+def _(read):
+    rows = read("supplier").select("s_suppkey", F.concat(F.lit("u"), F.col("s_suppkey").cast("string")).alias("pub_url"), F.lit(2010).alias("year"))
+    return records.corrected_years(rows, {"u3": 1999, "u5": 2001})
+
+
+@query("M10_open_access", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'pdf' || o_orderkey WHEN 1 THEN 'page' WHEN 2 THEN 'second' END AS url FROM orders")
+def _(read):
+    k = F.col("o_orderkey") % 4
+    first = F.when(k == 0, F.concat(F.lit('{"is_oa": true, "best_oa_location": {"url_for_pdf": "pdf'), F.col("o_orderkey").cast("string"), F.lit('", "url": "page"}}'))).when(k == 1, F.lit('{"is_oa": true, "best_oa_location": {"url_for_pdf": null, "url": "page"}}')).otherwise(F.lit('{"is_oa": false, "best_oa_location": null}'))
+    second = F.when(k == 2, F.lit('{"data": [{"downloadUrl": "second"}]}')).otherwise(F.lit('{"data": []}'))
+    return read("orders").select("o_orderkey", records.open_access(first, second).alias("url"))
+
+
+@query("F15_paths", "SELECT doc_id, 'processed/chunks/' || source || '/' || doc_id || '/chunks.json' AS chunks, 'processed/embeddings/' || source || '/' || doc_id || '/embeddings.parquet' AS embeddings, '' || doc_id AS folder, source AS publication FROM documents")
+def _(read):
+    text_path = F.concat_ws("/", F.lit("processed/documents"), "source", F.col("doc_id").cast("string"), F.lit("a.txt"))
+    chunk_path = paths.moved(text_path, "chunks")
+    return read("documents").select("doc_id", chunk_path.alias("chunks"), paths.moved(chunk_path, "embeddings").alias("embeddings"), paths.folder_name(text_path).alias("folder"), paths.publication_of(text_path).alias("publication"))
+
+
+@query("S18_first_match", "SELECT doc_id, 'processed/chunks/' || CASE WHEN doc_id % 2 = 0 THEN source || '__' || doc_id ELSE source || '/' || doc_id END || '/chunks.json' AS path FROM documents WHERE doc_id % 5 <> 0")
+def _(read):
+    rows = read("documents").select("doc_id", F.concat("source", F.lit("__"), F.col("doc_id").cast("string")).alias("name"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("deep"))
+    at = lambda c: F.concat(F.lit("processed/chunks/"), F.col(c), F.lit("/chunks.json"))
+    listing = rows.where("doc_id % 5 <> 0").select(F.explode(F.when(F.col("doc_id") % 2 == 0, F.array(at("name"), at("deep"))).otherwise(F.array(at("deep")))).alias("path"))
+    return paths.first_match(rows.withColumn("options", paths.candidates(F.col("name"))), listing, "doc_id", "options", "path")
+
+
+@query("F18_content_length", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN CAST(o_orderkey AS BIGINT) END AS n FROM orders")
+def _(read):
+    k = F.col("o_orderkey")
+    return read("orders").select("o_orderkey", paths.content_length(F.when(k % 3 == 0, F.concat(F.lit(" "), k.cast("string"))).when(k % 3 == 1, F.lit("-7")).otherwise(F.lit("12x"))).alias("n"))
+
+
+@query("F17_kept_enough", "SELECT doc_id, length(text) = 0 OR length(substr(text, 1, 400)) >= 0.5 * length(text) AS enough FROM documents WHERE text IS NOT NULL")
+def _(read):
+    return read("documents").where("text is not null").select("doc_id", transcripts.kept_enough(F.col("text"), F.substring("text", 1, 400)).alias("enough"))
+
+
+@query("DT4_uptime", "SELECT user_id, round((max(epoch(ts)) - min(epoch(ts))) / 3600, 4) AS hours FROM (SELECT user_id, date_trunc('second', ts) AS ts FROM events) GROUP BY user_id")
+def _(read):
+    return read("events").groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b")).select("user_id", F.round(metrics.uptime_hours(F.col("a"), F.col("b")), 4).alias("hours"))
+
+
+@query("P10_validity_marks", "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'ok' WHEN 1 THEN 'not a PDF' WHEN 2 THEN 'ok' WHEN 3 THEN 'not a Word file' ELSE 'too small' END AS verdict FROM pages")
+def _(read):
+    k = F.col("page_id") % 5
+    name = F.when(k <= 1, "a.pdf").when(k <= 3, "a.docx").otherwise("a.bin")
+    mark = F.when(k == 0, F.unhex(F.lit("255044462D31"))).when(k == 2, F.unhex(F.lit("504B030400"))).otherwise(F.unhex(F.lit("00FF00FF")))
+    return read("pages").select("page_id", downloads.validity(F.when(k == 4, 10).otherwise(5000), name, mark, F.when(k <= 1, "application/pdf")).alias("verdict"))
+
+
+@query("P15_direct_download", "SELECT page_id, page_id % 4 <> 3 AS direct FROM pages")
+def _(read):
+    k = F.col("page_id") % 4
+    kind = F.when(k == 0, "application/pdf; charset=x").when(k == 1, "application/msword").otherwise("text/html")
+    return read("pages").select("page_id", downloads.is_direct(kind, F.when(k == 2, 'attachment; filename="a.pdf"')).alias("direct"))
+
+
+@query("P13_long_enough", "SELECT doc_id, CASE WHEN length(coalesce(text, '')) >= 200 THEN 'Processed' ELSE 'Failed' END AS status FROM documents")
+def _(read):
+    return read("documents").select("doc_id", downloads.extraction_status(F.col("text"), 200).alias("status"))
+
+
+@query("A11_download_counts", "SELECT count(*) AS attempted, count(*) FILTER (WHERE l_returnflag = 'N') AS cached, count(*) FILTER (WHERE l_linestatus = 'F') AS open_access, round(100.0 * count(*) FILTER (WHERE l_linestatus = 'F') / count(*), 1) AS open_share FROM lineitem")
+def _(read):
+    return downloads.counters(read("lineitem"), F.col("l_returnflag") == "N", F.col("l_linestatus") == "F")
+
+
+@query("R14_entries", "SELECT CAST(page_id AS BIGINT) AS id, CAST(0 AS BIGINT) AS nth, 'T ' || page_id AS title, 'https://x.org/p/' || page_id AS pub_url, 'Last, F.|Other, G.' AS authors, CAST(2000 + page_id % 20 AS BIGINT) AS year, 'abs ' || page_id AS abstract, 'https://x.org/f.pdf' AS files FROM pages")
+def _(read):
+    k, odd = F.col("page_id").cast("string"), F.col("page_id") % 2 == 1
+    year = (2000 + F.col("page_id") % 20).cast("string")
+    new = F.concat(F.lit('<ul><li class="wp-block-post"><div class="cp-publication x"><h2 class="publication-title"><a href="/p/'), k, F.lit('"> T '), k, F.lit('</a></h2><p class="publication-authors">Last, F., Other, G.<span class="publication-year">, '), year, F.lit('</span></p><div class="publication-excerpt"><div>abs '), k, F.lit('</div></div><div class="publication-links"><a href="#x">no</a><a class="abstract" href="/z">no</a><a href="/f.pdf">f</a></div></div></li></ul>'))
+    old = F.concat(F.lit('<div class="biblio-entry"><br><span class="biblio-title"><a href="/p/'), k, F.lit('">T '), k, F.lit('</a></span> <span class="biblio-authors">Last, F. &amp; Other, G.</span>. '), year, F.lit('.<div class="biblio-abstract-display">abs '), k, F.lit('</div><span class="file"><a href="https://x.org/f.pdf">f</a></span></div>'))
+    entries = records.parsed_entries(read("pages").select("page_id", F.when(odd, new).otherwise(old).alias("html")), "https://x.org/publications")
+    return entries.withColumn("authors", F.array_join("authors", "|")).withColumn("files", F.array_join("file_urls", "|")).drop("file_urls")
+
+
+@query("M8_structured_data", "SELECT page_id, CAST(CASE WHEN page_id % 3 = 2 THEN NULL ELSE 2000 + page_id % 20 END AS BIGINT) AS year, CASE page_id % 3 WHEN 0 THEN 'A|B' WHEN 1 THEN 'C' ELSE '' END AS authors FROM pages")
+def _(read):
+    k, year = F.col("page_id") % 3, (2000 + F.col("page_id") % 20).cast("string")
+    graph = F.concat(F.lit('<script type="application/ld+json">{"@graph": [{"@type": "Page"}, {"@type": "ScholarlyArticle", "datePublished": "'), year, F.lit('-01-02", "author": [{"name": "A"}, "B", {"name": ""}]}]}</script>'))
+    single = F.concat(F.lit("<script type='application/ld+json'>{\"@type\": \"ScholarlyArticle\", \"datePublished\": \"May "), year, F.lit('", "author": {"name": "C"}}</script>'))
+    html = F.when(k == 0, graph).when(k == 1, single).otherwise(F.lit('<script type="application/ld+json">not json</script>'))
+    rows = read("pages").select("page_id", records.structured_data(html).alias("d"))
+    return rows.select("page_id", "d.year", F.array_join("d.authors", "|").alias("authors"))
