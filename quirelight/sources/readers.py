@@ -35,7 +35,8 @@ def catalogue_csv(spark: SparkSession, path: str, schema: str, lists: tuple[str,
 def chunk_files(spark: SparkSession, path: str) -> DataFrame:
     """Chunks of JSON files that hold an array, or an object with ``chunks``."""
     raw = texts(spark, path, "*.json")
-    either = F.coalesce(F.from_json("text", f"array<{CHUNK}>"), F.from_json("text", f"struct<chunks:array<{CHUNK}>>")["chunks"])
+    alone = F.regexp_extract("text", r"^\s*(.)", 1) == "["
+    either = F.when(alone, F.from_json("text", f"array<{CHUNK}>")).otherwise(F.from_json("text", f"struct<chunks:array<{CHUNK}>>")["chunks"])
     return raw.select("path", F.explode(either).alias("c")).select("path", "c.*")
 
 
