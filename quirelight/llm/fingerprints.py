@@ -29,6 +29,7 @@ from .storage import kept, partitions
 from .text_hash import U, chunks, mix, shingle_hashes, texts_of, word_hashes
 
 BINS, BITS = 512, 4
+PARTS = 64  # of the rows of ids that very many rows repeat
 _EMPTY = np.iinfo(np.uint64).max
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
@@ -127,24 +128,37 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Fingerprint every text, its edit and its successor: one range shuffle.
 
     Rows are dealt to ranges of doc_id whose bounds are approximate quantiles
-    (a fixed few thousand numbers).  The first row of each range is repeated
-    at the end of the range before it, so that no window spans ranges.
+    (a fixed few thousand numbers).  An id (null is one) that more rows repeat
+    than a range should hold is a range of its own, cut further by the first
+    bytes of the texts.  The first row of each range is repeated at the end of
+    the range before it, so that no window spans ranges.
     """
     spark = docs.sparkSession
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     n = partitions(spark) * 4
     cuts = rows.select(F.col("doc_id").cast("double").alias("x")).where("x is not null").approxQuantile("x", [k / n for k in range(1, n)], 0.25 / n) if n > 1 else []
-    bounds = F.array(*[F.lit(int(c)) for c in sorted(set(cuts))]) if cuts else F.expr("cast(array() as array<bigint>)")
-    # range 0 holds the largest ids, the last range the null ids
-    place = F.when(F.col("doc_id").isNull(), F.lit(len(set(cuts)) + 1)).otherwise(F.size(F.filter(bounds, lambda b: b > F.col("doc_id")))).cast("int")
-    placed = rows.withColumn("r", place)
+    counts = kept(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+    total = rows.count()
+    heavy = {r.doc_id for r in counts.where(F.col("c") > max(PARTS, total // n)).collect()}  # n at most
+    numbers = {int(c) for c in cuts} | {h + k for h in heavy if h is not None for k in (0, 1)}
+    bounds = F.array(*[F.lit(b) for b in sorted(numbers)]) if numbers else F.expr("cast(array() as array<bigint>)")
+    # range 0 holds the largest ids, the last range the null ids; in ranges of one id the largest texts are first
+    place = F.when(F.col("doc_id").isNull(), F.lit(len(numbers) + 1)).otherwise(F.size(F.filter(bounds, lambda b: b > F.col("doc_id"))))
+    part = F.lit(0)
+    if heavy:
+        many = F.col("doc_id").isin([h for h in heavy if h is not None])
+        many = many | F.col("doc_id").isNull() if None in heavy else many
+        begins = F.conv(F.rpad(F.hex(F.substring(F.col("text").cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+        marks = sorted(set(rows.where(many).select(begins.alias("x")).approxQuantile("x", [k / PARTS for k in range(1, PARTS)], 0.25 / PARTS)))
+        part = F.when(F.coalesce(many, F.lit(None in heavy)), F.size(F.filter(F.array(*[F.lit(m) for m in marks]), lambda m: m > begins))).otherwise(0)
+    placed = rows.withColumn("r", (place.cast("long") * PARTS + part).cast("long"))
     tops = kept(placed.groupBy("r").agg(F.max("doc_id").alias("top")))
     found = [(x.r, x.top) for x in tops.orderBy("r").collect()]  # one row a range
     if not found:
         return spark.createDataFrame([], SCHEMA)
     # of each range the first row in order: its largest id, then its largest text
     before = {r: found[i - 1][0] if i else found[-1][0] for i, (r, _) in enumerate(found)}
-    named = spark.createDataFrame([(r, top, before[r]) for r, top in found], "r int, top long, to int")
+    named = spark.createDataFrame([(r, top, before[r]) for r, top in found], "r long, top long, to long")
     firsts = placed.join(F.broadcast(named), "r").where(F.col("doc_id").eqNullSafe(F.col("top"))).groupBy("to").agg(F.max("text").alias("text"))
     ghosts = firsts.select(F.col("to").alias("r"), F.lit(None).cast("long").alias("doc_id"), F.lit(True).alias("ghost"), "text")
     every = placed.select("r", "doc_id", F.lit(False).alias("ghost"), "text").unionByName(ghosts)

@@ -145,6 +145,22 @@ def test_embedding_dedup(spark, monkeypatch):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).collect() == []
 
 
+def test_embedding_dedup_finds_planted_pairs(spark):
+    """1500 pairs just above the threshold among vectors of 64 numbers, with one label and several."""
+    rng = np.random.default_rng(12)
+    base = rng.standard_normal((1500, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.standard_normal((1500, 64))
+    side -= (side * base).sum(axis=1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9801, 0.985, (1500, 1))
+    near = 3 * (cosine * base + np.sqrt(1 - cosine**2) * side)
+    data = [(k, v.tolist(), k % 1500 % 3) for k, v in enumerate(np.concatenate([base, near]))]
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")).collect()}
+    found = sum(got[k].component_id == got[k + 1500].component_id == k for k in range(1500))
+    assert found == 1500 and all(r.n_links == 1 for r in got.values())
+
+
 def test_embedding_dedup_with_shared_ids(spark):
     a, b = np.eye(8)[0], np.eye(8)[1]
     near = lambda v: (v + 0.01 * np.eye(8)[7]).tolist()
@@ -171,6 +187,56 @@ def test_fingerprints(spark, docs, rows, empty):
         by.setdefault(t or "", set()).add(r.fingerprint)
     assert by["" ] == {""} and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
     assert fingerprints.compare_with_edits(empty).collect() == []
+
+
+def slow_print(text, bins=512, bits=4):
+    """The least hash of each bin, empty bins from the first full one that their probes meet; low bits."""
+    part = np.frombuffer((text or "").encode(), np.uint8)
+    sh, _ = fingerprints.shingle_hashes(*fingerprints.word_hashes(part, np.array([0, len(part)])))
+    if not len(sh):
+        return None
+    own = {}
+    for h in sh.tolist():
+        own[h >> 55] = min(h, own.get(h >> 55, h))
+    out = []
+    for b in range(bins):
+        at, attempt = b, 0
+        while at not in own:
+            attempt += 1
+            at = int(fingerprints.mix(np.array([(b * 0x9E3779B97F4A7C15 + attempt) % 2**64], np.uint64))[0]) % bins
+        out.append(own[at] % 2**bits)
+    return out
+
+
+def test_fingerprints_against_slow_ones(spark, docs, rows):
+    chain = sorted(rows, key=lambda r: r[1] or "", reverse=True)
+    chain.sort(key=lambda r: (r[0] is None, -(r[0] or 0)))
+    want = Counter()
+    alike = lambda x, y: float(x is y is None) if x is None or y is None else min(1, max(0, (sum(a == b for a, b in zip(x, y, strict=True)) / 512 - 1 / 16) / (1 - 1 / 16)))
+    shown = lambda x: "" if x is None else bytes(x[k] | x[k + 1] << 4 for k in range(0, 512, 2)).hex()
+    for k, (i, t) in enumerate(chain):
+        t, following = t or "", chain[(k + 1) % len(chain)][1] or ""
+        n = len(t) // 3
+        own, other, after = slow_print(t), slow_print(t[: len(t) - n] + following[:n]), slow_print(following)
+        want[i, shown(own), shown(other), round(alike(own, other), 9), round(alike(own, after), 9)] += 1
+    got = fingerprints.compare_with_edits(docs).collect()
+    assert Counter((r.doc_id, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == want
+
+
+def test_fingerprints_of_repeated_ids(spark):
+    """Null ids and one id of very many rows are cut further; the order stays."""
+    data = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, text_of(k % 400, 3 + k % 9)) for k in range(1500)]
+    chain = sorted(data, key=lambda r: r[1].encode(), reverse=True)
+    chain.sort(key=lambda r: (r[0] is None, -(r[0] or 0)))
+    want = Counter()
+    for k, (i, t) in enumerate(chain):
+        n = len(t) // 3
+        want[i, hashlib.sha256((t[: len(t) - n] + chain[(k + 1) % len(chain)][1][:n]).encode()).hexdigest()] += 1
+    got = fingerprints.compare_with_edits(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r.doc_id, r.edited_sha256) for r in got) == want
+
+
+def test_likeness_is_near_the_truth():
     a, b = text_of(1, 900).split(), text_of(2, 300).split()
     for cut in (0, 150, 450, 750):
         x, y = " ".join(a), " ".join([*a[: 900 - cut], *b[:cut]])
@@ -216,6 +282,22 @@ def test_sharding(docs, rows, empty):
     assert sharding.place(empty).collect() == []
 
 
+def test_shards_are_the_least_draws(docs):
+    def draw(key, name, weight):
+        return -math.log((int(hashlib.md5(f"{key}|{name}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52) / weight
+
+    def shard(key, tree):
+        for level in ("region", "rack", "shard"):
+            size = lambda x: sum(map(size, x.values())) if isinstance(x, dict) else x
+            won = min(tree, key=lambda c: draw(key, f"{level}{c}", size(tree[c]))) if len(tree) > 1 else next(iter(tree))
+            tree = tree[won]
+        return won
+
+    for r in sharding.place(docs).collect():
+        key = "" if r.doc_id is None else str(r.doc_id)
+        assert (r.shard, r.grown_shard) == (shard(key, sharding.layout(8)), shard(key, sharding.layout(9)))
+
+
 def test_sharding_follows_weights(spark):
     keys = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
     weights = [1.0, 2.0, 1.0, 1.0, 1.0, 1.0, 1.0, 4.0]
@@ -392,6 +474,11 @@ def test_toxicity_learns(spark):
     assert np.mean([(got[k] >= 0.3) == (k % 5 == 0) for k in held]) > 0.97
     assert got[900] == got[901] < 0.3 and got[902] >= 0.3
     assert toxicity.reject(docs, labels).columns == docs.columns
+    lexicon = toxicity.learn(docs, labels)
+    assert toxicity.score(docs.limit(0), toxicity.learn(docs.limit(0), labels)).collect() == []
+    odd = spark.createDataFrame([(1, "gromble " + "w " * 300_000, "x"), (2, "a" * 1_000_000, "x"), (3, "gromble", "x"), (3, "gromble", "x")], "doc_id long, text string, score string")
+    found = [(r.row.doc_id, r.score >= 0.3) for r in toxicity.score(odd, lexicon).collect()]
+    assert sorted(found) == [(1, True), (2, False), (3, True), (3, True)]
     assert toxicity.reject(docs, labels.limit(0)).count() == docs.count()
 
 
@@ -556,3 +643,25 @@ def test_pipeline_stages(spark):
             assert out.select("doc_id").distinct().join(df.select("doc_id"), "doc_id", "left_anti").count() == 0
             df = out
     assert out.where("piece = 0").count() == df.count()
+
+
+def test_pipeline_with_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    data = [(k, text_of(k, 30), "en", "ab"[k % 2], 3, "x", 1) for k in range(40)]
+    data += [(None, text_of(90, 30), "en", None, 3, "x", 1), (50, None, None, None, None, None, None), (51, "", "en", "a", 0, "x", 1), (52, text_of(5, 30), "en", "b", 3, "x", 1)]
+    data += [(7, text_of(7, 30), "en", "b", 3, "x", 1), (60, text_of(60, 40_000), "en", "a", 3, "x", 1)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, row string, size long")
+    labels = spark.createDataFrame([(k, 0, 0) for k in range(40)] + [(None, 1, 1), (50, None, None)], "doc_id long, quality int, toxic int")
+    for name, rows in (("full", docs), ("empty", docs.limit(0))):
+        folder = str(tmp_path / name)
+        rows.write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        out = corpus_pipeline.run(spark, folder)
+        assert out.columns == [c.split()[0] for c in packing.SCHEMA.split(", ")]
+        ids = Counter(r.doc_id for r in out.where("piece = 0").collect())
+        if name == "empty":
+            assert not ids
+        else:
+            assert 52 not in ids and set(ids) <= {i for i, *_ in data} and sum(ids.values()) > 20
+            assert out.agg(F.sum("n_tokens")).first()[0] == sum(n * len(words(next(t for i, t, *_ in data if i == k))) for k, n in ids.items())
