@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelight.llm import jaccard_join, mixing, packing, toxicity
-from quirelight.llm.storage import shared_folder
+from quirelight.llm.storage import dropped, shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,4 +57,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            dropped(spark, f"{folder}/{k - 1}")
     return docs.select(*[F.col(c) for c in docs.columns])
