@@ -111,3 +111,8 @@ def reference_line(authors: Column, year: Column, title: Column, url: Column) ->
 
 def backoff(attempt: Column, base: float, most: float) -> Column:
     return F.least(F.lit(base) * F.pow(F.lit(2.0), attempt), F.lit(most))
+
+
+def iso_time(ts: Column) -> Column:
+    """A moment as ``2020-01-02T03:04:05.000006``."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")

@@ -55,6 +55,7 @@ def report(results: list[Result]) -> dict:
     return {
         "components": [r.__dict__ for r in results],
         "seconds": sum(r.seconds for r in results),
+        "completed": sum(r.status == "COMPLETED" for r in results),
         "failed": [r.name for r in results if r.status == "FAILED"],
         "exit_code": int(any(r.status == "FAILED" for r in results)),
     }

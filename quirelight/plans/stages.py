@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chunking, retrieval
-from .runner import Runner, report
+from ..functions import paths
+from ..operators import chunking, downloads, retrieval, tracking
+from ..sources import readers, writers
+from ..sources.storage import Storage
+from .runner import Runner, merged, report
 
 
 def chunk(docs: DataFrame) -> DataFrame:
@@ -28,6 +32,67 @@ def weigh(docs: DataFrame) -> DataFrame:
 STAGES: dict[str, Callable[[DataFrame], DataFrame]] = {"chunk": chunk, "status": status, "weigh": weigh}
 
 
+def configuration(path: str, over: dict | None = None) -> dict:
+    """Settings of a YAML file (or JSON, which is YAML too), with ``over`` on them; no file, no settings."""
+    if not os.path.exists(path):
+        return merged({}, over or {})
+    with open(path, encoding="utf-8") as f:
+        raw = f.read()
+    try:
+        import yaml
+    except ImportError:  # without the package only JSON is read
+        return merged(json.loads(raw or "{}"), over or {})
+    return merged(yaml.safe_load(raw) or {}, over or {})
+
+
+def chunk_folder(spark: SparkSession, source: str, sink: str, strategy: str = "hybrid", limits: chunking.Limits = chunking.Limits(), limit: int = 0) -> dict:
+    """Chunk the text files below a folder that the sink does not have yet.
+
+    Documents are named after their folders, as ``tracking.targets`` lays them
+    out.  Chunks go to ``sink``/chunks and one status a document to
+    ``sink``/statuses, failures included, so a run that is repeated goes on.
+    """
+    texts = readers.texts(spark, source)
+    rows = texts.select("path", "text", paths.folder_name(F.col("path")).alias("folder"), F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1).alias("stem"))
+    named = tracking.targets(rows, "folder", "stem").join(rows, ["folder", "stem"]).select("document_id", "text")
+    store = Storage(spark, sink)
+    if store.exists("statuses/_SUCCESS"):
+        named = writers.only_new(named, spark.read.parquet(f"{sink}/statuses").select(F.col("doc").alias("document_id")), "document_id")
+    if limit:
+        named = named.orderBy("document_id").limit(limit)
+    made = chunking.attempts(named, strategy, limits, "document_id").persist()
+    try:
+        status = chunking.statuses(made)
+        made.where("error is null").drop("error").write.mode("append").parquet(f"{sink}/chunks")
+        counts = {r.status: r.n for r in status.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
+        status.write.mode("append").parquet(f"{sink}/statuses")
+    finally:
+        made.unpersist()
+    attempted = sum(counts.values())
+    return {"attempted": attempted, "succeeded": counts.get("SUCCESS", 0), "failed": counts.get("FAILED", 0), "status": "FAILED" if attempted and not counts.get("SUCCESS") else "COMPLETED"}
+
+
+def extract_folder(spark: SparkSession, source: str, first: Callable, second: Callable | None = None, least: int = 100, most_pages: int = 0) -> DataFrame:
+    """document, path, text, status, error of every PDF below a folder, found by extension or mark.
+
+    Texts are cut after ``most_pages`` pages, if any are named (0: all).
+    """
+    from .extensions import extracted
+
+    found = readers.binaries(spark, source).where(downloads.is_pdf(F.col("path"), F.col("content")))
+    out = extracted(found, first, second, least).withColumnRenamed("key", "path")
+    if most_pages:
+        spans = chunking.page_spans(F.col("text"))
+        out = out.withColumn("text", F.when(F.size(spans) > most_pages, F.substring(F.col("text"), F.lit(1), F.get(spans, F.lit(most_pages - 1))["end"])).otherwise(F.col("text")))
+    return out.select(paths.folder_name(F.col("path")).alias("document"), "path", "text", "status", "error")
+
+
+def profiled(rows: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """``rows``, and what will be known once they are computed: their number and first and last moment."""
+    seen = Observation(name)
+    return rows.observe(seen, F.count(F.lit(1)).alias("rows"), F.min(F.current_timestamp()).alias("begun")), seen
+
+
 def run(spark: SparkSession, name: str, source: str, sink: str, limit: int = 0, dry: bool = False) -> dict:
     """Run one stage over Parquet documents; the report, whose exit_code is that of the process."""
 

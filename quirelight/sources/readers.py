@@ -9,9 +9,9 @@ CHUNK = "struct<chunk_id:string,source_document_id:string,chunk_index:int,text_c
 
 
 def texts(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
-    """path, text of whole files, recursively."""
-    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True)
-    return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    """path, text of whole files, recursively; Spark leaves out files of no bytes, blank ones are rows."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    return df.select("path", F.col("content").cast("string").alias("text"))
 
 
 def binaries(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:

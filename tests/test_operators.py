@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quirelight.functions import ids, paths, text
 from quirelight.operators import catalog, chunking, downloads, ingest, metrics, retrieval, tracking, transcripts
-from quirelight.plans import extensions, runner, stages
+from quirelight.plans import extensions, runner, service, stages
 from quirelight.sources import readers, sql, storage, writers
 from quirelight.streaming import files
 
@@ -481,3 +481,60 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([(1, words), (2, words)], "doc_id long, text string").write.mode("append").parquet(source)
     files.chunk_stream(spark, source, "doc_id long, text string", sink, state).awaitTermination()
     assert sorted(r.doc for r in spark.read.parquet(sink).collect()) == ["1", "2"]
+
+
+def test_folders_of_texts(spark, tmp_path):
+    words = " ".join(f"w{k}" for k in range(60))
+    for name, body in (("d1/a", words), ("d1/b", words), ("d2/x", " "), ("d3/y", words)):
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / f"{name}.txt").write_text(body)
+    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    assert stages.chunk_folder(spark, source, sink) == {"attempted": 4, "succeeded": 3, "failed": 1, "status": "COMPLETED"}
+    assert sorted(r.doc for r in spark.read.parquet(f"{sink}/chunks").collect()) == ["d1", "d1__b", "d3"]
+    (tmp_path / "in/d4").mkdir()
+    (tmp_path / "in/d4/z.txt").write_text("\n")
+    assert stages.chunk_folder(spark, source, sink) == {"attempted": 1, "succeeded": 0, "failed": 1, "status": "FAILED"}
+    assert stages.chunk_folder(spark, source, sink)["attempted"] == 0 and spark.read.parquet(f"{sink}/statuses").count() == 5
+
+
+def test_folders_of_files(spark, tmp_path):
+    (tmp_path / "p1").mkdir()
+    (tmp_path / "p1/a.pdf").write_bytes(b"--- Page 1 ---\none\n--- Page 2 ---\ntwo\n")
+    (tmp_path / "p1/b.bin").write_bytes(b"%PDF-1.4 and more text")
+    (tmp_path / "p1/c.bin").write_bytes(b"no mark here")
+    (tmp_path / "p1/d.pdf").write_bytes(b"short")
+    got = {r.path[-5:]: (r.document, r.text, r.status) for r in stages.extract_folder(spark, str(tmp_path), extensions.EXTRACTORS["plain"], least=10, most_pages=1).collect()}
+    assert got == {"a.pdf": ("p1", "--- Page 1 ---\none\n", "Processed"), "b.bin": ("p1", "%PDF-1.4 and more text", "Processed"), "d.pdf": ("p1", None, "Failed")}
+
+
+def test_configuration(tmp_path):
+    assert stages.configuration(str(tmp_path / "none"), {"a": 1}) == {"a": 1}
+    (tmp_path / "c.json").write_text('{"a": {"b": 1, "c": 2}}')
+    assert stages.configuration(str(tmp_path / "c.json"), {"a": {"b": 9}}) == {"a": {"b": 9, "c": 2}}
+
+
+def test_profiled_and_times(spark):
+    rows, seen = stages.profiled(spark.range(7), "n")
+    rows.collect()
+    assert seen.get["rows"] == 7
+    moment = spark.sql("select timestamp '2020-01-02 03:04:05.000006' as t").select(text.iso_time(F.col("t")).alias("x")).first().x
+    assert moment == "2020-01-02T03:04:05.000006"
+
+
+def test_service(spark, tmp_path):
+    bodies = {"c1": "trade and growth", "c2": "birds and bees", "c3": "growth of trade in towns"}
+    vectors = spark.createDataFrame([(k, [float("trade" in t), float("birds" in t)]) for k, t in bodies.items()], "key string, dense array<double>")
+    chunks = spark.createDataFrame([(k, "d" + k, t, 0, 3, [4]) for k, t in bodies.items()], "key string, doc string, text string, chunk_index int, token_count int, pages array<int>")
+    publications = spark.createDataFrame([("dc1", "One", 2001), ("dc2", "Two", 2002), ("dc3", "Three", 2003)], "doc string, title string, year int")
+    collection = ingest.Collection(spark, str(tmp_path / "points"))
+    ingest.ingest(collection, vectors, chunks, publications, "key", "doc")
+    api = service.Service(collection, lambda queries: [[float("trade" in q), float("birds" in q)] for q in queries])
+    hits = api.chunks(service.Request("trade", 2))
+    assert {h.document_id for h in hits} == {"dc1", "dc3"} and hits[0].score >= hits[1].score and hits[0].pages == (4,)
+    assert [h.title for h in api.chunks(service.Request("trade", 2, year=2003))] == ["Three"]
+    answer = api.search(service.Request("birds in 2002", 1))
+    assert answer.count == 1 and answer.hits[0].document_id == "dc2" and answer.queries == ("birds in 2002",) and answer.answer.startswith("[1]")
+    assert service.Request("x", 99, document_id="d").body() == {"query": "x", "top_k": 50, "filters": {"document_id": "d"}}
+    with pytest.raises(ValueError):
+        service.Request("")
+    assert api.health()["points"] == 3
