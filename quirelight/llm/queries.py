@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, fingerprints, importance_resampling, jaccard_join, lm_scoring, mixing, packing, periodic_runs, sharding, token_counts, toxicity, url_filters
+from . import embedding_dedup, fingerprints, html_extraction, importance_resampling, jaccard_join, lm_scoring, mixing, packing, periodic_runs, sharding, token_counts, toxicity, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,9 +76,13 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(_table(spark, sf_dir, "pages"), html_extraction.fit())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_url_filters, op3_mixing, op4_lm_scoring, op5_sharding, op6_embedding_dedup, op7_fingerprints, op8_packing, op9_jaccard_join, op10_token_counts, op11_periodic_runs, op12_importance_resampling)
+    for f in (op1_toxicity, op2_url_filters, op3_mixing, op4_lm_scoring, op5_sharding, op6_embedding_dedup, op7_fingerprints, op8_packing, op9_jaccard_join, op10_token_counts, op11_periodic_runs, op12_importance_resampling, op13_html_extraction)
 }
 
 # water-filling and the hash draw, from the same definitions
