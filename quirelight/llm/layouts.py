@@ -122,7 +122,7 @@ def _article(r: random.Random) -> list[tuple[str, list[str]]]:
     for _ in range(r.randint(1, 14)):
         draw = r.random()
         if draw < 0.62:
-            add(r.choice(["<p>{}</p>", "<p>{}</p>", "<p>{}</p>", "<p>{}", "<p><b>{}<br>", "<div>{}</div>"]), _text(r, 160))
+            add(r.choice(["<p>{}</p>", "<p>{}</p>", "<p>{}</p>", "<p>{}", "<p><b>{}<br>", "<div>{}</div>", "<hr>{}<hr>"]), _text(r, 160))
         elif draw < 0.72:
             add(r.choice(["<h2>{}</h2>", "<h3>{}</h3>"]), _text(r, 8))
         elif draw < 0.82:
