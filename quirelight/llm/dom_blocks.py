@@ -32,7 +32,7 @@ _KEEPS_P = frozenset({"button", "label", "option", "optgroup", "select", "output
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _LAX = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTRIBUTE = re.compile(r"""(?:^|(?<=[\s"'/]))([a-zA-Z][\w:-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")  # numbers name nothing
 
 
 class Block(NamedTuple):
