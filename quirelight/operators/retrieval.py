@@ -14,11 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import uuid5
-from ..functions.vectors import cosine
+from . import dense, postings
 
 TOP_K, MOST_K, PREFETCH, RRF_K = 10, 50, 3, 60
-K1, B, AVERAGE_LENGTH = 1.2, 0.75, 256.0
-TERM = "[a-z0-9]+"
+
+K1, B, AVERAGE_LENGTH, TERM = postings.K1, postings.B, postings.AVERAGE_LENGTH, postings.TERM
 
 
 def clamp(top_k: int, most: int = MOST_K) -> int:
@@ -45,15 +45,8 @@ def best(scored: DataFrame, k: int, by: list[str], id_col: str, score_col: str =
 
 
 def dense_top_k(collection: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", digits: int = 6) -> DataFrame:
-    """query, id, score, rank; ``queries`` has query, vector.
-
-    A stated set of queries meets all vectors.  Spark broadcasts the queries only
-    below its size threshold and beyond it pairs blocks of both sides; each task
-    keeps its first k a query before anything is shuffled.
-    """
-    scored = collection.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).join(queries, how="cross")
-    scored = scored.select("query", "id", F.round(cosine(F.col("v"), F.col("vector")), digits).alias("score"))
-    return best(scored, k, ["query"], "id")
+    """query, id, score, rank; ``queries`` has query, vector: all vectors meet all queries, as blocks."""
+    return best(dense.candidates(collection, queries, k, id_col, vector_col, digits), k, ["query"], "id")
 
 
 def terms(text: Column) -> Column:
@@ -80,11 +73,7 @@ def inverse_frequency(vectors: DataFrame, docs: DataFrame) -> DataFrame:
 
 def sparse_top_k(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", digits: int = 6) -> DataFrame:
     """query, id, score, rank; ``queries`` has query, text; each distinct term weighs 1."""
-    asked = queries.select("query", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    vectors = document_vectors(docs, id_col, text_col, asked)
-    weighed = vectors.join(inverse_frequency(vectors, docs), "term").join(asked, "term")
-    scored = weighed.groupBy("query", "id").agg(F.round(F.sum(F.col("weight") * F.col("idf")), digits).alias("score"))
-    return best(scored, k, ["query"], "id")
+    return postings.sparse_top_k(docs, queries, k, id_col, text_col, digits)
 
 
 def fused(channels: list[DataFrame], k: int, rrf_k: int = RRF_K, digits: int = 6) -> DataFrame:
@@ -102,8 +91,8 @@ def hybrid_top_k(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int
     The filter holds inside each channel, before its first 3k are taken.
     """
     docs, vectors = (payload_filter(x, filters or {}, drop_falsy) for x in (docs, vectors))
-    dense = dense_top_k(vectors, queries.where("vector is not null").select("query", "vector"), PREFETCH * k)
-    return fused([dense, sparse_top_k(docs, queries.select("query", "text"), PREFETCH * k)], k, rrf_k)
+    near = dense_top_k(vectors, queries.where("vector is not null").select("query", "vector"), PREFETCH * k)
+    return fused([near, sparse_top_k(docs, queries.select("query", "text"), PREFETCH * k)], k, rrf_k)
 
 
 def merged_queries(hits: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, paths, text, vectors
 from ..operators import catalog as records
-from ..operators import chunking, downloads, ingest, metrics, retrieval, tracking, transcripts
+from ..operators import chunking, dense, downloads, ingest, metrics, postings, retrieval, tracking, transcripts
 from ..sources.readers import literal_list
+from ..sources.snapshots import Store
+from ..sources.storage import work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -449,6 +451,17 @@ def _(read):
     return retrieval.dense_top_k(read("embeddings"), _queries(read), 10)
 
 
+def _store(df: DataFrame) -> Store:
+    return Store(df.sparkSession, work_folder(df.sparkSession))
+
+
+@query("Q3_indexed_top_k", _ranked(_DENSE, 10))
+def _(read):
+    index = dense.VectorIndex(_store(read("embeddings")))
+    index.build(read("embeddings"))
+    return index.search(_queries(read), 10, exact=True)
+
+
 @query("P5_filtered_top_k", _ranked(_DENSE + " AND e.label = 3", 10))
 def _(read):
     return retrieval.dense_top_k(retrieval.payload_filter(read("embeddings"), {"label": 3, "year": None}), _queries(read), 10)
@@ -497,6 +510,13 @@ def _(read):
     return retrieval.sparse_top_k(read("documents"), read("benchmark").select(F.col("item_id").alias("query"), "text"), 10)
 
 
+@query("J11_indexed_top_k", f"WITH {_TERMS} {_ranked(_SPARSE.format(''), 10)}")
+def _(read):
+    index = postings.Index(_store(read("documents")))
+    index.build(read("documents"))
+    return index.search(read("benchmark").select(F.col("item_id").alias("query"), "text"), 10)
+
+
 def _asked(read) -> DataFrame:
     """query, text, vector: each stated vector with the benchmark text of its number, and texts without a vector."""
     texts = read("benchmark").select((F.col("item_id") * EVERY).alias("q"), "text")
