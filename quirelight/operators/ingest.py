@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import uuid5
+from ..sources.snapshots import Store
+from . import dense, postings, retrieval
 
 SPARSE = "array<struct<term:string,weight:double>>"
 RANGES = 64  # into which a label's rows are cut to be numbered
@@ -82,29 +85,75 @@ def batches(rows: DataFrame, partition: str, order: str, size: int) -> DataFrame
 
 @dataclass
 class Collection:
-    """Points under a path, partitioned by year, as the payload filters read them."""
+    """Points in a store, in buckets of their documents and sorted by year.
+
+    Every change is one new state: a reader sees all of it or nothing, and a
+    change that fails leaves the state before.  Indexes are of one state of
+    the points, and searches use them only while it is the current one.
+    """
 
     spark: SparkSession
     path: str
 
+    def __post_init__(self) -> None:
+        self.store = Store(self.spark, self.path)
+
     def recreate(self, points_: DataFrame) -> int:
         """Replace all points; their number."""
-        points_.write.mode("overwrite").partitionBy("document_year").parquet(self.path)
+        with self.store.begin() as t:
+            t.replace("points", points_, "document_id", sort=("document_year", "document_id", "chunk_index"))
         return self.count()
 
+    def upsert(self, points_: DataFrame, order: list[str] | None = None) -> None:
+        """Points in place of those with their ids, in the same document; only the documents' buckets are rewritten."""
+        with self.store.begin() as t:
+            t.upsert("points", points_, "point_id", order)
+
+    def delete(self, documents: DataFrame) -> None:
+        """Drop the points of the documents in column document_id."""
+        with self.store.begin() as t:
+            t.delete("points", documents.select("document_id"), "document_id")
+
+    def index(self) -> None:
+        """Vectors and postings of the points as they are now."""
+        version = self.store.version()
+        state, points_ = self._state(version), self.store.read("points", version)
+        dense.VectorIndex(self.store).build(points_, "point_id", "dense")
+        postings.Index(self.store).build(points_, "point_id", "text_content")
+        with self.store.begin() as t:
+            t.set_mark("indexed", state)
+
+    def _state(self, version: int | None = None) -> str:
+        return json.dumps(self.store.manifest(version)["tables"]["points"]["parts"], sort_keys=True)
+
+    def indexed(self) -> bool:
+        return self.exists() and self.store.mark("indexed") == self._state()
+
+    def search(self, queries: DataFrame, k: int, year: int | None = None, document: str | None = None) -> DataFrame:
+        """query, id, score, rank of both channels fused; ``queries`` has query, text, vector.
+
+        Without a filter the indexes are read, if they are there; a document's
+        points are read from its bucket alone.
+        """
+        if year is None and document is None and self.indexed():
+            near = dense.VectorIndex(self.store).search(queries.where("vector is not null"), retrieval.PREFETCH * k, exact=True)
+            return retrieval.fused([near, postings.Index(self.store).search(queries, retrieval.PREFETCH * k)], k)
+        found = retrieval.payload_filter(self.read() if document is None else self.store.read("points", values=[document]), {"document_year": year})
+        docs = found.select(F.col("point_id").alias("doc_id"), F.col("text_content").alias("text"))
+        return retrieval.hybrid_top_k(docs, found.select(F.col("point_id").alias("vec_id"), F.col("dense").alias("embedding")), queries, k)
+
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        return self.store.read("points")
 
     def exists(self) -> bool:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_SUCCESS")
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+        return self.store.exists("points")
 
     def count(self) -> int:
         return self.read().count() if self.exists() else 0
 
     def scroll(self, document: str, most: int = 1000) -> DataFrame:
-        """A document's points without vectors, the first ``most`` by their chunk."""
-        return self.read().where(F.col("document_id") == document).drop("dense", "sparse").orderBy("chunk_index", "point_id").limit(most)
+        """A document's points without vectors, the first ``most`` by their chunk; reads the document's bucket."""
+        return self.store.read("points", values=[document]).drop("dense", "sparse").orderBy("chunk_index", "point_id").limit(most)
 
     def health(self) -> dict:
         """Whether the collection can be read, and how many points it has."""

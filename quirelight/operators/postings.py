@@ -36,6 +36,7 @@ from .dense import _orders, best_of
 SEGMENT_DOCS, SEGMENT_TOKENS = 4096, 1 << 21
 ASKED = 1024  # queries that one task scores at once
 FIRST = 2  # segments a query scores before others are ruled out
+FEW = 100_000  # terms that are sent to all tasks
 SLACK = 2e-6  # more than rounding can move a score
 K1, B, AVERAGE_LENGTH = 1.2, 0.75, 256.0
 TERM = "[a-z0-9]+"
@@ -240,7 +241,8 @@ class Index:
 
 
 def sparse_top_k(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", digits: int = 6) -> DataFrame:
-    """The same over documents without an index: segments of all terms are made for the search and read from there."""
+    """The same over documents without an index: segments are made for the search, of the asked terms if these are few."""
     path = work_folder(docs.sparkSession)
-    segments(docs, id_col, text_col).write.parquet(path)
+    terms = [r.term for r in asked_terms(queries).select("term").distinct().limit(FEW + 1).collect()]
+    segments(docs, id_col, text_col, frozenset(terms) if len(terms) <= FEW else None).write.parquet(path)
     return ranked(docs.sparkSession.read.parquet(path), queries, k, digits)

@@ -590,7 +590,10 @@ def _(read):
     return ingest.batches(rows, "label", "nth", 50)
 
 
-@query("K6_upserted", "SELECT c_custkey, c_name AS name FROM customer WHERE c_acctbal < 0 UNION ALL SELECT c_custkey, c_name || '+3' FROM customer WHERE c_acctbal >= 0")
+_UPSERTED = "SELECT c_custkey, c_name AS name FROM customer WHERE c_acctbal < 0 UNION ALL SELECT c_custkey, c_name || '+3' FROM customer WHERE c_acctbal >= 0"
+
+
+@query("K6_upserted", _UPSERTED)
 def _(read):
     rows = read("customer")
     new = rows.where("c_acctbal >= 0").select("c_custkey", F.explode(F.array(*[F.lit(k) for k in (2, 3, 1)])).alias("written"), "c_name")
@@ -598,23 +601,56 @@ def _(read):
     return ingest.upserted(rows.select("c_custkey", F.col("c_name").alias("name")), new, "c_custkey", ["written"]).drop("written")
 
 
-@query("K11_updated_deleted", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' ELSE c_name END AS name FROM customer WHERE c_mktsegment <> 'MACHINERY'")
+_UPDATED = "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' ELSE c_name END AS name FROM customer WHERE c_mktsegment <> 'MACHINERY'"
+
+
+@query("K11_updated_deleted", _UPDATED)
 def _(read):
     rows = read("customer")
     kept = ingest.deleted(rows.select("c_custkey", F.col("c_name").alias("name")), rows.where("c_mktsegment = 'MACHINERY'"), "c_custkey")
     return ingest.updated(kept, rows.where("c_acctbal < 0").select("c_custkey", F.lit("debt").alias("name")), "c_custkey")
 
 
+@query("K6_stored_upsert", _UPSERTED)
+def _(read):
+    rows = read("customer")
+    new = rows.where("c_acctbal >= 0").select("c_custkey", F.explode(F.array(*[F.lit(k) for k in (2, 3, 1)])).alias("written"), "c_name")
+    store = _store(rows)
+    with store.begin() as t:
+        t.replace("customers", rows.select("c_custkey", F.col("c_name").alias("name")), "c_custkey")
+    with store.begin() as t:
+        t.upsert("customers", new.select("c_custkey", "written", F.concat("c_name", F.lit("+"), F.col("written").cast("string")).alias("name")), "c_custkey", ["written"])
+    return store.read("customers")
+
+
+@query("K11_stored_update_delete", _UPDATED)
+def _(read):
+    rows = read("customer")
+    store = _store(rows)
+    with store.begin() as t:
+        t.replace("customers", rows.select("c_custkey", F.col("c_name").alias("name")), "c_custkey")
+    with store.begin() as t:  # both changes are one state
+        t.delete("customers", rows.where("c_mktsegment = 'MACHINERY'").select("c_custkey"), "c_custkey")
+        t.update("customers", rows.where("c_acctbal < 0").select("c_custkey", F.lit("debt").alias("name")), "c_custkey")
+    return store.read("customers")
+
+
 # ---- records, reports, paths
 
 
-@query("R2_merged", f"WITH {_SNAPSHOTS} SELECT coalesce(e.c_custkey, i.c_custkey) AS c_custkey, CASE WHEN i.c_custkey IS NULL OR e.h = i.h THEN 'old' ELSE 'new' END AS taken, coalesce(i.h, e.h) AS content_hash, CASE WHEN e.c_custkey IS NULL THEN 'new' WHEN i.c_custkey IS NULL THEN 'retained' WHEN e.h = i.h THEN 'unchanged' ELSE 'updated' END AS outcome FROM existing e FULL JOIN incoming i ON e.c_custkey = i.c_custkey")
+_R2 = f"WITH {_SNAPSHOTS} SELECT coalesce(e.c_custkey, i.c_custkey) AS c_custkey, CASE WHEN i.c_custkey IS NULL OR e.h = i.h THEN 'old' ELSE 'new' END AS taken, coalesce(i.h, e.h) AS content_hash, CASE WHEN e.c_custkey IS NULL THEN 'new' WHEN i.c_custkey IS NULL THEN 'retained' WHEN e.h = i.h THEN 'unchanged' ELSE 'updated' END AS outcome FROM existing e FULL JOIN incoming i ON e.c_custkey = i.c_custkey"
+
+
+@query("R2_merged", _R2)
 def _(read):
     old, new = _snapshots(read)
     return tracking.merged(old.withColumn("taken", F.lit("old")), new.withColumn("taken", F.lit("new")), "c_custkey", "content_hash")
 
 
-@query("R4_registered", _PLAN + "SELECT coalesce(t.c_custkey, p.c_custkey) AS c_custkey, CASE WHEN p.c_custkey IS NULL THEN 'stored' ELSE 'fresh' END AS title, CASE WHEN t.c_custkey IS NULL THEN NULL ELSE 'then' END AS discovered, CAST(CASE WHEN t.c_custkey IS NULL THEN 0 ELSE 4 END AS BIGINT) AS download_attempts FROM t FULL JOIN plan p ON t.c_custkey = p.c_custkey")
+_R4 = _PLAN + "SELECT coalesce(t.c_custkey, p.c_custkey) AS c_custkey, CASE WHEN p.c_custkey IS NULL THEN 'stored' ELSE 'fresh' END AS title, CASE WHEN t.c_custkey IS NULL THEN NULL ELSE 'then' END AS discovered, CAST(CASE WHEN t.c_custkey IS NULL THEN 0 ELSE 4 END AS BIGINT) AS download_attempts FROM t FULL JOIN plan p ON t.c_custkey = p.c_custkey"
+
+
+@query("R4_registered", _R4)
 def _(read):
     publications, tracked = _tracked(read)
     good, _ = tracking.validated(publications.withColumn("title", F.lit("fresh")).unionByName(publications.withColumn("title", F.lit(" "))), "c_custkey", "title")
@@ -622,6 +658,28 @@ def _(read):
     return tracking.registered(good, stored, "c_custkey", ["title"]).select("c_custkey", "title", "discovered", F.coalesce("download_attempts", F.lit(0)).alias("download_attempts"))
 
 
+@query("R2_stored_merge", _R2)
+def _(read):
+    old, new = _snapshots(read)
+    store = _store(old)
+    with store.begin() as t:
+        t.replace("catalogue", old.withColumn("taken", F.lit("old")).withColumn("outcome", F.lit("retained")), "c_custkey")
+    with store.begin() as t:
+        t.merge("catalogue", new.withColumn("taken", F.lit("new")), lambda stored, incoming: tracking.merged(stored.drop("outcome"), incoming, "c_custkey", "content_hash"))
+    return store.read("catalogue")
+
+
+@query("R4_stored_registration", _R4)
+def _(read):
+    publications, tracked = _tracked(read)
+    store = _store(tracked)
+    with store.begin() as t:
+        t.replace("tracked", tracked.withColumn("title", F.lit("stored")).withColumn("discovered", F.lit("then")).withColumn("download_attempts", F.lit(4)), "c_custkey")
+    with store.begin() as t:
+        t.merge("tracked", publications.withColumn("title", F.lit("fresh")), lambda stored, new: tracking.registered(new, stored, "c_custkey", ["title"]))
+    return store.read("tracked").select("c_custkey", "title", "discovered", F.coalesce("download_attempts", F.lit(0)).alias("download_attempts"))
+
+
 @query("X3_discovered", "SELECT 'a' AS source, s_suppkey AS key, s_name AS title, CAST(NULL AS VARCHAR) AS url FROM supplier UNION ALL SELECT 'b', c_custkey, NULL, c_name FROM customer")
 def _(read):
     a = read("supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("title"))

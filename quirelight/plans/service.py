@@ -68,12 +68,9 @@ class Service:
 
     def _ranked(self, queries: list[str], filters: dict, k: int) -> DataFrame:
         """id, score, query, rank: the queries' hybrid hits as one list."""
-        points = retrieval.payload_filter(self.collection.read(), {"document_year": filters.get("year"), "document_id": filters.get("document_id")})
         rows = [(n, q, [float(x) for x in v]) for n, (q, v) in enumerate(zip(queries, self.embed(queries), strict=True))]
-        asked = points.sparkSession.createDataFrame(rows, "query long, text string, vector array<double>")
-        docs = points.select(F.col("point_id").alias("doc_id"), F.col("text_content").alias("text"))
-        vectors = points.select(F.col("point_id").alias("vec_id"), F.col("dense").alias("embedding"))
-        hits = retrieval.hybrid_top_k(docs, vectors, asked, k)
+        asked = self.collection.spark.createDataFrame(rows, "query long, text string, vector array<double>")
+        hits = self.collection.search(asked, k, filters.get("year"), filters.get("document_id"))
         return retrieval.best(retrieval.merged_queries(hits, k).withColumn("all", F.lit(1)), k, ["all"], "id").drop("all")
 
     def _hits(self, ranked: DataFrame) -> tuple[Hit, ...]:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..operators import chunking, downloads, retrieval, tracking
 from ..sources import readers, writers
-from ..sources.storage import Storage
+from ..sources.snapshots import Store
 from .runner import Runner, merged, report
 
 
@@ -49,27 +49,28 @@ def chunk_folder(spark: SparkSession, source: str, sink: str, strategy: str = "h
     """Chunk the text files below a folder that the sink does not have yet.
 
     Documents are named after their folders, as ``tracking.targets`` lays them
-    out.  Chunks go to ``sink``/chunks and one status a document to
-    ``sink``/statuses, failures included, so a run that is repeated goes on.
+    out.  The sink is a store with the tables chunks and statuses (one status
+    a document, failures included).  What a run makes of both is published at
+    once, so a run that dies leaves nothing and one that is repeated goes on.
     """
     texts = readers.texts(spark, source)
     rows = texts.select("path", "text", paths.folder_name(F.col("path")).alias("folder"), F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1).alias("stem"))
     named = tracking.targets(rows, "folder", "stem").join(rows, ["folder", "stem"]).select("document_id", "text")
-    store = Storage(spark, sink)
-    if store.exists("statuses/_SUCCESS"):
-        named = writers.only_new(named, spark.read.parquet(f"{sink}/statuses").select(F.col("doc").alias("document_id")), "document_id")
+    store = Store(spark, sink)
+    if store.exists("statuses"):
+        named = writers.only_new(named, store.read("statuses").select(F.col("doc").alias("document_id")), "document_id")
     if limit:
         named = named.orderBy("document_id").limit(limit)
-    made = chunking.attempts(named, strategy, limits, "document_id").persist()
+    made, seen = chunking.attempts(named, strategy, limits, "document_id").persist(), Observation()
     try:
-        status = chunking.statuses(made)
-        made.where("error is null").drop("error").write.mode("append").parquet(f"{sink}/chunks")
-        counts = {r.status: r.n for r in status.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
-        status.write.mode("append").parquet(f"{sink}/statuses")
+        with store.begin() as t:
+            t.append("chunks", made.where("error is null").drop("error"), "doc")
+            of = lambda name: F.count_if(F.col("status") == name)
+            t.append("statuses", chunking.statuses(made).observe(seen, F.count(F.lit(1)).alias("attempted"), of("SUCCESS").alias("succeeded"), of("FAILED").alias("failed")), "doc")
     finally:
         made.unpersist()
-    attempted = sum(counts.values())
-    return {"attempted": attempted, "succeeded": counts.get("SUCCESS", 0), "failed": counts.get("FAILED", 0), "status": "FAILED" if attempted and not counts.get("SUCCESS") else "COMPLETED"}
+    counts = seen.get
+    return {**{k: counts[k] for k in ("attempted", "succeeded", "failed")}, "status": "FAILED" if counts["attempted"] and not counts["succeeded"] else "COMPLETED"}
 
 
 def extract_folder(spark: SparkSession, source: str, first: Callable, second: Callable | None = None, least: int = 100, most_pages: int = 0) -> DataFrame:

@@ -68,6 +68,12 @@ class Store:
         rows = self._rows(table, {b: table["parts"][b] for b in table["parts"] if b in wanted})
         return rows.where(F.col(table["by"]).isin(list(values)))
 
+    def beside(self, name: str, changes: DataFrame) -> DataFrame:
+        """A table's rows in the buckets that ``changes`` (which has the bucket column) touches."""
+        table = self.manifest()["tables"][name]
+        touched = {str(r[0]) for r in changes.select(bucket(table["by"], table["buckets"])).distinct().collect()}
+        return self._rows(table, {b: f for b, f in table["parts"].items() if b in touched})
+
     def _rows(self, table: dict, parts: dict[str, list[str]]) -> DataFrame:
         folders = sorted(f"{self.root}/{f}" for some in parts.values() for f in some)
         schema = StructType.fromJson(table["schema"])
@@ -82,11 +88,15 @@ class Store:
         Not to be run beside a writer: what it has written but not published is named nowhere.
         """
         versions = sorted(int(n.removesuffix(".json")) for n in self.files.names("manifests") if n.endswith(".json"))
-        live = {f.split("/")[1] for v in versions[-keep:] for t in self.manifest(v)["tables"].values() for some in t["parts"].values() for f in some}
+        live = {f for v in versions[-keep:] for t in self.manifest(v)["tables"].values() for some in t["parts"].values() for f in some}
         for v in versions[:-keep]:
             self.files.delete(f"manifests/{v:012d}.json")
-        gone = [n for n in self.files.names("data") if n not in live]
-        return sum(self.files.delete(f"data/{n}") for n in gone)
+        gone = []
+        for top in (f"data/{n}" for n in self.files.names("data")):
+            if top not in live:
+                inner = [f"{top}/{n}" for n in self.files.names(top) if n.startswith("__bucket=")]
+                gone += [f for f in inner if f not in live] if live & set(inner) else [top]
+        return sum(self.files.delete(f) for f in gone)
 
 
 @dataclass

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -45,11 +45,11 @@ def missing_documents(df: DataFrame, path: str, key: str, by: str) -> int:
     from .storage import Storage
 
     if Storage(df.sparkSession, path).exists("_SUCCESS"):
-        df = only_new(df, df.sparkSession.read.parquet(path), key)
-    rows = df.count()
-    if rows:
-        df.write.mode("append").partitionBy(by).parquet(path)
-    return rows
+        df = only_new(df, df.sparkSession.read.schema(df.schema).parquet(path), key)
+    seen = Observation()
+    # counted while they are written
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("append").partitionBy(by).parquet(path)
+    return seen.get["rows"]
 
 
 def report(df_or_rows: DataFrame | dict, path: str, spark: SparkSession) -> None:

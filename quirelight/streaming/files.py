@@ -3,24 +3,41 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.chunking import Limits, chunks
+from ..sources.snapshots import Store
 from ..sources.writers import only_new
 
 
 def chunk_stream(spark: SparkSession, source: str, schema: str, sink: str, state: str, strategy: str = "hybrid", limits: Limits = Limits()) -> StreamingQuery:
     """Chunks of Parquet documents as they arrive; a document that is stored is skipped.
 
-    Each batch is written once: a batch that is run again finds its documents stored.
+    The sink is a store with the tables chunks and documents.  A batch's rows
+    of both and its number are published at once, so a batch that is run again
+    finds its number and does nothing.  Documents are compared by id with the
+    buckets that the batch touches, before they are cut.  Of a document that a
+    batch repeats, one text is taken (the least).
     """
     documents = spark.readStream.schema(schema).parquet(source)
-
-    def store(batch: DataFrame, _: int) -> None:
-        made = chunks(batch, strategy, limits)
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sink}/_SUCCESS")
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            made = only_new(made, spark.read.parquet(sink), "doc")
-        made.write.mode("append").parquet(sink)
-
-    return documents.writeStream.foreachBatch(store).option("checkpointLocation", state).trigger(availableNow=True).start()
+    mark = f"batch:{state}"
+
+    def publish(batch: DataFrame, number: int) -> None:
+        store = Store(spark, sink)
+        last = store.mark(mark)
+        if last is not None and number <= last:
+            return
+        key = batch.columns[0]
+        named = batch.withColumn("doc", F.col(key).cast("string")).persist()
+        try:
+            new = only_new(named, store.beside("documents", named.select("doc")), "doc") if store.exists("documents") else named
+            new = new.groupBy("doc").agg(F.min_by(F.struct(*batch.columns), "text").alias("row"))
+            with store.begin() as t:
+                t.append("chunks", chunks(new.select("row.*"), strategy, limits), "doc")
+                t.append("documents", new.select("doc"), "doc")
+                t.set_mark(mark, number)
+        finally:
+            named.unpersist()
+
+    return documents.writeStream.foreachBatch(publish).option("checkpointLocation", state).trigger(availableNow=True).start()

@@ -10,6 +10,7 @@ from quirelight.functions import ids, paths, text
 from quirelight.operators import catalog, chunking, downloads, ingest, metrics, retrieval, tracking, transcripts
 from quirelight.plans import extensions, runner, service, stages
 from quirelight.sources import readers, sql, storage, writers
+from quirelight.sources.snapshots import Store
 from quirelight.streaming import files
 
 L = chunking.Limits
@@ -480,7 +481,7 @@ def test_stream(spark, tmp_path):
     files.chunk_stream(spark, source, "doc_id long, text string", sink, state).awaitTermination()
     spark.createDataFrame([(1, words), (2, words)], "doc_id long, text string").write.mode("append").parquet(source)
     files.chunk_stream(spark, source, "doc_id long, text string", sink, state).awaitTermination()
-    assert sorted(r.doc for r in spark.read.parquet(sink).collect()) == ["1", "2"]
+    assert sorted(r.doc for r in Store(spark, sink).read("chunks").collect()) == ["1", "2"]
 
 
 def test_folders_of_texts(spark, tmp_path):
@@ -490,11 +491,11 @@ def test_folders_of_texts(spark, tmp_path):
         (tmp_path / "in" / f"{name}.txt").write_text(body)
     source, sink = str(tmp_path / "in"), str(tmp_path / "out")
     assert stages.chunk_folder(spark, source, sink) == {"attempted": 4, "succeeded": 3, "failed": 1, "status": "COMPLETED"}
-    assert sorted(r.doc for r in spark.read.parquet(f"{sink}/chunks").collect()) == ["d1", "d1__b", "d3"]
+    assert sorted(r.doc for r in Store(spark, sink).read("chunks").collect()) == ["d1", "d1__b", "d3"]
     (tmp_path / "in/d4").mkdir()
     (tmp_path / "in/d4/z.txt").write_text("\n")
     assert stages.chunk_folder(spark, source, sink) == {"attempted": 1, "succeeded": 0, "failed": 1, "status": "FAILED"}
-    assert stages.chunk_folder(spark, source, sink)["attempted"] == 0 and spark.read.parquet(f"{sink}/statuses").count() == 5
+    assert stages.chunk_folder(spark, source, sink)["attempted"] == 0 and Store(spark, sink).read("statuses").count() == 5
 
 
 def test_folders_of_files(spark, tmp_path):
