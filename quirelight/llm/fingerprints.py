@@ -3,7 +3,8 @@
 Each distinct five-word shingle is hashed once.  The high bits of the hash
 name one of ``BINS`` bins and a bin keeps its smallest hash.  An empty bin
 takes the value of a non-empty bin found by its own sequence of hashed probes
-(the same sequence for every document), and the low ``BITS`` bits of each bin
+(the same sequence for every document), hashed once more with the bin's number
+so that bins which borrow one value agree or differ each for itself, and the low ``BITS`` bits of each bin
 are packed into the fingerprint.  Likeness is the share of equal bins, less
 what chance alone would give: ``(m - 2^-b) / (1 - 2^-b)``, held to 0..1.
 
@@ -44,7 +45,8 @@ def _densified(table: np.ndarray) -> np.ndarray:
         attempt += 1
         probe = (mix(bins.astype(U) * U(0x9E3779B97F4A7C15) + U(attempt)) % U(table.shape[1])).astype(np.int64)
         hit = full[rows, probe]
-        out[rows[hit], bins[hit]] = table[rows[hit], probe[hit]]
+        # else one borrowed value would decide all the low bits of a short text
+        out[rows[hit], bins[hit]] = mix(table[rows[hit], probe[hit]] ^ mix(bins[hit].astype(U) + U(1)))
         rows, bins = rows[~hit], bins[~hit]
     return out
 
@@ -140,7 +142,7 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     counts = kept(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
     total = rows.count()
     heavy = {r.doc_id for r in counts.where(F.col("c") > max(PARTS, total // n)).collect()}  # n at most
-    numbers = {int(c) for c in cuts} | {h + k for h in heavy if h is not None for k in (0, 1)}
+    numbers = {min(int(c), (1 << 63) - 1) for c in cuts} | {h + k for h in heavy if h is not None for k in (0, 1) if h + k < 1 << 63}
     bounds = F.array(*[F.lit(b) for b in sorted(numbers)]) if numbers else F.expr("cast(array() as array<bigint>)")
     # range 0 holds the largest ids, the last range the null ids; in ranges of one id the largest texts are first
     place = F.when(F.col("doc_id").isNull(), F.lit(len(numbers) + 1)).otherwise(F.size(F.filter(bounds, lambda b: b > F.col("doc_id"))))

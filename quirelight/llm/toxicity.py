@@ -10,8 +10,8 @@ scaled by the window of words around it: less between quotation marks or after
 reporting words, more beside other hits.  score = 1 - prod(1 - weight).
 
 Labels are read only for documents with crc32(doc_id as text) mod 4 other
-than 2, and of them at most ``TRAIN_DOCS`` (those with the least hash), which
-bounds what is fitted, broadcast and held by the driver.  Scoring covers every
+than 2, and of them at most ``TRAIN_DOCS`` (those with the least hash), of each
+one text; with the ``TERMS`` looked at this bounds what is fitted, broadcast and held by the driver.  Scoring covers every
 whole text and does not shuffle.
 
 Defined results: null and empty texts have the score of a text without hits;
@@ -35,6 +35,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from .storage import kept
 
 TRAIN_DOCS = 12_000
+TERMS = 20_000  # candidates among which the lexicon's terms are chosen, those of most toxic documents
 LIMIT = 0.3
 MEMO_WORDS = 300_000
 WINDOW = 6
@@ -234,8 +235,9 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, supp
     marks = labels.select(labels[label_id].alias("label_id"), labels[label_col].cast("int").alias("toxic")).where("label_id is not null and toxic is not null").where(~held_out(F.col("label_id")))
     chosen = marks.groupBy("label_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("label_id"), "label_id").limit(train_docs)
     texts = docs.select(docs[id_col].alias("label_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")).where(~held_out(F.col("label_id")))
-    # at most train_docs ids are broadcast
-    sample = kept(texts.join(F.broadcast(chosen), "label_id").select("text", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic")))
+    # at most train_docs ids are broadcast; of an id that rows repeat, one text is taken
+    found = texts.join(F.broadcast(chosen), "label_id").groupBy("label_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one"))
+    sample = kept(found.select("one.text", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic")))
     sample = sample.repartition(docs.sparkSession.sparkContext.defaultParallelism)
     n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if not n.get(1):
@@ -244,7 +246,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, supp
     share = docs.sparkSession.sparkContext.broadcast
     often = [r.key for r in _counted(sample.where("toxic = 1"), _beginnings).where(F.col("toxic") >= support).select("key").collect()]
     wanted = share(frozenset(often))
-    told = _counted(sample, lambda text: _beginnings(text) & wanted.value).where(F.col("toxic") >= F.lit(precision) * (F.col("toxic") + F.col("clean"))).collect()
+    told = _counted(sample, lambda text: _beginnings(text) & wanted.value).where(F.col("toxic") >= F.lit(precision) * (F.col("toxic") + F.col("clean"))).orderBy(F.desc("toxic"), "clean", "key").limit(TERMS).collect()
     entries = [(k.rstrip("$"), not k.endswith("$")) for k in _cover(sample.where("toxic = 1"), {r.key: (r.toxic, r.clean) for r in told})]
     draft = share(Lexicon(entries, {}, 0.0))
 

@@ -55,9 +55,17 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> Column:
     return out
 
 
+# what holds no links, and an anchor up to its href, past other attributes and their quoted values (as many as a
+# pattern can pass without growing its stack)
+_HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
+_OTHER = r"""[\s/]++(?!href\s*+=)[^\s"'>/=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++))?+"""
+_HREF = rf"""(?i)<a(?:{_OTHER}){{0,200}}+[\s/]++href\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++)"""
+
+
 def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """src, dst, n: links from hosts to other hosts."""
-    links = F.regexp_extract_all(F.coalesce(pages[html_col], F.lit("")), F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""), F.lit(1))
+    shown = F.regexp_replace(F.coalesce(pages[html_col], F.lit("")), _HIDDEN, " ")
+    links = F.transform(F.regexp_extract_all(shown, F.lit(_HREF), F.lit(1)), lambda x: F.btrim(x, F.lit("\"' \t\r\n")))
     rows = pages.select(host_of(pages[url_col]).alias("src"), links.alias("links")).where("src != ''")
     # a link without a host is one to its own
     absolute = F.transform(F.col("links"), lambda x: F.when(x.startswith("//"), F.concat(F.lit("http:"), x)).otherwise(x))

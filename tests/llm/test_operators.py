@@ -204,7 +204,8 @@ def slow_print(text, bins=512, bits=4):
         while at not in own:
             attempt += 1
             at = int(fingerprints.mix(np.array([(b * 0x9E3779B97F4A7C15 + attempt) % 2**64], np.uint64))[0]) % bins
-        out.append(own[at] % 2**bits)
+        mixed = lambda x: int(fingerprints.mix(np.array([x], np.uint64))[0])
+        out.append((own[at] if at == b else mixed(own[at] ^ mixed(b + 1))) % 2**bits)  # a borrowed value is hashed with the bin
     return out
 
 
@@ -245,6 +246,26 @@ def test_likeness_is_near_the_truth():
         assert abs(fingerprints.likeness(prints[:1], prints[1:])[0] - true) < 0.12
 
 
+def test_short_unrelated_texts_are_unlike():
+    texts = [text_of(1000 + k, 1 + k % 10) for k in range(400)]
+    prints = fingerprints.fingerprints(pa.array(texts))
+    for k in range(1, 400):
+        like = fingerprints.likeness(prints[k:], prints[:-k])
+        apart = [not shingles(x) & shingles(y) for x, y in zip(texts[k:], texts[:-k], strict=True)]
+        assert like[apart].max(initial=0) < 0.2
+    few = [" ".join(f"s{i}" for i in range(n)) for n in range(5, 12)]
+    near = fingerprints.fingerprints(pa.array(few))
+    for i, j in combinations(range(len(few)), 2):
+        a, b = shingles(few[i]), shingles(few[j])
+        assert abs(fingerprints.likeness(near[i : i + 1], near[j : j + 1])[0] - len(a & b) / len(a | b)) < 0.3
+
+
+def test_fingerprints_of_the_largest_id(spark):
+    data = [(2**63 - 1, "w%d" % (k % 50)) for k in range(600)] + [(-(2**63), "x"), (1, "y")]
+    got = fingerprints.compare_with_edits(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in data)
+
+
 def test_mixing(spark, docs, rows, empty):
     got = mixing.plan(docs).collect()
     size = Counter()
@@ -459,6 +480,25 @@ def test_levenshtein_lexicon():
     assert plain > quoted > lexicon.score("a fine day", {})[0]
 
 
+def test_links_are_those_that_a_page_shows(spark):
+    pages = [
+        '<a data-href="http://bad.net/x" href="http://good.org/">', '<!-- <a href="http://hidden.net/"> -->', "<a title='a>b' href=http://bare.org/x>", "<A\nclass=c\nHREF = 'http://single.org/'>",
+        '<script>var s = "<a href=\'http://script.net/\'>"</script>', '<abbr href="http://abbr.net/">', '<a title=\'href="http://fake.net/"\' href="//noscheme.org/p">', '<a href="/own">', '<a x="' + "y" * 200_000, "<a " + "b " * 50_000 + ">", '<!-- open <a href="http://late.net/">',
+    ]
+    df = spark.createDataFrame([("http://host.com/", p) for p in pages], "url string, html string")
+    assert {r.dst for r in url_filters.host_edges(df).collect()} == {"good.org", "bare.org", "single.org", "noscheme.org"}
+
+
+def test_toxicity_sample_takes_an_id_once(spark, monkeypatch):
+    rows = [(8, f"gromble text{k}") for k in range(3000)] + [(k, "gromble word") if k % 5 == 0 else (k, f"clean w{k}") for k in range(10, 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 5 == 0 or k == 8)) for k in (8, *range(10, 300))], "doc_id long, toxic int")
+    seen, cover = [], toxicity._cover
+    monkeypatch.setattr(toxicity, "_cover", lambda toxic, told: seen.append(toxic.count()) or cover(toxic, told))
+    lexicon = toxicity.learn(docs, labels)
+    assert seen[0] <= 60 and toxicity.score(docs.where("doc_id = 8"), lexicon).where("score >= 0.3").count() == 3000
+
+
 def test_toxicity_learns(spark):
     rng = np.random.default_rng(5)
     def doc(k):
