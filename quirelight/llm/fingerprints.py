@@ -18,6 +18,7 @@ a lone document is next to itself.  Extra columns are not read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -35,18 +36,25 @@ _EMPTY = np.iinfo(np.uint64).max
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+@functools.cache
+def _probes(bins: int, attempt: int) -> np.ndarray:
+    """The bin that each empty bin looks at in this attempt; in attempt 0 what a borrowed value is hashed with."""
+    own = np.arange(bins, dtype=U)
+    return mix(own + U(1)) if attempt == 0 else (mix(own * U(0x9E3779B97F4A7C15) + U(attempt)) % U(bins)).astype(np.int64)
+
+
 def _densified(table: np.ndarray) -> np.ndarray:
     """Fill the empty bins of each row; rows that are all empty stay so."""
     full = table != _EMPTY
     rows, bins = np.nonzero(~full & full.any(axis=1)[:, None])
-    out = table.copy()
+    out, size = table.copy(), table.shape[1]
     attempt = 0
     while len(rows):
         attempt += 1
-        probe = (mix(bins.astype(U) * U(0x9E3779B97F4A7C15) + U(attempt)) % U(table.shape[1])).astype(np.int64)
+        probe = _probes(size, attempt).take(bins)
         hit = full[rows, probe]
-        # else one borrowed value would decide all the low bits of a short text
-        out[rows[hit], bins[hit]] = mix(table[rows[hit], probe[hit]] ^ mix(bins[hit].astype(U) + U(1)))
+        # hashed with the bin, else one borrowed value would decide all the low bits of a short text
+        out[rows[hit], bins[hit]] = mix(table[rows[hit], probe[hit]] ^ _probes(size, 0).take(bins[hit]))
         rows, bins = rows[~hit], bins[~hit]
     return out
 
