@@ -215,6 +215,14 @@ def _entry(node: _Node, base: str) -> tuple | None:
     return (link or title).text().strip(), full(link.attrs.get("href")) if link else None, (written or "").strip() or None, year, abstract, [full(u) for u in urls]
 
 
+def entries_of(html: str, base: str) -> list[tuple]:
+    """The publications of a page, in either layout."""
+    tree = _Tree()
+    tree.feed(html)
+    nodes = list(tree.root.all("div", "cp-publication")) or list(tree.root.all("div", "biblio-entry"))
+    return [found for node in nodes if (found := _entry(node, base))]
+
+
 def parsed_entries(pages: DataFrame, base: str, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """id, nth, title, pub_url, authors, year, abstract, file_urls of each publication on each page, in either layout."""
     kinds = {"id": pa.int64(), "nth": pa.int32(), "title": pa.string(), "pub_url": pa.string(), "written": pa.string(), "year": pa.int32(), "abstract": pa.string(), "file_urls": pa.list_(pa.string())}
@@ -223,10 +231,7 @@ def parsed_entries(pages: DataFrame, base: str, id_col: str = "page_id", html_co
         for batch in batches:
             rows = []
             for key, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tree = _Tree()
-                tree.feed(html or "")
-                nodes = list(tree.root.all("div", "cp-publication")) or list(tree.root.all("div", "biblio-entry"))
-                rows += [(key, k, *found) for k, node in enumerate(nodes) if (found := _entry(node, base))]
+                rows += [(key, k, *found) for k, found in enumerate(entries_of(html or "", base))]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds.values())], names=list(kinds))
 
     made = pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).alias("html")).mapInArrow(run, "id long, nth int, title string, pub_url string, written string, year int, abstract string, file_urls array<string>")

@@ -1,8 +1,9 @@
 """Token-bounded chunks of documents.
 
-Fixed windows, sections and page attribution are column expressions within a
-row, so they need no shuffle.  Sentence packing is a fold whose state hangs on
-every earlier sentence; it runs over Arrow batches, a document at a time.
+Windows and sections are made within a row, so they need no shuffle; pages meet
+chunks within a row or, from two tables, bin by bin.  Sentence packing is a fold
+whose state hangs on every earlier sentence; like the windows, it runs over Arrow
+batches, a document at a time.
 """
 
 from __future__ import annotations
@@ -14,9 +15,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions.ids import chunk_id
 from ..functions.text import MARKER, SPACE, clean_text, strip, tokens
@@ -24,6 +27,7 @@ from ..functions.text import MARKER, SPACE, clean_text, strip, tokens
 # fixed values: markdown header, numbered header, upper-case label
 HEADERS = (r"^#{1,6}\s+", r"^\d+\.\s+", r"^[A-Z][A-Z\s]+:")
 _TOKEN, _END, _HEADER = re.compile(r"\s*\S+"), re.compile(r"[.!?;]+\s+"), re.compile("|".join(HEADERS))
+_OUT_CHARS = 1 << 21  # of chunks in a batch of results
 _PAGE = re.compile(r"--- Page (\d+) ---\s*$")
 Tokeniser = Callable[[str], list[str]]  # its tokens, of a stripped text, join to the text
 
@@ -80,10 +84,27 @@ class Limits:
         return self.size - self.overlap if self.overlap < self.size else self.size
 
 
-def running(lengths: Column) -> Column:
-    """The sum of an array's numbers before each of them."""
-    begun = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
-    return F.aggregate(lengths, begun, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+@F.arrow_udf(ArrayType(IntegerType()))
+def running(lengths: pa.Array) -> pa.Array:
+    """The sum of an array's numbers before each of them; one pass, whatever the arrays' sizes."""
+    cuts = lengths.offsets.to_numpy()
+    flat = lengths.values.to_numpy(zero_copy_only=False)[cuts[0] : cuts[-1]].astype(np.int64)
+    before = np.concatenate([[0], np.cumsum(flat)])
+    starts = cuts - cuts[0]
+    sums = before[:-1] - np.repeat(before[starts[:-1]], np.diff(starts))
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(sums.astype(np.int32)), mask=lengths.is_null())
+
+
+def _windows(text: str, limits: Limits) -> Iterator[tuple[int, int, int]]:
+    """(start, end, tokens) of each window; tokens lie end to end, so a window is a part of the text."""
+    ends = [0, *(m.end() for m in _TOKEN.finditer(text))]
+    n = len(ends) - 1
+    for s in range(0, n, limits.step):
+        if s == 0 or n - s >= limits.least:
+            e = min(n, s + limits.size)
+            yield ends[s], ends[e], e - s
+        if n < limits.least:
+            return
 
 
 def fixed_windows(docs: DataFrame, limits: Limits, id_col: str = "doc_id", text_col: str = "text", clean: bool = True) -> DataFrame:
@@ -93,16 +114,31 @@ def fixed_windows(docs: DataFrame, limits: Limits, id_col: str = "doc_id", text_
     out; windows go on to the end even if the one before reached it.
     """
     text = clean_text(docs[text_col]) if clean else docs[text_col]
-    rows = docs.select(docs[id_col].alias("doc"), tokens(F.coalesce(text, F.lit(""))).alias("t")).where("size(t) > 0")
-    n = F.size("t")
-    starts = F.filter(F.sequence(F.lit(0), n - 1, F.lit(limits.step)), lambda s: (s == 0) | (n - s >= limits.least))
-    cut = F.when(n < limits.least, F.array(F.lit(0))).otherwise(starts)
-    part = lambda s, size: F.slice("t", s + 1, F.lit(size))
-    rows = rows.select("doc", F.transform(cut, lambda s: F.struct(F.size(part(s, limits.size)).alias("n"), F.array_join(part(s, limits.size), "").alias("text"), F.length(F.array_join(part(s, limits.step), "")).alias("ahead"))).alias("w"))
-    rows = rows.withColumn("starts", running(F.transform("w", lambda x: x["ahead"])))
-    out = rows.select("doc", F.posexplode(F.arrays_zip("w", "starts")).alias("chunk_index", "x"))
-    out = out.select("doc", "chunk_index", F.col("x.starts").alias("char_start"), F.col("x.w.n").alias("n_tokens"), F.col("x.w.text").alias("text"))
-    return out.select("doc", "chunk_index", chunk_id(F.col("doc"), F.col("chunk_index")).alias("chunk_id"), "char_start", (F.col("char_start") + F.length("text")).alias("char_end"), "n_tokens", "text")
+    rows = docs.select(docs[id_col].alias("doc"), F.coalesce(text, F.lit("")).alias("text"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, held, row_of = [], 0, []
+            for i, value in enumerate(batch.column(1)):
+                body = value.as_py()
+                for k, (a, e, n) in enumerate(_windows(body, limits)):
+                    found.append((k, a, e, n, body[a:e]))
+                    row_of.append(i)
+                    held += e - a
+                    if held > _OUT_CHARS:
+                        yield made(batch, row_of, found)
+                        found, held, row_of = [], 0, []
+            yield made(batch, row_of, found)
+
+    def made(batch: pa.RecordBatch, row_of: list[int], found: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*found, strict=True)) or [()] * 5
+        arrays = [batch.column(0).take(pa.array(row_of, pa.int64())), *(pa.array(c, pa.int32()) for c in columns[:4]), pa.array(columns[4], pa.string())]
+        return pa.RecordBatch.from_arrays(arrays, names=["doc", "chunk_index", "char_start", "char_end", "n_tokens", "text"])
+
+    ints = ("chunk_index", "char_start", "char_end", "n_tokens")
+    schema = StructType([StructField("doc", rows.schema["doc"].dataType), *[StructField(c, IntegerType()) for c in ints], StructField("text", StringType())])
+    out = rows.mapInArrow(cut, schema)
+    return out.select("doc", "chunk_index", chunk_id(F.col("doc"), F.col("chunk_index")).alias("chunk_id"), "char_start", "char_end", "n_tokens", "text")
 
 
 def force_split(docs: DataFrame, most: int, overlap: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,6 +191,27 @@ def page_spans(text: Column) -> Column:
     return F.transform(F.arrays_zip(number.alias("page"), sums.alias("start"), F.slice(ends, 1, F.size(marks)).alias("end")), lambda x: F.struct(x["page"].alias("page"), x["start"].alias("start"), x["end"].alias("end")))
 
 
+def chunk_pages(chunks: DataFrame, pages: DataFrame, on: list[str], keep: list[str]) -> DataFrame:
+    """``on``, ``keep`` and ``pages`` of every chunk: the ascending distinct pages that its span overlaps.
+
+    ``chunks`` has on, keep, char_start, char_end; ``pages`` has on, page, start,
+    end.  Both are cut into bins as wide as a document's mean span, met bin by
+    bin, and a pair counts in the bin in which the later of the two begins, so
+    a document of very many pages is neither gathered nor compared pairwise.
+    Spans without characters meet nothing; null bounds neither.
+    """
+    spans = lambda rows, a, e: rows.where(F.col(a) < F.col(e)).groupBy(*on).agg(F.sum((F.col(e) - F.col(a)).cast("long")).alias("chars"), F.count(F.lit(1)).alias("spans"))
+    both = spans(chunks, "char_start", "char_end").unionAll(spans(pages, "start", "end"))
+    width = both.groupBy(*on).agg(F.greatest(F.lit(1), F.max(F.ceil(F.col("chars") / F.col("spans")))).cast("long").alias("__w"))
+    bins = lambda a, e: F.explode(F.sequence(F.floor(F.col(a) / F.col("__w")), F.floor((F.col(e) - 1) / F.col("__w")))).alias("__bin")
+    c = chunks.where("char_start < char_end").join(width, on).select(*on, *keep, "char_start", "char_end", "__w", bins("char_start", "char_end"))
+    p = pages.where("start < end").join(width, on).select(*on, "page", "start", "end", bins("start", "end"))
+    met = c.join(p, [*on, "__bin"]).where((F.col("char_start") < F.col("end")) & (F.col("char_end") > F.col("start")) & (F.col("__bin") == F.floor(F.greatest("char_start", "start") / F.col("__w"))))
+    found = met.groupBy(*on, *keep).agg(F.array_sort(F.collect_set("page")).alias("pages"))  # the pages of one chunk
+    none = F.expr("cast(array() as array<int>)")
+    return chunks.select(*on, *keep).join(found, [*on, *keep], "left").withColumn("pages", F.coalesce(F.col("pages").cast("array<int>"), none))
+
+
 def pages_of(start: Column, end: Column, spans: Column) -> Column:
     """Ascending distinct pages that overlap [start, end)."""
     hits = F.filter(spans, lambda p: (start < p["end"]) & (end > p["start"]))

@@ -42,6 +42,20 @@ def planned(publications: DataFrame, key: str, urls: str) -> DataFrame:
     return rows.select(key, "url", F.concat_ws("/", F.lit("raw/documents"), F.col(key).cast("string"), file_name(F.col("url"))).alias("path"))
 
 
+def hashed_plan(publications: DataFrame, key: str, urls: str, guess: str = "", folder: str = "raw/documents/openalex") -> DataFrame:
+    """key, url, path as the API's catalogue lays files out: the md5 of the url without query and fragment, with its extension.
+
+    Rows that repeat an address but for its query share a file.  A url without
+    an extension gets ``guess``.
+    """
+    rows = publications.where(F.size(urls) > 0).select(key, F.explode(urls).alias("url"))
+    bare = F.regexp_extract("url", r"(?s)^([^?#]*)", 1)
+    within = F.regexp_extract(bare, r"(?s)^[^:/]*://[^/]*(/.*)$", 1)
+    suffix = F.lower(F.regexp_extract(within, r"[^/.][^/]*?(\.[^./]+)$", 1))
+    name = F.concat(F.md5(bare.cast("binary")), F.when(suffix == "", F.lit(guess)).otherwise(suffix))
+    return rows.select(key, "url", F.concat_ws("/", F.lit(folder), F.col(key).cast("string"), name).alias("path"))
+
+
 def validity(size: Column, name: Column, header: Column, content_type: Column, html_passes: bool = False, both_for_pdf: bool = True) -> Column:
     """'ok' or why a file is refused; ``header`` holds its first bytes.
 

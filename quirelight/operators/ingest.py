@@ -114,6 +114,15 @@ class Collection:
         with self.store.begin() as t:
             t.delete("points", documents.select("document_id"), "document_id")
 
+    def renew(self, documents: DataFrame, points_: DataFrame) -> None:
+        """All points of the documents in column document_id replaced by ``points_``, at once."""
+        if not self.exists():
+            self.recreate(points_)
+            return
+        with self.store.begin() as t:
+            t.delete("points", documents.select("document_id"), "document_id")
+            t.upsert("points", points_, "point_id")
+
     def index(self) -> None:
         """Vectors and postings of the points as they are now."""
         version = self.store.version()

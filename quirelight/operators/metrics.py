@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import work_folder
+
+ACCURACY = 10_000  # of approximate percentiles: their rank is off by one in so many at most
+
 
 def stage_summary(runs: DataFrame, status: str, items: str, seconds: str, ok: str = "ok", skipped: str = "skipped") -> DataFrame:
     """One row: counts by outcome, items and time, average items a success, the stage's status.
@@ -26,19 +30,35 @@ def benchmark(rows: DataFrame, group: str, value: str, success: str) -> DataFram
     """group, n, success_rate, mean, median, p95, most of the successful values.
 
     p95 is the value at place min(int(.95 n), n - 1) of the sorted values, and
-    the median the mean of the middle two; both are found from counts of equal
-    values, so no group is gathered in one task unless all its values differ.
+    the median the mean of the middle two.  Approximate percentiles, whose
+    error in rank is bounded, give each group a narrow range for either; the
+    values below it are counted and only those inside are sorted (at most a
+    few in ``ACCURACY`` of a group, or all of a small one), so the places are
+    exact and no group is gathered.  Values are summed by group and compared
+    as they are; null ones do not count as successes.
     """
-    good = rows.where(success)
-    counts = good.groupBy(group, value).agg(F.count(F.lit(1)).alias("c"))
-    by = Window.partitionBy(group)
-    upto = counts.withColumn("upto", F.sum("c").over(by.orderBy(value))).withColumn("n", F.sum("c").over(by))
-    at = lambda place: F.min(F.when(F.col("upto") > place, F.col(value)))
-    spots = upto.groupBy(group).agg(
-        at(F.least(F.floor(F.col("n") * 95 / 100), F.col("n") - 1)).alias("p95"), ((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2).alias("median"), F.max(value).alias("most")
-    )
+    spark, path = rows.sparkSession, work_folder(rows.sparkSession)
+    good = rows.where(F.col(success) & F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("v"))
+    margin = 4 / ACCURACY  # twice the error and what whole places add
+    ends = [max(0.0, 0.5 - margin), min(1.0, 0.5 + margin), 0.95 - margin, min(1.0, 0.95 + margin)]
+    bounds = good.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", ends, ACCURACY).alias("q"), F.min("v").alias("least"), F.max("v").alias("most"))
+    whole = F.col("n") <= ACCURACY
+    edges = [F.when(whole, F.col("least" if k % 2 == 0 else "most")).otherwise(F.get("q", F.lit(k))).alias(name) for k, name in enumerate(("lo50", "hi50", "lo95", "hi95"))]
+    bounds.select("g", "n", "most", *edges).write.parquet(path)  # a row a group, read twice and the same both times
+    bounds = spark.read.parquet(path)
+    ranged = good.join(bounds.select(F.col("g").alias("of"), "lo50", "hi50", "lo95", "hi95"), F.col("g").eqNullSafe(F.col("of")))
+    below = ranged.groupBy("g").agg(F.count_if(F.col("v") < F.col("lo50")).alias("b50"), F.count_if(F.col("v") < F.col("lo95")).alias("b95"))
+    inside = lambda k: (F.col("v") >= F.col(f"lo{k}")) & (F.col("v") <= F.col(f"hi{k}"))
+    counts = ranged.where(inside(50) | inside(95)).groupBy("g", "v", inside(50).alias("in50"), inside(95).alias("in95")).agg(F.count(F.lit(1)).alias("c"))
+    upto = lambda k: F.sum(F.when(F.col(f"in{k}"), F.col("c")).otherwise(0)).over(Window.partitionBy("g").orderBy("v")).alias(f"upto{k}")
+    sums_ = counts.select("g", "v", "in50", "in95", upto(50), upto(95)).join(below.withColumnRenamed("g", "of"), F.col("g").eqNullSafe(F.col("of"))).drop("of")
+    sums_ = sums_.join(bounds.select(F.col("g").alias("of"), "n"), F.col("g").eqNullSafe(F.col("of"))).drop("of")
+    at = lambda k, place: F.min(F.when(F.col(f"in{k}") & (F.col(f"b{k}") + F.col(f"upto{k}") > place), F.col("v")))
+    spots = sums_.groupBy("g").agg(at(95, F.least(F.floor(F.col("n") * 95 / 100), F.col("n") - 1)).alias("p95"), ((at(50, F.floor((F.col("n") - 1) / 2)) + at(50, F.floor(F.col("n") / 2))) / 2).alias("median"))
+    spots = spots.join(bounds.select(F.col("g").alias("of"), "most"), F.col("g").eqNullSafe(F.col("of"))).drop("of")
     sums = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col(success).cast("double")), 3).alias("success_rate"), F.round(F.avg(F.when(F.col(success), F.col(value))), 3).alias("mean"))
-    return sums.join(spots, group, "left").select(group, "n", "success_rate", "mean", F.round("median", 3).alias("median"), F.round("p95", 3).alias("p95"), F.round("most", 3).alias("most"))
+    found = sums.join(spots, F.col(group).eqNullSafe(F.col("g")), "left")
+    return found.select(group, "n", "success_rate", "mean", F.round("median", 3).alias("median"), F.round("p95", 3).alias("p95"), F.round("most", 3).alias("most"))
 
 
 def cost(usage: DataFrame, rates: DataFrame, machine: str, hours: str, gigabytes: str, default_rate: float = 0.20, per_gb_month: float = 0.020) -> DataFrame:

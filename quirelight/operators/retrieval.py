@@ -148,10 +148,14 @@ def context(hits: DataFrame, text_col: str, most: int, first: int = 0) -> DataFr
     return hits.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n\n").alias("context"))
 
 
+_JOINTS = re.compile(r"\s*[;?]\s*|\s+(?:and|or|versus|vs\.?|compared (?:to|with))\s+", re.IGNORECASE)
+
+
 def analysed(query: str, most: int = 3) -> tuple[list[str], dict]:
-    """The query itself, and the year it names, if it names one."""
+    """The query itself, then the parts of a compound one (of two words at least); and the year it names, if it names one."""
     years = re.findall(r"\b(?:19|20)\d{2}\b", query)
-    return [query][:most], {"year": int(years[0])} if len(set(years)) == 1 else {}
+    parts = [p for p in _JOINTS.split(query) if len(p.split()) > 1 and p != query.strip(" ?;")]
+    return list(dict.fromkeys([query, *(parts if len(parts) > 1 else [])]))[:most], {"year": int(years[0])} if len(set(years)) == 1 else {}
 
 
 @dataclass
@@ -165,12 +169,19 @@ class Agent:
     analyse: Callable[[str], tuple[list[str], dict]] = lambda query: analysed(query)
     grade: Callable[[DataFrame], DataFrame] = lambda hits: hits
     synthesise: Callable[[str, DataFrame], str] = lambda query, hits: "\n".join(f"[{r['rank']}] {r['id']}" for r in hits.orderBy("rank").collect())
+    cite: Callable[[str, DataFrame], DataFrame] | None = None  # source_number and what it names of each source
+    fill: tuple[str, ...] = ()  # what a citation lacks and its hit has
     most_tries: int = 2
     nothing: str = "No relevant passages were found."
+    failed: str = "No answer could be made."
     tried: list[dict] = field(default_factory=list)
 
     def ask(self, query: str, filters: dict | None = None, top_k: int = TOP_K) -> dict:
-        """answer, hits, queries; a query over 2000 characters or empty is refused."""
+        """answer, hits, queries, citations; a query over 2000 characters or empty is refused.
+
+        What a citation leaves blank comes from the hit that it numbers; a
+        citation step that fails leaves none, a synthesis that fails says so.
+        """
         if not 1 <= len(query) <= 2000:
             raise ValueError("a query has 1 to 2000 characters")
         try:
@@ -186,5 +197,20 @@ class Agent:
             except Exception:  # a failed grading keeps all
                 hits = raw
             if not hits.isEmpty():
-                return {"answer": self.synthesise(query, hits), "hits": hits, "queries": queries}
-        return {"answer": self.nothing, "hits": hits, "queries": queries}
+                return {"hits": hits, "queries": queries} | self._told(query, hits)
+        return {"answer": self.nothing, "hits": hits, "queries": queries, "citations": None}
+
+    def _told(self, query: str, hits: DataFrame) -> dict:
+        try:
+            answer = self.synthesise(query, hits)
+        except Exception:  # as for the other steps, the failure is the answer
+            return {"answer": self.failed, "citations": None}
+        try:
+            cited = self.cite(query, hits) if self.cite else None
+        except Exception:
+            cited = None
+        if cited is None:
+            return {"answer": answer, "citations": None}
+        fill = [c for c in self.fill if c in hits.columns]
+        missing = [c for c in fill if c not in cited.columns]
+        return {"answer": answer, "citations": with_citations(cited.withColumns({c: F.lit("") for c in missing}), hits, fill)}

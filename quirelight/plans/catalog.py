@@ -220,8 +220,7 @@ def _(read):
     return chunking.sections(_talks(read).withColumn("text", text.clean_text(F.col("text"))), 50, "conv_id")
 
 
-@query(
-    "J8_chunk_pages",
+_J8 = (
     _windows(_TALKS, "conv_id", 50, 10, 10)
     + r""", l AS (SELECT conv_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM """
     + _TALKS
@@ -229,8 +228,20 @@ def _(read):
 o AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM l),
 m AS (SELECT conv_id, CAST(regexp_extract(line, '(\d+)', 1) AS INT) AS page, pos, coalesce(lead(pos) OVER (PARTITION BY conv_id ORDER BY i), length(text) + 1) AS until FROM o WHERE regexp_matches(line, '^--- Page \d+ ---\s*$'))
 SELECT c.doc, c.chunk_index, c.char_start, c.char_end, coalesce(string_agg(DISTINCT CAST(page AS VARCHAR), ',' ORDER BY CAST(page AS VARCHAR)) , '') AS pages
-FROM chunks c LEFT JOIN m ON m.conv_id = c.doc AND c.char_start < m.until AND c.char_end > m.pos GROUP BY ALL""",
+FROM chunks c LEFT JOIN m ON m.conv_id = c.doc AND c.char_start < m.until AND c.char_end > m.pos GROUP BY ALL"""
 )
+
+
+@query("J8_interval_join", _J8)
+def _(read):
+    talks = _talks(read)
+    chunks = chunking.fixed_windows(talks, chunking.Limits(50, 10, 10), "conv_id")
+    pages = talks.select(F.col("conv_id").alias("doc"), F.inline(chunking.page_spans(F.col("text"))))
+    out = chunking.chunk_pages(chunks, pages, ["doc"], ["chunk_index", "char_start", "char_end"])
+    return out.withColumn("pages", F.array_join(F.array_sort(F.col("pages").cast("array<string>")), ","))
+
+
+@query("J8_chunk_pages", _J8)
 def _(read):
     talks = _talks(read)
     spans = talks.select(F.col("conv_id").alias("d"), chunking.page_spans(F.col("text")).alias("spans"))
@@ -245,9 +256,35 @@ def _listed(made: DataFrame) -> DataFrame:
 
 _FIXED_ROWS = _windows("documents", "doc_id", 100, 20, 20) + "SELECT CAST(doc AS VARCHAR) AS doc, chunk_index, chunk_id, 'fixed' AS strategy, CAST(NULL AS VARCHAR) AS title, char_start, char_end, n_tokens, text, '' AS pages FROM chunks"
 
+_COUNT = f"len(regexp_extract_all({{}}, '{text.TOKEN.replace('{', '{{').replace('}', '}}')}'))"
+_TAIL = f"array_to_string(regexp_extract_all({{0}}, '{text.TOKEN.replace('{', '{{').replace('}', '}}')}')[-20:], '')"
+_FIXED_WINDOWS = _windows("documents", "doc_id", 100, 20, 20) + "SELECT * FROM chunks"
+# sentence by sentence: what is held, where it begins, how many chunks are out, and what this step puts out
+_SENTENCE_ROWS = rf"""WITH RECURSIVE cut AS (
+  SELECT doc_id AS doc, list_filter(string_split(regexp_replace(t, '([.!?;]+[{_SP}]+)', '\1' || chr(1), 'g'), chr(1)), lambda x: length(x) > 0) AS s FROM (SELECT doc_id, {_CLEAN} AS t FROM documents)
+), step AS (
+  SELECT doc, s, CAST(0 AS BIGINT) AS i, '' AS held, CAST(0 AS BIGINT) AS ht, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS place, CAST(0 AS BIGINT) AS n_out, CAST(NULL AS VARCHAR) AS chunk, CAST(0 AS BIGINT) AS chunk_start FROM cut WHERE len(s) > 0
+  UNION ALL
+  SELECT doc, s, i + 1, CASE WHEN NOT full_ THEN held || one WHEN more > 0 THEN {_TAIL.format("whole")} || ' ' || one ELSE one END,
+    CASE WHEN NOT full_ THEN ht + n WHEN more > 0 THEN {_COUNT.format("(" + _TAIL.format("whole") + " || ' ' || one)")} ELSE n END,
+    CASE WHEN NOT full_ THEN start WHEN more > 0 THEN start + length(whole) - length({_TAIL.format("whole")}) ELSE place END,
+    place + length(one), CASE WHEN full_ THEN more ELSE n_out END, CASE WHEN full_ AND kept THEN whole END, start
+  FROM (SELECT *, n_out + CASE WHEN kept THEN 1 ELSE 0 END AS more FROM (SELECT *, {_COUNT.format("whole")} >= 20 AS kept FROM (
+    SELECT *, held <> '' AND ht + n > 100 AS full_, {_STRIP.format("held")} AS whole FROM (SELECT *, coalesce(s[i + 1], '') AS one, {_COUNT.format("coalesce(s[i + 1], '')")} AS n FROM step WHERE i < len(s)))))
+), out AS (
+  SELECT doc, i, chunk, chunk_start FROM step WHERE chunk IS NOT NULL
+  UNION ALL SELECT doc, i + 1, {_STRIP.format("held")}, start FROM step WHERE i = len(s) AND {_COUNT.format("held")} >= 20
+), toks AS (SELECT doc, i, chunk_start, regexp_extract_all(chunk, '{text.TOKEN}') AS t FROM out
+), parts AS (
+  SELECT doc, i, k, 'sentence' AS strategy, chunk_start, array_to_string(t[k + 1:k + 200], '') AS part FROM (SELECT *, unnest(CASE WHEN len(t) <= 200 THEN [0] ELSE range(0, len(t), 180) END) AS k FROM toks)
+  UNION ALL SELECT doc, chunk_index, 0, 'fixed', char_start, text FROM ({_FIXED_WINDOWS}) WHERE doc NOT IN (SELECT doc FROM out)
+), numbered AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY i, k) - 1 AS chunk_index FROM parts)
+SELECT CAST(doc AS VARCHAR) AS doc, CAST(chunk_index AS BIGINT) AS chunk_index, doc || '_chunk_' || lpad(CAST(chunk_index AS VARCHAR), CAST(greatest(4, length(CAST(chunk_index AS VARCHAR))) AS INT), '0') AS chunk_id, strategy, CAST(NULL AS VARCHAR) AS title,
+  chunk_start AS char_start, CAST(chunk_start + length(part) AS BIGINT) AS char_end, CAST({_COUNT.format("part")} AS BIGINT) AS n_tokens, part AS text, '' AS pages FROM numbered"""
+
 for _strategy in chunking.STRATEGIES:
 
-    @query(f"H10_chunks_{_strategy}", _FIXED_ROWS if _strategy == "fixed" else None)
+    @query(f"H10_chunks_{_strategy}", {"fixed": _FIXED_ROWS, "sentence": _SENTENCE_ROWS}.get(_strategy))
     def _(read, strategy=_strategy):
         return _listed(chunking.chunks(read("documents"), strategy, SMALL))
 
@@ -794,9 +831,9 @@ def _(read):
     return read("orders").select("o_orderkey", paths.content_length(F.when(k % 3 == 0, F.concat(F.lit(" "), k.cast("string"))).when(k % 3 == 1, F.lit("-7")).otherwise(F.lit("12x"))).alias("n"))
 
 
-@query("F17_kept_enough", "SELECT doc_id, length(text) = 0 OR length(substr(text, 1, 400)) >= 0.5 * length(text) AS enough FROM documents WHERE text IS NOT NULL")
+@query("F17_kept_enough", "SELECT doc_id, length(text) = 0 OR length(regexp_replace(text, '[a-m]', '', 'g')) >= 0.5 * length(text) AS enough FROM documents WHERE text IS NOT NULL")
 def _(read):
-    return read("documents").where("text is not null").select("doc_id", transcripts.kept_enough(F.col("text"), F.substring("text", 1, 400)).alias("enough"))
+    return read("documents").where("text is not null").select("doc_id", transcripts.kept_enough(F.col("text"), F.regexp_replace("text", "[a-m]", "")).alias("enough"))
 
 
 @query("DT4_uptime", "SELECT user_id, round((max(epoch(ts)) - min(epoch(ts))) / 3600, 4) AS hours FROM (SELECT user_id, date_trunc('second', ts) AS ts FROM events) GROUP BY user_id")
@@ -847,3 +884,66 @@ def _(read):
     html = F.when(k == 0, graph).when(k == 1, single).otherwise(F.lit('<script type="application/ld+json">not json</script>'))
     rows = read("pages").select("page_id", records.structured_data(html).alias("d"))
     return rows.select("page_id", "d.year", F.array_join("d.authors", "|").alias("authors"))
+
+
+# ---- over the pages' own html, and functions on the tables' own values
+
+
+@query(
+    "R14_entries_of_pages",
+    r"""WITH links AS (SELECT page_id, regexp_extract_all(html, '<li><a href="([^"]*)">', 1) AS urls, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a></li>', 1) AS titles FROM pages)
+SELECT page_id AS id, CAST(i AS BIGINT) AS nth, trim(replace(titles[i + 1], '&amp;', '&')) AS title, 'https://x.org' || replace(urls[i + 1], '&amp;', '&') AS pub_url FROM (SELECT *, unnest(range(0, len(urls))) AS i FROM links)""",
+)
+def _(read):
+    entry = '<div class="cp-publication"><h2 class="publication-title"><a href="$1">$2</a></h2></div>'
+    pages = read("pages").withColumn("html", F.regexp_replace("html", r'<li><a href="([^"]*)">([^<]*)</a></li>', entry))
+    return records.parsed_entries(pages, "https://x.org/publications").select("id", "nth", "title", "pub_url")
+
+
+@query("M8_of_pages", """SELECT page_id, CAST(1900 + length(html) % 100 AS BIGINT) AS year, regexp_extract(html, 'lang="([a-z]+)"', 1) AS authors FROM pages""")
+def _(read):
+    said = F.struct(F.lit("ScholarlyArticle").alias("@type"), F.concat(F.lit("in "), (1900 + F.length("html") % 100).cast("string")).alias("datePublished"), F.array(F.struct(F.regexp_extract("html", 'lang="([a-z]+)"', 1).alias("name"))).alias("author"))
+    html = F.regexp_replace("html", "</title>", F.concat(F.lit('</title><script type="application/ld+json">'), F.to_json(said), F.lit("</script>")))
+    return read("pages").select("page_id", records.structured_data(html).alias("d")).select("page_id", "d.year", F.array_join("d.authors", "|").alias("authors"))
+
+
+@query("F9_absolute", r"SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://base.org' || p WHEN 1 THEN 'https:' || regexp_replace(url, '^[a-z]+:', '') ELSE url END AS url FROM (SELECT *, '/' || regexp_extract(url, '^[a-z]+://[^/]*/(.*)$', 1) AS p FROM pages)")
+def _(read):
+    k = F.col("page_id") % 3
+    path = F.concat(F.lit("/"), F.regexp_extract("url", "^[a-z]+://[^/]*/(.*)$", 1))
+    url = F.when(k == 0, path).when(k == 1, F.regexp_replace("url", "^[a-z]+:", "")).otherwise(F.col("url"))
+    return read("pages").select("page_id", text.absolute(url, "https://base.org").alias("url"))
+
+
+@query("P14_normal_doi", "SELECT p_partkey, CASE WHEN p_partkey % 5 < 4 THEN '10.' || p_partkey || '/' || replace(lower(p_name), ' ', '-') END AS doi FROM part")
+def _(read):
+    bare = F.concat(F.lit("10."), F.col("p_partkey").cast("string"), F.lit("/"), F.translate("p_name", " ", "-"))
+    forms = [bare, F.concat(F.lit(" DOI: "), bare), F.concat(F.lit("http://dx.doi.org/"), F.upper(bare)), F.concat(F.lit("doi.org/"), bare, F.lit("\t")), F.col("p_name")]
+    given = forms[4]
+    for k, form in enumerate(forms[:4]):
+        given = F.when(F.col("p_partkey") % 5 == k, form).otherwise(given)
+    return read("part").select("p_partkey", text.normal_doi(given).alias("doi"))
+
+
+@query("F19_reference_line", "SELECT c_custkey, c_name || ', ' || c_mktsegment || CASE WHEN c_custkey % 3 > 0 THEN ' (' || (1950 + c_custkey % 70) || ').' ELSE '' END || ' T ' || c_nationkey || '. u/' || c_custkey AS line FROM customer")
+def _(read):
+    key = F.col("c_custkey")
+    year = F.when(key % 3 > 0, (1950 + key % 70).cast("int"))
+    title = F.concat(F.lit("T "), F.col("c_nationkey").cast("string"))
+    return read("customer").select("c_custkey", text.reference_line(F.array("c_name", "c_mktsegment"), year, title, F.concat(F.lit("u/"), key.cast("string"))).alias("line"))
+
+
+@query(
+    "M9_api_records",
+    "SELECT 'W' || o_orderkey AS paper_id, o_orderstatus AS title, o_orderpriority || '|' || o_orderstatus AS authors, CAST(year(o_orderdate) AS BIGINT) AS year, o_orderstatus || ' of  ' || o_orderpriority AS abstract, 'https://l.org/' || o_orderkey AS pub_url, CASE WHEN o_orderkey % 2 = 0 THEN '10.1/' || o_orderkey ELSE '' END AS file_urls, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey END AS BIGINT) AS cited_by_count FROM orders",
+)
+def _(read):
+    key = F.col("o_orderkey")
+    name = lambda c: F.struct(F.struct(c.cast("string").alias("display_name")).alias("author"))
+    spots = F.map_from_arrays(F.array(F.concat(F.col("o_orderstatus"), F.lit(" of")), F.col("o_orderpriority")), F.array(F.array(F.lit(0)), F.array(F.lit(2))))
+    raw = read("orders").select(
+        F.concat(F.lit("https://openalex.org/W"), key.cast("string")).alias("id"), F.col("o_orderstatus").alias("title"), F.array(name(F.col("o_orderpriority")), name(F.lit(None)), name(F.col("o_orderstatus"))).alias("authorships"), F.year("o_orderdate").alias("publication_year"),
+        spots.alias("abstract_inverted_index"), F.struct(F.concat(F.lit("https://l.org/"), key.cast("string")).alias("landing_page_url")).alias("primary_location"), F.when(key % 2 == 0, F.concat(F.lit("10.1/"), key.cast("string"))).alias("doi"), F.when(key % 3 != 0, F.col("o_custkey")).alias("cited_by_count"),
+    )
+    made = records.api_records(raw).drop("source_id")
+    return made.withColumn("authors", F.array_join("authors", "|")).withColumn("file_urls", F.array_join("file_urls", "|"))

@@ -53,6 +53,7 @@ class Answer:
     answer: str
     hits: tuple[Hit, ...]
     queries: tuple[str, ...]
+    citations: tuple[dict, ...] = ()
 
     @property
     def count(self) -> int:
@@ -75,7 +76,7 @@ class Service:
 
     def _hits(self, ranked: DataFrame) -> tuple[Hit, ...]:
         points = self.collection.read().drop("dense", "sparse")
-        rows = ranked.join(points, F.col("id") == F.col("point_id")).orderBy("rank").collect()  # MOST_K at most
+        rows = ranked.select("id", "score", "rank").join(points, F.col("id") == F.col("point_id")).orderBy("rank").collect()  # MOST_K at most
         return tuple(Hit(r.point_id, r.document_id, r.score, r.text_content, tuple(r.page_numbers), r.document_title, r.document_year) for r in rows)
 
     def chunks(self, request: Request) -> tuple[Hit, ...]:
@@ -84,10 +85,16 @@ class Service:
         return self._hits(self._ranked([request.query], body.get("filters", {}), body["top_k"]))
 
     def search(self, request: Request, **steps: object) -> Answer:
-        """The agent's answer; ``steps`` replace its analysis, grading or synthesis."""
+        """The agent's answer; ``steps`` replace its analysis, grading, synthesis or citations."""
         body = request.body()
-        found = retrieval.Agent(self._ranked, **steps).ask(request.query, body.get("filters", {}), body["top_k"])
-        return Answer(found["answer"], self._hits(found["hits"]), tuple(found["queries"]))
+        found = retrieval.Agent(self._described, **{"fill": ("document_title", "document_year", "document_authors"), **steps}).ask(request.query, body.get("filters", {}), body["top_k"])
+        cited = found["citations"].orderBy("source_number").collect() if found["citations"] is not None else []
+        return Answer(found["answer"], self._hits(found["hits"]), tuple(found["queries"]), tuple(r.asDict() for r in cited))
+
+    def _described(self, queries: list[str], filters: dict, k: int) -> DataFrame:
+        """Ranked hits with what the answer and its citations tell of them."""
+        points = self.collection.read().select("point_id", "text_content", "document_id", "document_title", "document_year", F.array_join("document_authors", ", ").alias("document_authors"))
+        return self._ranked(queries, filters, k).join(points, F.col("id") == F.col("point_id")).drop("point_id")
 
     def health(self) -> dict:
         return self.collection.health()

@@ -14,6 +14,7 @@ from ..functions import paths
 from ..operators import chunking, downloads, retrieval, tracking
 from ..sources import readers, writers
 from ..sources.snapshots import Store
+from .observed import observed
 from .runner import Runner, merged, report
 
 
@@ -102,7 +103,7 @@ def run(spark: SparkSession, name: str, source: str, sink: str, limit: int = 0,
         STAGES[name](docs.orderBy(docs.columns[0]).limit(limit) if limit else docs).write.mode("overwrite").parquet(sink)
         return {"rows": spark.read.parquet(sink).agg(F.count(F.lit(1))).first()[0]}
 
-    return report(Runner([(name, stage)], dry=dry).run())
+    return report(Runner([(name, observed(spark, name, stage))], dry=dry).run())
 
 
 def main(arguments: list[str] | None = None) -> int:

@@ -1,6 +1,7 @@
 """Operators without a query of their own, against literal expectations."""
 
 import json
+import random
 import re
 
 import pytest
@@ -343,12 +344,42 @@ def test_cleaning(spark):
         seen.append((k, n, before))
         return part.upper()
 
-    assert transcripts.cleaned("a b.\n\nc d.", clean, 2) == ("A B.\n\nC D.", None) and seen == [(0, 2, None), (1, 2, "A B.")]
-    assert transcripts.cleaned("x" * 100, lambda *_: "y" * 22) == (None, "cleaned text is 22% of the raw length")
+    assert transcripts.carried(transcripts.segments("a b.\n\nc d.", 2), clean) == "A B.\n\nC D." and seen == [(0, 2, None), (1, 2, "A B.")]
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     got = transcripts.clean_all(docs, lambda part, k, n, before: part * 2, "doc_id", "text").collect()
     assert sorted(map(tuple, got)) == [("1", 1, "a ba b", None), ("2", 1, "", None)]
 
+    def breaks(part, k, n, before):
+        if "bad" in part:
+            raise ValueError("no answer")
+        return part[:22]
+
+    docs = spark.createDataFrame([(1, "x" * 100), (2, "bad"), (3, "fine")], "doc_id long, text string")
+    made = transcripts.clean_all(docs, breaks, "doc_id", "text")
+    assert {r.doc: (r.text, r.error) for r in made.collect()} == {"1": (None, "too short: 22 of 100 characters are left"), "2": (None, "no answer"), "3": ("fine", None)}
+
+
+def test_spans_fit_and_tile():
+    rng = random.Random(4)
+    for _ in range(200):
+        raw = "".join(rng.choice(["word ", "a. ", "\n\n", "b! ", "\n", "x" * 9 + " "]) for _ in range(rng.randrange(60)))
+        found = transcripts.spans(raw, 5)
+        assert [raw[a:b] for a, b in found] == [] if not raw else "".join(raw[a:b] for a, b in found) == raw
+        for a, b in found:
+            part = raw[a:b].strip()
+            assert len(part.split()) <= 5 or not re.search(r"[.!?]\s|\n\s*\n", part)
+
+
+def test_transcripts_are_published_once(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "talks"))
+    rows = spark.createDataFrame([("01_intro", "a"), ("02_next", None)], "doc string, text string")
+    facts = spark.createDataFrame([("01_intro", "Intro", 1)], "doc string, title string, number int")
+    assert transcripts.publish(rows, store, facts) == 1
+    assert transcripts.publish(rows.unionAll(spark.createDataFrame([("02_next", "late")], rows.schema)), store, facts) == 1
+    assert transcripts.publish(rows, store) == 0
+    assert {r.doc: json.loads(r.record) for r in store.read("records").collect()} == {"01_intro": {"doc": "01_intro", "title": "Intro", "number": 1, "n_chars": 1}, "02_next": {"doc": "02_next", "n_chars": 4}}
+    assert {(r.doc, r.text) for r in store.read("texts").collect()} == {("01_intro", "a"), ("02_next", "late")}
+
 
 # ---- sources and sinks
 
@@ -470,7 +501,7 @@ def test_extension_points(spark):
 def test_stage_runner(spark, tmp_path):
     spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "in"))
     told = stages.run(spark, "status", str(tmp_path / "in"), str(tmp_path / "out"))
-    assert told["exit_code"] == 0 and told["components"][0]["metrics"] == {"rows": 2}
+    assert told["exit_code"] == 0 and told["components"][0]["metrics"]["rows"] == 2 and told["components"][0]["metrics"]["spark"]["tasks"] > 0
     assert stages.run(spark, "chunk", str(tmp_path / "none"), str(tmp_path / "out2"))["exit_code"] == 1
 
 
