@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StringType, StructField, StructType
 
@@ -35,6 +35,7 @@ from .dense import _orders, best_of
 
 SEGMENT_DOCS, SEGMENT_TOKENS = 4096, 1 << 21
 ASKED = 1024  # queries that one task scores at once
+AT_ONCE = 32  # segments that are scored without ruling any out
 FIRST = 2  # segments a query scores before others are ruled out
 FEW = 100_000  # terms that are sent to all tasks
 SLACK = 2e-6  # more than rounding can move a score
@@ -125,43 +126,45 @@ def asked_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query", F.explode(F.array_distinct(words)).alias("term"))
 
 
-def ranked(rows: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
-    """query, id, score, rank over stored ``segments`` rows."""
+def ranked(rows: DataFrame, queries: DataFrame, k: int, n_docs: int, n_segments: int, digits: int = 6) -> DataFrame:
+    """query, id, score, rank over stored ``segments`` rows, of so many documents in so many segments.
+
+    Few segments are all scored at once; of more, only those that can hold a hit.
+    """
     from .retrieval import best
 
-    spark = rows.sparkSession
+    spark, many = rows.sparkSession, queries.count()
     folder = work_folder(spark)
-    n_docs = rows.where("term is null").agg(F.sum("n")).first()[0] or 0
-    asked_terms(queries).write.parquet(f"{folder}/asked")
-    asked = spark.read.parquet(f"{folder}/asked")
+    asked = asked_terms(queries)
     # the columns of a row but its places: what the search is planned by
     heads = rows.where("term is not null").select("segment", "term", "n", "top").join(asked.select("term").distinct(), "term", "left_semi")
     frequency = heads.groupBy("term").agg(F.sum("n").alias("df"))
     idf = frequency.select("term", F.log1p((F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     asked.join(idf, "term").write.parquet(f"{folder}/weighed")
     weighed = spark.read.parquet(f"{folder}/weighed")
-    promised = heads.join(weighed, "term").groupBy("query", "segment").agg(F.sum(F.col("top") * F.col("idf")).alias("promise"))
-    promised.write.parquet(f"{folder}/promised")
+    if n_segments <= AT_ONCE:
+        every = rows.where("term is null").select("segment").crossJoin(queries.select("query").distinct())  # AT_ONCE rows a query at most
+        return best(_scores(rows, weighed, every, many, k, digits), k, ["query"], "id")
+    heads.join(weighed, "term").groupBy("query", "segment").agg(F.sum(F.col("top") * F.col("idf")).alias("promise")).write.parquet(f"{folder}/promised")
     promised = spark.read.parquet(f"{folder}/promised")
     first = best(promised, FIRST, ["query"], "segment", "promise").select("query", "segment")
-    _scores(rows, weighed, first, k, digits).write.parquet(f"{folder}/first")
+    _scores(rows, weighed, first, many, k, digits).write.parquet(f"{folder}/first")
     found = spark.read.parquet(f"{folder}/first")
     least = best(found, k, ["query"], "id").where(F.col("rank") == k).select("query", F.col("score").alias("least"))
     others = promised.join(first, ["query", "segment"], "left_anti").join(least, "query", "left")
     left = others.where(F.col("least").isNull() | (F.col("promise") >= F.col("least") - SLACK)).select("query", "segment")
-    return best(found.unionByName(_scores(rows, weighed, left, k, digits)), k, ["query"], "id")
+    return best(found.unionByName(_scores(rows, weighed, left, many, k, digits)), k, ["query"], "id")
 
 
-def _scores(rows: DataFrame, weighed: DataFrame, wanted: DataFrame, k: int, digits: int) -> DataFrame:
+def _scores(rows: DataFrame, weighed: DataFrame, wanted: DataFrame, many: int, k: int, digits: int) -> DataFrame:
     """query, id, score: the first k of each wanted query and segment.
 
-    A task takes a segment and ``ASKED`` queries at most: the segment's rows of
-    their terms, each once, and which queries ask them.
+    A task takes a segment and about ``ASKED`` of the ``many`` queries: the
+    segment's rows of their terms, each once, and which queries ask them.
     """
     kinds = {f.name: f.dataType for f in weighed.schema}
     id_kind = next(f.dataType.elementType for f in rows.schema if f.name == "ids")
-    part = F.pmod(F.xxhash64("query"), F.lit(1 << 30))
-    counted = wanted.withColumn("part", F.floor(part / F.greatest(F.lit(1), F.floor(F.lit((1 << 30) * ASKED) / F.greatest(F.lit(ASKED), F.lit(_many(weighed)))))).cast("int"))
+    counted = wanted.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(-(-many // ASKED) or 1)).cast("int"))
     asks = counted.join(weighed, "query").groupBy("segment", "part", "term").agg(F.collect_list(F.struct("query", "idf")).alias("asks"))  # one part's queries at most
     places = rows.where("term is not null").select("segment", "term", "at", "tf").join(asks, ["segment", "term"])
     heads = rows.where("term is null").select("segment", "ids", "lengths").join(counted.select("segment", "part").distinct(), "segment")
@@ -210,10 +213,6 @@ def _scores(rows: DataFrame, weighed: DataFrame, wanted: DataFrame, k: int, digi
     return dealt.mapInArrow(score, StructType([StructField("query", kinds["query"]), StructField("id", id_kind), StructField("score", DoubleType())]))
 
 
-def _many(weighed: DataFrame) -> int:
-    return weighed.select("query").distinct().count()
-
-
 @dataclass
 class Index:
     """An inverted index in a store, as table ``name``."""
@@ -224,16 +223,18 @@ class Index:
     def build(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> None:
         """Index all documents; segments are made once, then laid out by term."""
         path = work_folder(self.store.spark)
-        segments(docs, id_col, text_col).write.parquet(path)
+        sizes = _stored(segments(docs, id_col, text_col), path)
         # the rows of ids are few; they go by segment, to all buckets alike
         rows = self.store.spark.read.parquet(path).withColumn("place", F.coalesce("term", "segment"))
         with self.store.begin() as t:
             t.replace(self.name, rows, "place", buckets, ("term",))
+            t.set_mark(f"{self.name}_sizes", sizes)
         self.store.files.drop(path)
 
     def search(self, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
         """query, id, score, rank; ``queries`` has query, text."""
-        return ranked(self.store.read(self.name).drop("place"), queries, k, digits)
+        version = self.store.version()  # one state for both reads
+        return ranked(self.store.read(self.name, version).drop("place"), queries, k, *self.store.manifest(version)["marks"][f"{self.name}_sizes"], digits)
 
     def lookup(self, terms: list[str]) -> DataFrame:
         """The posting rows of a few terms: only their buckets' files are read."""
@@ -244,5 +245,12 @@ def sparse_top_k(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc
     """The same over documents without an index: segments are made for the search, of the asked terms if these are few."""
     path = work_folder(docs.sparkSession)
     terms = [r.term for r in asked_terms(queries).select("term").distinct().limit(FEW + 1).collect()]
-    segments(docs, id_col, text_col, frozenset(terms) if len(terms) <= FEW else None).write.parquet(path)
-    return ranked(docs.sparkSession.read.parquet(path), queries, k, digits)
+    sizes = _stored(segments(docs, id_col, text_col, frozenset(terms) if len(terms) <= FEW else None), path)
+    return ranked(docs.sparkSession.read.parquet(path), queries, k, *sizes, digits)
+
+
+def _stored(rows: DataFrame, path: str) -> list[int]:
+    """Write segments; how many documents and segments, counted on the way."""
+    seen, own = Observation(), F.col("term").isNull()
+    rows.observe(seen, F.coalesce(F.sum(F.when(own, F.col("n"))), F.lit(0)).alias("docs"), F.count_if(own).alias("segments")).write.parquet(path)
+    return [int(seen.get["docs"]), int(seen.get["segments"])]

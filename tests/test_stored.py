@@ -262,7 +262,7 @@ def slow_lexical(docs, queries, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("limits", [{}, {"SEGMENT_DOCS": 7, "ASKED": 2, "FIRST": 1}, {"SEGMENT_TOKENS": 30, "FEW": 0}])
+@pytest.mark.parametrize("limits", [{}, {"SEGMENT_DOCS": 7, "ASKED": 2, "FIRST": 1, "AT_ONCE": 2}, {"SEGMENT_TOKENS": 30, "FEW": 0, "AT_ONCE": 0}, {"SEGMENT_TOKENS": 30, "ASKED": 1, "AT_ONCE": 1000}])
 def test_lexical_odd_rows(spark, store, monkeypatch, limits):
     for name, value in limits.items():
         monkeypatch.setattr(postings, name, value)
