@@ -15,10 +15,10 @@ from collections.abc import Callable, Iterator
 
 # fixed values: names that pages give to such parts
 NAMES = {
-    "menu": "nav navbar menu navigation topnav main-menu mainnav dropdown breadcrumb breadcrumbs toc pagination pager skip-link tab-list submenu",
-    "header": "header masthead topbar site-header page-header banner logo branding site-title tagline toolbar",
-    "footer": "footer site-footer page-footer copyright colophon legal bottom-bar site-info imprint credits",
-    "sidebar": "sidebar aside widget related related-posts trending popular recommended more-stories side rail secondary tag-cloud archive author-box blogroll teaser-list",
+    "menu": "nav navbar menu top-nav navigation topnav main-menu mainnav dropdown breadcrumb breadcrumbs toc pagination pager skip-link tab-list submenu",
+    "header": "header head top masthead hero topbar site-header page-header banner logo branding site-title tagline toolbar",
+    "footer": "footer foot bottom site-footer page-footer copyright colophon legal bottom-bar site-info imprint credits",
+    "sidebar": "sidebar side left right aside widget related related-posts trending popular recommended more-stories side rail secondary tag-cloud archive author-box blogroll teaser-list",
     "notice": "cookie cookie-notice cookie-banner cookie-consent gdpr consent notice alert modal popup overlay paywall newsletter subscribe disclaimer announcement message toast privacy warning info-box",
     "advert": "ad ads advert advertisement ad-slot adsense sponsored sponsor promo promotion banner-ad dfp outbrain taboola commercial affiliate",
     "form": "form search search-form login signup contact-form newsletter-form poll survey",
@@ -28,6 +28,7 @@ NAMES = {
     "plain": "container wrapper row col column page inner outer grid section box block layout site wrap center clearfix",
 }
 NAMES = {kind: names.split() for kind, names in NAMES.items()}
+_ROLES = {"menu": "navigation", "header": "banner", "footer": "contentinfo", "sidebar": "complementary", "form": "search"}  # fixed values of HTML
 _WORDS = """the of and a to in is on that by this with river stone market council report season winter people water century music history city
     study number system field group light summer school paper village mountain garden der die und nicht ein auf les des une dans pour est el los
     una con para""".split()
@@ -154,13 +155,17 @@ def _rest(r: random.Random, kind: str) -> str:
         "notice": lambda: para() + r.choice(["", "<button>OK</button>", link()]),
         "advert": lambda: r.choice([para, link, lambda: f"<span>{cue()}</span>{para()}"])(),
         "form": lambda: r.choice(["", para()]) + f"<label>{cue()}</label><input name=q>" + r.choice(["<button>Go</button>", "<select><option>A<option>B</select>", "<button type=submit>" + cue() + "</button>"]),
-        "comment": lambda: r.choice(["", f"<h3>{cue()}</h3>"]) + "".join(r.choice(['<div class="{n}">{p}</div>', "<li><p>{p}</p></li>", '<article class="{n}"><footer>{c}</footer>{p}</article>', "<p>{p}</p>"]).format(n=_name(r, "comment"), p=para(), c=cue()) for _ in range(r.randint(1, 5))),
+        "comment": lambda: r.choice(["", f"<h3>{cue()}</h3>", f"<h2>{r.randint(1, 99)} {r.choice(['comments', 'Comments', 'responses', 'replies'])}</h2>"]) + "".join(r.choice(['<div class="{n}">{p}</div>', "<li><p>{p}</p></li>", '<article class="{n}"><footer>{c}</footer>{p}</article>', "<p>{p}</p>"]).format(n=_name(r, "comment"), p=para(), c=cue()) for _ in range(r.randint(1, 5))),
         "share": links,
     }[kind]()
     tag, name = tags[kind], _name(r, kind)
     draw = r.random()
+    if kind == "footer" and draw < 0.06:
+        return f"<p>&copy; {r.randint(1990, 2030)} {cue()}</p>"
     if kind in ("menu", "header", "footer", "sidebar", "form") and draw < 0.5:
         return f"<{tag}>{inside}</{tag}>" if r.random() < 0.7 else f'<{tag} class="{name}">{inside}</{tag}>'
+    if draw < 0.57 and kind in _ROLES:
+        return f'<div role="{_ROLES[kind]}">{inside}</div>'
     if draw < 0.55 and kind == "notice":
         return f'<div role="{r.choice(["alert", "dialog", "status"])}">{inside}</div>'
     if draw < 0.58:
