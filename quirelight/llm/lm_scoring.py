@@ -12,8 +12,9 @@ counts, for the base, and counts of pairs of ids, with which the model's logits
 begin, cover all of them.  Its other weights are trained on all of them too, each
 read once, where the rows lie: a hash of the id deals them into ``ROUNDS`` parts,
 and for each part in turn each task runs Adam over its texts from the same start
-and the results are averaged by their numbers of ids.  The loss is taken at one
-block of ``attention_model.STRIDE`` ids in ``every``, all along every text.
+and the results are averaged by their numbers of ids.  The loss is taken at
+every id; ``fit`` with ``every`` above 1 takes it at one block of
+``attention_model.STRIDE`` ids in so many.
 
 Frequent words' counts are broadcast (``TOP_WORDS`` at most); the counts of the
 others meet each occurrence in a join on the word's 64-bit hash, for the base.
@@ -39,7 +40,7 @@ from .text_hash import U, chunks, lowered, mix, texts_of, word_hashes, word_span
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 RANKS = 4096  # pieces, the first of the vocabulary
-EVERY = 3
+EVERY = 1  # the loss is taken at one block in so many
 ROUNDS = 3
 TOP_WORDS = 400_000
 HELD = 1_000_000  # counts that a task holds before it hands them on

@@ -624,6 +624,14 @@ def test_model_learns_from_every_training_text(docs, rows):
     assert not np.allclose(fitted["weights"].value, attention_model.flat(attention_model.initial(n)))
 
 
+def test_model_learns_at_every_place(spark):
+    pieces = token_counts.read_vocabulary(lm_scoring.VOCABULARY)
+    docs = spark.createDataFrame([(k, text_of(k, 200)) for k in range(40)], "doc_id long, text string").coalesce(1)
+    got, want, part = (lm_scoring.fit(docs, pieces, **s)["weights"].value for s in ({}, {"every": 1}, {"every": 3}))
+    np.testing.assert_allclose(got, want, atol=1e-3)
+    assert not np.allclose(got, part, atol=1e-3)
+
+
 def test_model_beats_the_base_held_out(spark):
     """Two languages; a text keeps to one, so attention to earlier words tells which words can follow."""
     rng = np.random.default_rng(8)
