@@ -387,24 +387,38 @@ def create_chunks(text: str, strategy: str, limits: Limits, tokenise: Tokeniser
 CHUNKS = "doc string, chunk_index int, chunk_id string, strategy string, title string, char_start int, char_end int, n_tokens int, text string, pages array<int>"
 
 
+def _attempted(batches: Iterator[pa.RecordBatch], strategy: str, limits: Limits, tokenise: Tokeniser) -> Iterator[pa.RecordBatch]:
+    """Rows of ``attempts`` of batches of doc, text; a text is held at a time, and not much more than ``_OUT_CHARS`` of chunks."""
+    types = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.string())
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
+        return pa.RecordBatch.from_arrays(columns, names=[*(c.split()[0] for c in CHUNKS.split(", ")), "error"])
+
+    for batch in batches:
+        rows, held = [], 0
+        for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+            doc, text = doc.as_py(), text.as_py()
+            blank = not (text or "").strip()
+            found = [] if blank else create_chunks(text, strategy, limits, tokenise)
+            for i, c in enumerate(found):
+                rows.append((doc, i, f"{doc}_chunk_{i:04d}", c.strategy, c.title, c.start, c.end, len(tokenise(c.text)), c.text, c.pages, None))
+                held += len(c.text)
+                if held > _OUT_CHARS:
+                    yield made(rows)
+                    rows, held = [], 0
+            if not found:
+                rows.append((doc, *[None] * 9, "Empty text file" if blank else "No chunks"))
+        yield made(rows)
+
+
 def attempts(docs: DataFrame, strategy: str = "hybrid", limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", tokenise: Tokeniser = plain_tokens) -> DataFrame:
     """The columns of ``CHUNKS``, and of a document without chunks one row of nulls with its error."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy: {strategy}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                blank = not (text or "").strip()
-                found = [] if blank else create_chunks(text, strategy, limits, tokenise)
-                for i, c in enumerate(found):
-                    rows.append((doc, i, f"{doc}_chunk_{i:04d}", c.strategy, c.title, c.start, c.end, len(tokenise(c.text)), c.text, c.pages, None))
-                if not found:
-                    rows.append((doc, *[None] * 9, "Empty text file" if blank else "No chunks"))
-            types = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.string())
-            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*(c.split()[0] for c in CHUNKS.split(", ")), "error"])
+        return _attempted(batches, strategy, limits, tokenise)
 
     return docs.select(docs[id_col].cast("string").alias("doc"), docs[text_col].cast("string").alias("text")).mapInArrow(run, CHUNKS + ", error string")
 

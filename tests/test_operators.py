@@ -4,6 +4,7 @@ import json
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +49,19 @@ def test_markers_end_at_line_feeds_only(spark):
         assert [tuple(s) for s in spans] == list(zip(pages.numbers, pages.starts, pages.ends, strict=True))
 
 
+@pytest.mark.parametrize("strategy", list(chunking.STRATEGIES))
+def test_chunks_are_handed_on_before_a_batch_is_done(strategy):
+    body = "# A\n" + "some words here. " * 2000 + "\n# B\n" + "more words there. " * 2000
+    batch = pa.RecordBatch.from_arrays([pa.array([str(k) for k in range(202)]), pa.array([body] * 200 + ["", None])], names=["doc", "text"])
+    out = list(chunking._attempted(iter([batch]), strategy, L(100, 20, 20, 200), chunking.plain_tokens))
+    chars = [sum(len(t or "") for t in b.column(8).to_pylist()) for b in out]
+    assert max(chars) < chunking._OUT_CHARS + 2 * len(body) and sum(chars) > 200 * 2000 * 20
+    want = chunking.create_chunks(body, strategy, L(100, 20, 20, 200))
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [(r["doc"], r["chunk_index"], r["text"]) for r in rows[:-2]] == [(str(k), i, c.text) for k in range(200) for i, c in enumerate(want)]
+    assert [(r["doc"], r["error"]) for r in rows[-2:]] == [("200", "Empty text file"), ("201", "Empty text file")]
+
+
 @pytest.mark.parametrize(("value", "shown"), [(10, "10 B"), (2048, "2.0 KB"), (3 * 1024 * 1024, "3.0 MB")])
 def test_human_size(spark, value, shown):
     assert one(spark, text.human_size(F.col("n")), n=value) == shown
