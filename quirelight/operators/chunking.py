@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions.ids import chunk_id
-from ..functions.text import MARKER, SPACE, clean_text, strip, tokens
+from ..functions.text import MARKER, SPACE, clean_text, strip
 
 # fixed values: markdown header, numbered header, upper-case label
 HEADERS = (r"^#{1,6}\s+", r"^\d+\.\s+", r"^[A-Z][A-Z\s]+:")
@@ -143,11 +143,8 @@ def fixed_windows(docs: DataFrame, limits: Limits, id_col: str = "doc_id", text_
 
 def force_split(docs: DataFrame, most: int, overlap: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, part, n_tokens, text: windows of ``most`` tokens, however short the last."""
-    step = most - overlap if overlap < most else most
-    rows = docs.select(docs[id_col].alias("doc"), tokens(F.coalesce(docs[text_col], F.lit(""))).alias("t")).where("size(t) > 0")
-    out = rows.select("doc", "t", F.posexplode(F.sequence(F.lit(0), F.size("t") - 1, F.lit(step))).alias("part", "at"))
-    cut = F.slice("t", F.col("at") + 1, F.lit(most))
-    return out.select("doc", "part", F.size(cut).alias("n_tokens"), F.array_join(cut, "").alias("text"))
+    cut = fixed_windows(docs, Limits(most, overlap, 0), id_col, text_col, clean=False)
+    return cut.select("doc", F.col("chunk_index").alias("part"), "n_tokens", "text")
 
 
 def is_header(line: Column) -> Column:

@@ -49,6 +49,16 @@ def test_markers_end_at_line_feeds_only(spark):
         assert [tuple(s) for s in spans] == list(zip(pages.numbers, pages.starts, pages.ends, strict=True))
 
 
+def test_force_split_does_not_carry_a_text_to_each_window(spark):
+    words = [f"w{k}" for k in range(50_001)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " " + ODD + " "), (3, ""), (4, None)], "doc_id long, text string")
+    out = chunking.force_split(docs, 200, 20)
+    got = {(r.doc, r.part): (r.n_tokens, r.text) for r in out.collect()}
+    want = {(1, i): (len(words[s : s + 200]), (" " if s else "") + " ".join(words[s : s + 200])) for i, s in enumerate(range(0, len(words), 180))}
+    assert got == want | {(2, 0): (7, " " + ODD)}
+    assert "Generate" not in out._jdf.queryExecution().toString()
+
+
 @pytest.mark.parametrize("strategy", list(chunking.STRATEGIES))
 def test_chunks_are_handed_on_before_a_batch_is_done(strategy):
     body = "# A\n" + "some words here. " * 2000 + "\n# B\n" + "more words there. " * 2000
