@@ -7,11 +7,14 @@ never collected.  Scores are rounded before ranking, ties go to the lesser id.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ..functions.ids import uuid5
 from . import dense, postings
@@ -64,6 +67,76 @@ def document_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return counts.select("id", "term", (F.col("tf") * (K1 + 1) / (F.col("tf") + length)).alias("weight"))
 
 
+_COUNTS = ArrayType(StructType([StructField("term", StringType()), StructField("tf", LongType())]))
+_HELD = 1 << 18  # terms of a batch of results
+
+
+def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n, counts: each text's number of terms, and its distinct terms in order with their counts; counted within the row."""
+    rows = docs.select(F.col(id_col).alias("id"), F.lower(F.coalesce(text_col, F.lit(""))).alias("text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile(TERM).findall
+        for batch in batches:
+            row_of, n, ends, names, tf = [], [], [0], [], []
+
+            def made(batch: pa.RecordBatch, row_of: list, n: list, ends: list, names: list, tf: list) -> pa.RecordBatch:
+                pairs = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(tf, pa.int64())], ["term", "tf"])
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row_of, pa.int64())), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], names=["id", "n", "counts"])
+
+            for i, text in enumerate(batch.column(1)):
+                if found := find(text.as_py()):
+                    counts = Counter(found)
+                    names += (own := sorted(counts))
+                    tf += [counts[t] for t in own]
+                    row_of.append(i)
+                    n.append(len(found))
+                    ends.append(len(names))
+                if len(names) > _HELD:
+                    yield made(batch, row_of, n, ends, names, tf)
+                    row_of, n, ends, names, tf = [], [], [0], [], []
+            yield made(batch, row_of, n, ends, names, tf)
+
+    return rows.mapInArrow(count, StructType([StructField("id", rows.schema["id"].dataType), StructField("n", LongType()), StructField("counts", _COUNTS)]))
+
+
+def _weight(tf: object, n: object) -> object:
+    return tf * (K1 + 1) / (tf + K1 * ((1 - B) + B * n / AVERAGE_LENGTH))
+
+
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _merged(texts: Column) -> Column:
+    """Weights of an id that several texts have: texts with as many terms count as one, as in ``document_vectors``."""
+    every = F.array_sort(F.flatten(F.transform(texts, lambda x: F.transform(x["counts"], lambda c: F.struct(c["term"].alias("term"), x["n"].alias("n"), c["tf"].alias("tf"))))))
+
+    def summed(a: Column, starts: Column) -> Column:
+        def one(s: Column, k: Column) -> Column:
+            run = F.slice(a, s + 1, F.coalesce(F.get(starts, k + 1), F.size(a)) - s)
+            tf = F.aggregate(run, F.lit(0).cast("long"), lambda total, x: total + x["tf"])
+            return F.struct(F.get(a, s)["term"].alias("term"), _weight(tf, F.get(a, s)["n"]).alias("weight"))
+
+        return F.array_sort(F.transform(starts, one))
+
+    def runs(a: Column) -> Column:
+        other = lambda i: (F.get(a, i)["term"] != F.get(a, i - 1)["term"]) | (F.get(a, i)["n"] != F.get(a, i - 1)["n"])
+        starts = F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i == 0) | other(i))
+        return _bound(starts, lambda at: summed(a, at))
+
+    return _bound(every, runs)
+
+
+def sparse_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, sparse: ``document_vectors`` as (term, weight) pairs by term, a row an id; a text's counts are shuffled once, as one row."""
+    texts = term_counts(docs, id_col, text_col).repartition("id").groupBy("id").agg(F.collect_list(F.struct("n", "counts")).alias("texts"))
+    first = F.get("texts", F.lit(0))
+    alone = F.transform(first["counts"], lambda c: F.struct(c["term"].alias("term"), _weight(c["tf"], first["n"]).alias("weight")))
+    return texts.select("id", F.when(F.size("texts") == 1, alone).otherwise(_merged(F.col("texts"))).alias("sparse"))
+
+
 def inverse_frequency(vectors: DataFrame, docs: DataFrame) -> DataFrame:
     """term, df, idf over the collection."""
     n = docs.agg(F.count(F.lit(1)).alias("n_docs"))  # one row

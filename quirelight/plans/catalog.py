@@ -611,7 +611,7 @@ def _(read):
 def _(read):
     chunks = read("documents").select(F.col("doc_id").alias("vec_id"), "doc_id", "text", F.lit(0).alias("chunk_index"), F.lit(1).alias("token_count"))
     publications = read("labels").select("doc_id", F.lit("t").alias("title"), F.col("quality").alias("year"), F.array(F.lit("src")).alias("authors"))
-    sparse = ingest.sparse_vectors(retrieval.document_vectors(read("documents")))
+    sparse = retrieval.sparse_vectors(read("documents"))
     out = ingest.points(read("embeddings").select("vec_id", F.col("embedding").alias("dense")), chunks, publications, "vec_id", "doc_id", sparse)
     return out.select("vec_id", F.size("sparse").alias("n_terms"), F.round(F.aggregate("sparse", F.lit(0.0), lambda a, x: a + x["weight"]), 4).alias("weight"), F.array_join("document_authors", ",").alias("authors"))
 

@@ -49,6 +49,18 @@ def test_markers_end_at_line_feeds_only(spark):
         assert [tuple(s) for s in spans] == list(zip(pages.numbers, pages.starts, pages.ends, strict=True))
 
 
+def test_sparse_vectors_are_shuffled_once(spark):
+    rows = [(1, "b a b C"), (1, "x b y z"), (1, "b q"), (2, ""), (3, None), (4, "ж! É"), (5, "a-a a1"), (None, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = retrieval.sparse_vectors(docs)
+    want = ingest.sparse_vectors(retrieval.document_vectors(docs))
+    plain = lambda found: {r.id: [(x.term, pytest.approx(x.weight, rel=1e-15)) for x in r.sparse] for r in found.collect()}
+    assert plain(got) == plain(want) and len(got.where("id = 1").first().sparse) == 8
+    ids = spark.range(9).withColumnRenamed("id", "key")
+    plan = ids.hint("merge").join(got, F.col("key") == F.col("id"), "left")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(id#") == 1 and "Generate" not in plan
+
+
 def test_force_split_does_not_carry_a_text_to_each_window(spark):
     words = [f"w{k}" for k in range(50_001)]
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " " + ODD + " "), (3, ""), (4, None)], "doc_id long, text string")
