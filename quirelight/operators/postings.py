@@ -20,6 +20,7 @@ in the number of documents.  Queries without a known term have no hits.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,7 +42,8 @@ FEW = 100_000  # terms that are sent to all tasks
 SLACK = 2e-6  # more than rounding can move a score
 K1, B, AVERAGE_LENGTH = 1.2, 0.75, 256.0
 TERM = "[a-z0-9]+"
-_FIND = re.compile(TERM).findall
+LONG = 1 << 20  # characters of a text whose terms are counted one by one
+_FIND, _EACH = re.compile(TERM).findall, re.compile(TERM).finditer
 
 
 def weights_of(tf: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -64,52 +66,67 @@ def segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", on
     def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, nth = TaskContext.get().partitionId(), 0
-        known: dict[str, int] = {}
-        codes, sizes, lengths, ids, held, n_docs = [], [], [], [], 0, 0
-
-        def made() -> Iterator[pa.RecordBatch]:
-            doc = np.repeat(np.arange(n_docs), sizes)
-            pair, tf = np.unique(np.concatenate([np.zeros(0, np.int64), *codes]) * n_docs + doc, return_counts=True)
-            term, at = pair // n_docs, pair % n_docs
-            length = np.array(lengths, np.int64)
-            weight = weights_of(tf.astype(float), length[at].astype(float))
-            begins = np.searchsorted(term, np.arange(len(known) + 1))
-            tops = np.maximum.reduceat(weight, begins[:-1]) if len(term) else np.zeros(0)
-            at, tf, name = at.astype(np.uint16), tf.astype(np.uint32), f"{task:06d}-{nth:06d}"
-            words = sorted(known)
-            schema = batch_schema(ids[0].type)
-            yield _table([(name, None, n_docs, 0.0, None, None, ids_of(ids), length.astype(np.uint32).tobytes())], schema)
-            for a in range(0, len(words), 8192):
-                part = [(w, known[w]) for w in words[a : a + 8192]]
-                yield _table([(name, w, int(begins[c + 1] - begins[c]), float(tops[c]), at[begins[c] : begins[c + 1]].tobytes(), tf[begins[c] : begins[c + 1]].tobytes(), None, None) for w, c in part], schema)
-
-        for batch in batches:
-            first = 0
-            for i, text in enumerate(batch.column(1)):
-                found = _FIND(text.as_py() or "")
-                lengths.append(len(found))
-                if only is not None:
-                    found = [t for t in found if t in only]
-                codes.append(np.fromiter((known.setdefault(t, len(known)) for t in found), np.int64, len(found)))
-                sizes.append(len(found))
-                held, n_docs = held + len(found), n_docs + 1
-                if n_docs == segment_docs or held > SEGMENT_TOKENS:
-                    ids.append(batch.column(0).slice(first, i + 1 - first))
-                    first = i + 1
-                    yield from made()
-                    known, nth = {}, nth + 1
-                    codes, sizes, lengths, ids, held, n_docs = [], [], [], [], 0, 0
-            if first < batch.num_rows:
-                ids.append(batch.column(0).slice(first))
-        if n_docs:
-            yield from made()
+        return inverted(batches, TaskContext.get().partitionId(), only, segment_docs, SEGMENT_TOKENS)
 
     return rows.mapInArrow(invert, _head(kind))
 
 
-def ids_of(parts: list[pa.Array]) -> list:
-    return pa.concat_arrays(parts).to_pylist()
+def inverted(batches: Iterator[pa.RecordBatch], task: int, only: frozenset[str] | None = None, segment_docs: int = SEGMENT_DOCS, segment_tokens: int = SEGMENT_TOKENS) -> Iterator[pa.RecordBatch]:
+    """``segments`` of one task's ids and texts.
+
+    Terms are counted within a text; what is held of a segment is its terms
+    once, and 8 bytes for each term of each text.
+    """
+    nth = 0
+    known: dict[str, int] = {}
+    codes, counts, sizes, lengths, ids, held = [], [], [], [], [], 0
+
+    def made(id_kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        name, schema, length, n_docs = f"{task:06d}-{nth:06d}", batch_schema(id_kind), np.array(lengths, np.uint32), len(ids)
+        yield _table([(name, None, n_docs, 0.0, None, None, ids, length.tobytes())], schema)
+        # codes are narrow and documents come in order: a stable order by code is one by document, too
+        code = np.concatenate([np.zeros(0, np.int32), *codes])
+        order = np.argsort(code, kind="stable")
+        begins = np.searchsorted(code, np.arange(len(known) + 1), sorter=order)
+        at = np.repeat(np.arange(n_docs, dtype=np.uint16), sizes)[order]
+        tf = np.concatenate([np.zeros(0, np.uint32), *counts])[order]
+        del code, order
+        codes.clear()
+        counts.clear()
+        weight = np.empty(len(tf))
+        for a in range(0, len(tf), 1 << 16):
+            some = slice(a, a + (1 << 16))
+            weight[some] = weights_of(tf[some].astype(float), length[at[some]].astype(float))
+        tops = np.maximum.reduceat(weight, begins[:-1]) if len(tf) else np.zeros(0)
+        del weight
+        words = sorted(known)
+        for a in range(0, len(words), 8192):
+            part = [(w, known[w]) for w in words[a : a + 8192]]
+            yield _table([(name, w, int(begins[c + 1] - begins[c]), float(tops[c]), at[begins[c] : begins[c + 1]].tobytes(), tf[begins[c] : begins[c + 1]].tobytes(), None, None) for w, c in part], schema)
+
+    for batch in batches:
+        id_kind = batch.schema.field(0).type
+        for one, text in zip(batch.column(0), batch.column(1), strict=True):
+            found = _counted(text.as_py() or "")
+            lengths.append(sum(found.values()))
+            if only is not None:
+                found = {t: n for t, n in found.items() if t in only}
+            codes.append(np.fromiter((known.setdefault(t, len(known)) for t in found), np.int32, len(found)))
+            counts.append(np.fromiter(found.values(), np.uint32, len(found)))
+            sizes.append(len(found))
+            ids.append(one.as_py())  # a slice would hold the whole batch
+            held += sum(found.values())
+            if len(ids) == segment_docs or held > segment_tokens:
+                yield from made(id_kind)
+                known, nth = {}, nth + 1
+                codes, counts, sizes, lengths, ids, held = [], [], [], [], [], 0
+    if ids:
+        yield from made(id_kind)
+
+
+def _counted(text: str) -> Counter:
+    """A text's terms and how often each comes; the terms of a long one are never all held."""
+    return Counter(_FIND(text) if len(text) < LONG else (m[0] for m in _EACH(text)))
 
 
 def batch_schema(kind: pa.DataType) -> pa.Schema:
@@ -198,7 +215,9 @@ def _scores(rows: DataFrame, weighed: DataFrame, wanted: DataFrame, many: int, k
                     yield from made()
                     key, sums = here, {}
                 if value["ids"].is_valid:
-                    ids, length = value["ids"].values, np.frombuffer(value["lengths"].as_py(), np.uint32).astype(float)
+                    ids = value["ids"].values
+                    ids = ids.take(pa.array(np.arange(len(ids))))  # a copy: a view would hold the whole batch
+                    length = np.frombuffer(value["lengths"].as_py(), np.uint32).astype(float)
                     continue
                 at = np.frombuffer(value["at"].as_py(), np.uint16)
                 weight = weights_of(np.frombuffer(value["tf"].as_py(), np.uint32).astype(float), length[at])

@@ -1,6 +1,9 @@
 """Stored tables, indexes over them, and runs that die half way."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -285,3 +288,22 @@ def test_lexical_odd_rows(spark, store, monkeypatch, limits):
     assert {r.term for r in few.collect()} == {"w1", "same"} and few.select(F.sum("n")).first()[0] >= 31
     assert len(few.inputFiles()) <= 2 < len(store.read("postings").inputFiles())
     assert postings.sparse_top_k(d.limit(0), q, 8).count() == 0
+
+
+def test_a_segment_is_inverted_in_little_memory():
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.2, 450) % 20_000) for _ in range(4096)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(a, a + 1024)), pa.array(texts[a : a + 1024])], names=["id", "text"]) for a in range(0, 4096, 1024)]
+    tracemalloc.start()
+    heads = pairs = 0
+    for batch in postings.inverted(iter(batches), 0):
+        heads += batch.column(1).null_count
+        pairs += sum(len(x) for x in batch.column(4).to_pylist() if x) // 2
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    counted = postings._counted(("word " * 1000 + "other ") * 400)  # a long text
+    long = tracemalloc.get_traced_memory()[1] - tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert (heads, pairs) == (1, sum(len(set(t.split())) for t in texts))
+    assert counted == {"word": 400_000, "other": 400} and long < 10e6
+    assert peak < 40 * pairs, peak / pairs
