@@ -86,11 +86,7 @@ def bigrams(n: int, before: np.ndarray, after: np.ndarray, counts: np.ndarray) -
 
 
 def _weights(bits: np.ndarray, least: int = _LEAST) -> np.ndarray:
-    with np.errstate(invalid="ignore"):
-        out = bits.astype(np.int32)
-    np.maximum(out, least, out=out)
-    np.minimum(out, _MOST, out=out)
-    return out.view(_FLOAT)
+    return np.clip(bits, _FLOAT(least), _FLOAT(_MOST)).astype(np.int32).view(_FLOAT)
 
 
 def _sums(x: np.ndarray) -> np.ndarray:
@@ -181,13 +177,12 @@ def log_probabilities(p: dict, fixed: tuple, before: np.ndarray, ids: np.ndarray
     return out
 
 
-def _scatter(index: np.ndarray, parts: tuple, out: np.ndarray) -> None:
-    """Sums of rows with the same index, into columns of ``out``."""
+def _scatter(index: np.ndarray, rows: np.ndarray, out: np.ndarray) -> None:
+    """Sums of rows with the same index, into ``out``."""
     order = np.argsort(index.astype(np.uint16) if len(out) < 1 << 16 else index, kind="stable")
     index = index.take(order)
     start = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
-    for columns, rows in parts:
-        out[index[start], columns] = np.add.reduceat(rows.take(order, axis=0), start)
+    out[index[start]] = np.add.reduceat(rows.take(order, axis=0), start)
 
 
 def gradient(p: dict, fixed: tuple, rows: np.ndarray, b: np.ndarray, t: np.ndarray, target: np.ndarray) -> tuple[float, dict]:
@@ -223,10 +218,17 @@ def gradient(p: dict, fixed: tuple, rows: np.ndarray, b: np.ndarray, t: np.ndarr
     g["near"] = np.bincount(_GAP[_GAP >= 0], weights=by.reshape(_GAP.shape)[_GAP >= 0], minlength=REACH + STRIDE).astype(x.dtype)
     da *= _FLOAT(KEY**-0.5)
     g["of"] = np.zeros_like(p["of"])
-    dq = (da @ k).reshape(-1, KEY)
-    _scatter(b[:, REACH:].ravel(), ((_Q, dq), (_S, dz)), g["of"])
-    dk = (da.transpose(0, 2, 1) @ x[:, _Q].reshape(blocks, STRIDE, KEY)).reshape(-1, KEY)
-    _scatter(b.ravel(), ((_K, dk), (_V, (a.transpose(0, 2, 1) @ dc).reshape(-1, VALUE))), g["of"])
+    dk, dv = da.transpose(0, 2, 1) @ x[:, _Q].reshape(blocks, STRIDE, KEY), a.transpose(0, 2, 1) @ dc
+    # what the next window adds to a block's places goes into their rows; other windows' places before them have their own
+    again = (b[1:, :REACH] == b[:-1, -REACH:]).all(axis=1)
+    first = np.concatenate([[0], np.flatnonzero(~again) + 1])
+    every = np.zeros((blocks * STRIDE + len(first) * REACH, x.shape[1]), x.dtype)
+    mine, early = every[: blocks * STRIDE].reshape(blocks, STRIDE, -1), every[blocks * STRIDE :].reshape(len(first), REACH, -1)
+    mine[:, :, _Q], mine[:, :, _S] = da @ k, dz.reshape(blocks, STRIDE, -1)
+    for part, rows in ((_K, dk), (_V, dv)):
+        mine[:, :, part], early[:, :, part] = rows[:, REACH:], rows[first, :REACH]
+        mine[:-1, STRIDE - REACH :, part] += rows[1:, :REACH] * again[:, None, None]
+    _scatter(np.concatenate([b[:, REACH:].ravel(), b[first, :REACH].ravel()]), every, g["of"])
     return loss, g
 
 
