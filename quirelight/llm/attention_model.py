@@ -86,17 +86,29 @@ def bigrams(n: int, before: np.ndarray, after: np.ndarray, counts: np.ndarray) -
 
 
 def _weights(bits: np.ndarray, least: int = _LEAST) -> np.ndarray:
-    with np.errstate(invalid="ignore"):
-        out = bits.astype(np.int32)
-    np.maximum(out, least, out=out)
-    np.minimum(out, _MOST, out=out)
-    return out.view(_FLOAT)
+    """Weights of the bits, which are clipped in place."""
+    np.clip(bits, bits.dtype.type(least), bits.dtype.type(_MOST), out=bits)
+    return bits.astype(np.int32).view(_FLOAT)
 
 
 def _sums(x: np.ndarray) -> np.ndarray:
     return x @ np.ones(x.shape[-1], x.dtype)
 
 
+def _turned(x: np.ndarray) -> np.ndarray:
+    """Transposed matrices, laid out so: products with them as the right side are quicker than with a view."""
+    return np.ascontiguousarray(x.transpose(0, 2, 1))
+
+
+def _cross(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``x.T @ y`` of two tall arrays, by pieces of 128 rows, which is quicker."""
+    m = len(x) // 128 * 128
+    out = x[m:].T @ y[m:]
+    if m:
+        out += (x[:m].reshape(-1, 128, x.shape[1]).transpose(0, 2, 1) @ y[:m].reshape(-1, 128, y.shape[1])).sum(axis=0)
+    return out
+
+
 def begins(text: np.ndarray) -> np.ndarray:
     """Where the blocks of a stream of texts begin; ``text`` numbers the text of each place."""
     first = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]])) if len(text) else np.zeros(0, np.int64)
@@ -119,29 +131,37 @@ def _slabs(before: np.ndarray, text: np.ndarray, chosen: np.ndarray):
         yield at[:, REACH:].ravel()[rows], rows, b, t
 
 
-_GAP = np.arange(STRIDE)[:, None] + REACH - np.arange(REACH + STRIDE)
+_GAP = np.arange(STRIDE) + REACH - np.arange(REACH + STRIDE)[:, None]  # of a window's places, rows, before a block's, columns
 
 
 def _attend(p: dict, b: np.ndarray, t: np.ndarray) -> tuple:
-    """Hidden state of the places of a slab, and what its gradient needs: of windows keys and values, of places all."""
-    k, v = (p["of"][:, part].take(b, axis=0) for part in (_K, _V))
-    x = p["of"].take(b[:, REACH:].ravel(), axis=0)
-    q = x[:, _Q] * _FLOAT(_SCALE * KEY**-0.5)
-    a = q.reshape(-1, STRIDE, KEY) @ k.transpose(0, 2, 1)
+    """Hidden state of the places of a slab, and what its gradient needs.
+
+    That is the windows' keys and values, a column of ones behind these; the
+    blocks' queries, times ``_SCALE`` and the root; weights, which no sum
+    divides, with a row a place of the window; one over their sums; and what a
+    place attended to.
+    """
+    of, blocks = p["of"], len(b)
+    seen = np.ones((len(of), KEY + VALUE + 1), of.dtype)
+    seen[:, :-1] = of[:, KEY : 2 * KEY + VALUE]
+    own = np.concatenate([of[:, _Q] * _FLOAT(_SCALE * KEY**-0.5), of[:, _S] + p["shift"]], axis=1)
+    kv, x = seen.take(b, axis=0), own.take(b[:, REACH:], axis=0)
+    k, v, q = kv[:, :, :KEY], kv[:, :, KEY:], x[:, :, :KEY]
+    a = k @ _turned(q)
     a += np.where(_GAP >= 0, p["near"][np.maximum(_GAP, 0)] * _FLOAT(_SCALE) + _FLOAT(_ONE), 2 * _NEVER)
     a = _weights(a, 0)
     # places of other texts, in windows that hold any
     mixed = np.flatnonzero(t[:, 0] != t[:, -1])
     if len(mixed):
-        a[mixed] *= t[mixed, REACH:, None] == t[mixed, None, :]
-    whole = 1 / _sums(a)
-    c = (a @ v).reshape(-1, VALUE)
-    c *= whole.reshape(-1, 1)
-    z = c @ p["in"]
-    z += x[:, _S]
-    z += p["shift"]
-    np.maximum(z, 0, out=z)
-    return k, v, x, a, whole, c, z
+        a[mixed] *= t[mixed, :, None] == t[mixed, None, REACH:]
+    c = a.transpose(0, 2, 1) @ v
+    whole = 1 / c[:, :, VALUE:]
+    c = (c[:, :, :VALUE] * whole).reshape(-1, VALUE)
+    z = (c.reshape(blocks, -1, VALUE) @ p["in"]).reshape(-1, HIDDEN)
+    z += x.reshape(-1, KEY + HIDDEN)[:, KEY:]
+    np.maximum(z, np.zeros_like(z), out=z)
+    return k, v, q, a, whole, c, z
 
 
 def _groups(kind: np.ndarray, classes: int) -> tuple:
@@ -181,52 +201,82 @@ def log_probabilities(p: dict, fixed: tuple, before: np.ndarray, ids: np.ndarray
     return out
 
 
-def _scatter(index: np.ndarray, parts: tuple, out: np.ndarray) -> None:
-    """Sums of rows with the same index, into columns of ``out``."""
+def _scatter(index: np.ndarray, rows: np.ndarray, out: np.ndarray) -> None:
+    """Sums of rows with the same index, into ``out``."""
     order = np.argsort(index.astype(np.uint16) if len(out) < 1 << 16 else index, kind="stable")
     index = index.take(order)
     start = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
-    for columns, rows in parts:
-        out[index[start], columns] = np.add.reduceat(rows.take(order, axis=0), start)
+    out[index[start]] = np.add.reduceat(rows.take(order, axis=0), start)
+
+
+def _less_own(w: np.ndarray, sums: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Log shares of each row's own column; the row's sum is taken from it in place, so rows over sums are the loss's gradient."""
+    at, w = np.arange(len(w)) * w.shape[1] + own, w.reshape(-1)
+    mine = w[at]
+    w[at] = mine - sums
+    return np.log(mine / sums)
 
 
 def gradient(p: dict, fixed: tuple, rows: np.ndarray, b: np.ndarray, t: np.ndarray, target: np.ndarray) -> tuple[float, dict]:
-    """Mean loss of a slab's places and its gradient."""
-    size = len(rows)
-    k, v, x, a, whole, c, z = _attend(p, b, t)
-    a *= whole[:, :, None]
-    zs, blocks = z.take(rows, axis=0), len(a)
-    above, within, order, groups, zo, kind, at = _shares(p, fixed, zs, b[:, REACH:].ravel()[rows], target)
-    row, scale = np.arange(size), _FLOAT(1 / max(1, size))
+    """Mean loss of a slab's places and its gradient.
+
+    What divides a row of weights, its sum, is put to the narrower arrays that
+    these are multiplied with, so no pass over the weights does it.
+    """
+    size, blocks = len(rows), len(b)
+    k, v, q, a, whole, c, z = _attend(p, b, t)
+    every = size == len(z)
+    zs = z if every else z.take(rows, axis=0)
+    above, within, order, groups, zo, kind, at = _shares(p, fixed, zs, b[:, REACH:].ravel().take(rows), target)
+    scale = _FLOAT(1 / max(1, size))
     g = {"inner": np.zeros_like(p["inner"])}
     total, inside = _sums(above), _sums(within)
-    loss = -float(np.log(above[row, kind] / total).sum() + np.log(within[row, at] / inside).sum()) * float(scale)
-    for w, sums, own in ((above, total, kind), (within, inside, at)):
-        w *= (scale / sums)[:, None]
-        w[row, own] -= scale
-    g["out"] = zs.T @ above
-    ds = np.empty_like(zs)
+    loss = -float(_less_own(above, total, kind).sum() + _less_own(within, inside, at).sum()) * float(scale)
+    total, inside = (scale / total)[:, None], (scale / inside)[:, None]
+    g["out"] = _cross(zs * total, above)
+    zo *= inside
+    below, ds = np.ascontiguousarray(p["inner"].transpose(0, 2, 1)), np.empty_like(zo)
     for m, s in groups:
         np.matmul(zo[s].T, within[s], out=g["inner"][m])
-        np.matmul(within[s], p["inner"][m].T, out=ds[s])
-    own = above @ p["out"].T
-    own[order] += ds
-    dz = np.zeros_like(z)
-    dz[rows] = own
-    dz *= z > 0
-    g["in"], g["shift"] = c.T @ dz, dz.sum(axis=0)
-    dc = (dz @ p["in"].T).reshape(blocks, STRIDE, VALUE)
-    da = dc @ v.transpose(0, 2, 1)
-    da -= _sums(da * a)[:, :, None]
+        np.matmul(within[s], below[m], out=ds[s])
+    ds *= inside
+    back = np.empty(size, np.intp)
+    back[order] = np.arange(size)
+    dz = above @ p["out"].T
+    dz *= total
+    dz += ds.take(back, axis=0)
+    if not every:
+        some, dz = dz, np.zeros_like(z)
+        dz[rows] = some
+    dz *= (z > 0).astype(z.dtype)
+    g["in"], g["shift"] = _cross(c, dz), np.ones(len(dz), dz.dtype) @ dz
+    # shares' gradient: a place's product with the values, less its mean, which stands against the values' ones
+    dc = np.empty((blocks, STRIDE, VALUE + 1), z.dtype)
+    np.multiply((dz @ p["in"].T).reshape(blocks, STRIDE, VALUE), whole, out=dc[:, :, :VALUE])
+    dc[:, :, VALUE] = -np.einsum("ijk,ijk->ij", dc[:, :, :VALUE], c.reshape(blocks, STRIDE, VALUE))
+    da = v @ _turned(dc)
     da *= a
-    by = np.ones(blocks, x.dtype) @ da.reshape(blocks, -1)
-    g["near"] = np.bincount(_GAP[_GAP >= 0], weights=by.reshape(_GAP.shape)[_GAP >= 0], minlength=REACH + STRIDE).astype(x.dtype)
-    da *= _FLOAT(KEY**-0.5)
+    by = np.ones(blocks, z.dtype) @ da.reshape(blocks, -1)
+    g["near"] = np.bincount(_GAP[_GAP >= 0], weights=by.reshape(_GAP.shape)[_GAP >= 0], minlength=REACH + STRIDE).astype(z.dtype)
+    seen, asked = np.empty((blocks, REACH + STRIDE, KEY + VALUE), z.dtype), np.empty((blocks, STRIDE, KEY + HIDDEN), z.dtype)
+    np.matmul(da, q, out=seen[:, :, :KEY])
+    np.matmul(a, dc[:, :, :VALUE], out=seen[:, :, KEY:])
+    np.matmul(da.transpose(0, 2, 1), k, out=asked[:, :, :KEY])
+    asked[:, :, KEY:] = dz.reshape(blocks, STRIDE, HIDDEN)
+    # what a window adds to the places before its block goes to the block they are of, the one before, or has rows of its own
+    again = np.concatenate([[False], (b[1:, :REACH] == b[:-1, -REACH:]).all(axis=1)])
+    first = np.flatnonzero(~again & (t[:, REACH - 1] == t[:, REACH]))
+    early = seen[first, :REACH]
+    seen[~again, :REACH] = 0
+    seen[:-1, -REACH:] += seen[1:, :REACH]
+    own = b[:, REACH:].ravel()
     g["of"] = np.zeros_like(p["of"])
-    dq = (da @ k).reshape(-1, KEY)
-    _scatter(b[:, REACH:].ravel(), ((_Q, dq), (_S, dz)), g["of"])
-    dk = (da.transpose(0, 2, 1) @ x[:, _Q].reshape(blocks, STRIDE, KEY)).reshape(-1, KEY)
-    _scatter(b.ravel(), ((_K, dk), (_V, (a.transpose(0, 2, 1) @ dc).reshape(-1, VALUE))), g["of"])
+    _scatter(np.concatenate([own, b[first, :REACH].ravel()]), np.concatenate([seen[:, REACH:], early]).reshape(-1, KEY + VALUE), g["of"][:, KEY : 2 * KEY + VALUE])
+    asked = asked.reshape(-1, KEY + HIDDEN)
+    both = np.zeros((len(p["of"]), KEY + HIDDEN), z.dtype)
+    _scatter(own, asked, both)
+    g["of"][:, _Q], g["of"][:, _S] = both[:, :KEY] * _FLOAT(KEY**-0.5), both[:, KEY:]
+    g["of"][:, _K] *= _FLOAT(1 / _SCALE)
     return loss, g
 
 

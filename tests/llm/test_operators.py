@@ -658,6 +658,30 @@ def test_one_text_of_many_distinct_words(spark):
     assert got[1].n_tokens == 500_001 and math.isfinite(got[1].score) and got[2].n_tokens == 3
 
 
+def test_model_adds_up_a_place_once(monkeypatch):
+    """Windows overlap; a place's row is scattered once, and the whole is the sum of the windows' own gradients."""
+    rng, n = np.random.default_rng(6), 30
+    text = np.repeat([0, 1, 2], [90, 3, 41])
+    ids = rng.integers(0, n, len(text)).astype(np.int32)
+    before = np.concatenate([[n], ids[:-1]]).astype(np.int32)
+    before[[90, 93]] = n
+    pairs, counts = np.unique(before.astype(np.int64) * n + ids, return_counts=True)
+    fixed = attention_model.bigrams(n, pairs // n, pairs % n, counts.astype(float))
+    p = {k: (v + 0.1 * rng.standard_normal(v.shape)).astype(np.float32) for k, v in attention_model.initial(n).items()}
+    scatter, sizes = attention_model._scatter, []
+    monkeypatch.setattr(attention_model, "_scatter", lambda index, *rest: (sizes.append(len(index)), scatter(index, *rest)))
+    for step in (1, 2):  # windows that follow one another, and windows with gaps
+        chosen = attention_model.begins(text)[::step]
+        ((place, rows, b, t),) = attention_model._slabs(before, text, chosen)
+        sizes.clear()
+        _, whole = attention_model.gradient(p, fixed, rows, b, t, ids[place])
+        if step == 1:
+            assert sizes == [16 * len(chosen)] * 2
+        parts = [(len(r), attention_model.gradient(p, fixed, r, w, o, ids[at])[1]) for at, r, w, o in (next(attention_model._slabs(before, text, chosen[k : k + 1])) for k in range(len(chosen)))]
+        for name in whole:
+            assert np.allclose(whole[name], sum(m * g[name] for m, g in parts) / len(rows), atol=2e-6), name
+
+
 def test_model_places_and_gradient(monkeypatch):
     rng = np.random.default_rng(6)
     n, lengths = 30, np.array([1, 60, 16, 13, 70])
